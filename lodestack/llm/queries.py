@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestack.llm import exact_dedup, mixing, packing, pii, quality_rules, simhash_dedup, token_counts
+from lodestack.llm import chat_format, exact_dedup, line_dedup, mixing, packing, pii, quality_rules, simhash_dedup, token_counts, warc
 from lodestack.llm.common import documents
 from lodestack.llm.tokenizing import default_path
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.verdicts(documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(documents(spark, sf_dir), exact_dedup.fresh_index(spark))
 
@@ -29,10 +34,20 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(documents(spark, sf_dir))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.histogram(token_counts.lengths(documents(spark, sf_dir), default_path())))
 
 
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = warc.resolved(warc.crawl_log(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])), "&")
+    return answers.select(F.col("record_id").alias("page_id"), "url", F.col("response_id").alias("response_page_id"), "status", headers.alias("headers"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.classes(documents(spark, sf_dir))
 
@@ -43,4 +58,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_quality_rules, op4_pii, op5_packing, op6_mixing, op8_token_counts, op10_simhash_dedup, pipeline)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_exact_dedup, op3_quality_rules, op4_pii, op5_packing, op6_mixing, op7_chat_format,
+        op8_token_counts, op9_warc_revisits, op10_simhash_dedup, pipeline,
+    )
+}

@@ -28,4 +28,18 @@ ORACLES = {
               FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
         SELECT doc_id, size, source_size, target,
                CAST(size * (epochs + CASE WHEN upto - size / 2 <= budget THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r""",
+    "op9_warc_revisits": r"""
+        WITH c AS (SELECT page_id, md5(coalesce(html, '')) AS etag, length(coalesce(html, '')) AS size, count(*) OVER () AS n,
+                          regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(url), '#.*$', ''),
+                            '([?&])(?i:utm_[a-z]+|ref|fbclid|gclid|sessionid)=[^&]*', '\1', 'g'), '&{2,}', '&', 'g'), '\?&+', '?', 'g'), '[?&]+$', '') AS u FROM pages),
+        p AS (SELECT page_id, etag, size, n,
+                     regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '')
+                     || regexp_replace(regexp_replace(regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', ''), '\.html(\?|$)', '\1', 'g'), '/(\?|$)', '\1', 'g') AS url FROM c),
+        r AS (SELECT page_id, url, etag, size, 2 * page_id AS captured FROM p),
+        v AS (SELECT page_id, url, etag, n, 2 * page_id + n + 1 - n % 2 AS captured FROM p)
+        SELECT v.page_id, v.url, r.page_id AS response_page_id,
+               CASE WHEN r.page_id IS NULL THEN 'missing' WHEN r.etag = v.etag THEN 'resolved' ELSE 'changed' END AS status,
+               'content-length=' || CASE WHEN r.etag = v.etag THEN CAST(r.size AS VARCHAR) ELSE '0' END
+               || '&date=' || CAST(v.page_id + v.n AS VARCHAR) || '&etag=W/' || v.etag AS headers
+        FROM v ASOF LEFT JOIN r ON v.url = r.url AND v.captured > r.captured""",
 }
