@@ -48,7 +48,7 @@ def conversation_lines(conversations: DataFrame) -> DataFrame:
     a null turn comes first, and of rows that repeat conv_id, turn and text one counts."""
     at = conversations.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     at = at.select("conv_id", "turn", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\\n")).alias("line_no", "line"))
-    begins = F.when(F.col("line_no") > 0, 0).when(F.col("turn") <= 0, 2).otherwise(1)
+    begins = F.when(F.col("line_no") > 0, (marker(F.col("line")) > 0).cast("int")).when(F.col("turn") <= 0, 2).otherwise(1)
     at = at.select("conv_id", F.floor(F.col("turn") / BLOCK).cast("long").alias("block"), "turn", "h", "line_no", code(F.col("line"), begins).alias("code"), begins.alias("begins"))
     return at.dropDuplicates(["conv_id", "turn", "h", "line_no"])
 

@@ -8,7 +8,7 @@ running sums over the pieces between matches.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,10 +131,14 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"], x["end"])), ",")
 
 
+def _is_kind(number: int, span: Column) -> Column:
+    return span["kind"] == number
+
+
 def digests(found: DataFrame) -> DataFrame:
     """Counts by kind, the digest of the patterns' spans and all spans as text, of what ``spans()`` returns."""
     base = F.filter("spans", lambda x: x["kind"] < len(PATTERNS))
-    counts = [F.size(F.filter("spans", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [F.size(F.filter("spans", partial(_is_kind, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
