@@ -42,6 +42,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:
+    """``df``, after bounding the bytes of the session's Arrow batches: ten thousand long texts would not fit a task.
+
+    A bound that the session already has stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key, str(2**31 - 1)).rstrip("bB")) <= 64 << 20:
+        df.sparkSession.conf.set(key, str(size))
+    return df
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a written table has at most so many rows."""
     return df.limit(rows + 1).count() <= rows

@@ -18,7 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.tokenizing import batch_tokenizer
+from lodestack.llm import common
+from lodestack.llm.tokenizing import batch_tokenizer, parts
 
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -107,8 +108,8 @@ def packed(docs: DataFrame, tokenizer: str, window: int = 2048, id_col: str = "d
 
         def read():
             for x in batches:
-                flat, starts = tokenize(x.column(1))
-                yield x.column(0).to_pylist(), flat, starts
+                for a, b in parts(x.column(1)):
+                    yield x.column(0).slice(a, b - a).to_pylist(), *tokenize(x.column(1).slice(a, b - a))
 
         def table(rows):
             cols = list(zip(*rows))
@@ -129,4 +130,4 @@ def packed(docs: DataFrame, tokenizer: str, window: int = 2048, id_col: str = "d
             yield table(rows)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
+    return common.bound_batches(slim).mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm import common
-from lodestack.llm.tokenizing import batch_tokenizer
+from lodestack.llm.tokenizing import batch_tokenizer, parts
 
 #: Lengths in a bucket of the two-level suffix sums.
 SPAN = 1024
@@ -26,10 +26,11 @@ def lengths(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenize = batch_tokenizer(tokenizer).encode
         for x in batches:
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(np.diff(tokenize(x.column(1))[1]))], names=["doc_id", "n_tokens"])
+            n = [np.diff(tokenize(x.column(1).slice(a, b - a))[1]) for a, b in parts(x.column(1))]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(np.concatenate([np.zeros(0, np.int64), *n]))], names=["doc_id", "n_tokens"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_tokens long")
+    return common.bound_batches(slim).mapInArrow(run, "doc_id long, n_tokens long")
 
 
 def histogram(counted: DataFrame) -> DataFrame:
