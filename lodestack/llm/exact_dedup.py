@@ -64,7 +64,7 @@ def verdicts(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_c
     """
     batch = uuid.uuid4().hex
     slim = common.written(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest"))
+        common.bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest"))
         .groupBy("digest", "doc_id").agg(F.count("*").alias("rows")),
         "digests",
     )
@@ -83,7 +83,7 @@ def verdicts(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_c
 def deduplicated(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     kept = common.written(verdicts(docs, index, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep"), "text_sha256"), "kept")
-    out = docs.withColumn("_sha", F.lower(F.hex(text_digest(F.col(text_col)))))
+    out = common.bound_batches(docs).withColumn("_sha", F.lower(F.hex(text_digest(F.col(text_col)))))
     out = out.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_keep")) & (F.col("_sha") == F.col("text_sha256")), "left_semi")
     if not _unique(docs, id_col):
         out = out.dropDuplicates([id_col, "_sha"])

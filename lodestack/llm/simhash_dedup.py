@@ -179,7 +179,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     component each by their own text. A row without an id links nothing, and its component is that of
     the ids with its fingerprint, null if there are none. An empty table gives no rows.
     """
-    slim = common.written(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col).cast("string")).alias("fp")), "fingerprints")
+    slim = common.written(common.bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col).cast("string")).alias("fp")), "fingerprints")
     points = common.written(slim.groupBy("fp").agg(F.min("doc_id").alias("rep")), "points")
     found = components(links(points.where("rep is not null")))
     named = points.join(found, points["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
