@@ -13,9 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.llm import common
+
 ROLES = ("system", "user", "assistant")
 #: Speaker markers at the start of a line, by role.
 MARKERS = {
@@ -164,6 +166,7 @@ def decoded(lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(t[c].combine_chunks() for c in ("conv_id", "turn", "h", "line_no")), pa.array(got)], names=["conv_id", "turn", "h", "line_no", "role"])
 
     order = [*keys, "turn", "h", "line_no"]
+    lines = common.written(lines, "transcript-lines")
     long = lines.groupBy(*keys).count().groupBy("conv_id").count().where("count > 1").select("conv_id")
     more = lines.join(long, lines["conv_id"].eqNullSafe(long["conv_id"]), "left_semi")
     matrices = more.repartition(*keys).sortWithinPartitions(*order).mapInArrow(sums, f"conv_id {kind}, block long, m array<double>")
