@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -48,7 +49,8 @@ def bound_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:
     A bound that the session already has stays.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key, str(2**31 - 1)).rstrip("bB")) <= 64 << 20:
+    plain = re.fullmatch(r"(-?\d+)b?", df.sparkSession.conf.get(key, str(2**31 - 1)), re.I)
+    if plain and not 0 < int(plain[1]) <= 64 << 20:
         df.sparkSession.conf.set(key, str(size))
     return df
 
