@@ -82,9 +82,9 @@ def verdicts(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_c
 
 def deduplicated(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = common.written(verdicts(docs, index, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep"), "text_sha256"), "kept")
+    kept = common.written(verdicts(docs, index, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_kept_sha")), "kept")
     out = common.bound_batches(docs).withColumn("_sha", F.lower(F.hex(text_digest(F.col(text_col)))))
-    out = out.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_keep")) & (F.col("_sha") == F.col("text_sha256")), "left_semi")
+    out = out.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_keep")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
     if not _unique(docs, id_col):
         out = out.dropDuplicates([id_col, "_sha"])
     return out.drop("_sha")

@@ -9,7 +9,7 @@ import xxhash
 
 from lodestack.llm import exact_dedup, line_dedup, simhash_dedup
 
-SCHEMA = "doc_id long, text string, keep_id long, source string, kept string"
+SCHEMA = "doc_id long, text string, keep_id long, text_sha256 string, kept string"
 WORDS = [f"w{i}" for i in range(40)]
 
 
@@ -37,7 +37,7 @@ def test_exact_dedup(spark):
     kept = [r for r in got if r.kept]
     assert len(kept) == len(groups) and all(r.doc_id == r.keep_id for r in kept)
     left = exact_dedup.deduplicated(docs(spark, rows), exact_dedup.fresh_index(spark, 4))
-    assert sorted(r.doc_id for r in left.collect()) == sorted(r.doc_id for r in kept) and left.columns == ["doc_id", "text", "keep_id", "source", "kept"]
+    assert sorted(r.doc_id for r in left.collect()) == sorted(r.doc_id for r in kept) and left.columns == ["doc_id", "text", "keep_id", "text_sha256", "kept"]
 
 
 def test_exact_dedup_across_batches(spark):
@@ -75,7 +75,7 @@ def test_simhash_against_brute_force(spark):
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == Counter((i, f"{f:016x}", best[i]) for i, f in fps)
     assert simhash_dedup.classes(docs(spark, [])).count() == 0
     left = simhash_dedup.deduplicated(docs(spark, rows))
-    assert {r.doc_id for r in left.collect()} == {i for i in best if best[i] == i} and "source" in left.columns
+    assert {r.doc_id for r in left.collect()} == {i for i in best if best[i] == i} and "text_sha256" in left.columns
 
 
 def test_simhash_links_and_large_cells(spark, monkeypatch):
