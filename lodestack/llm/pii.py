@@ -89,9 +89,8 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     near = F.concat(F.slice(left, F.greatest(F.size(left) - NEAR_TERMS + 1, F.lit(1)), F.lit(NEAR_TERMS)), F.slice(right, F.lit(1), F.lit(NEAR_TERMS)))
     pairs = hits.select(F.concat_ws(":", "kind", F.lower("match")).alias("entity"), F.explode(F.array_distinct(near)).alias("term")).where(F.length("term") >= MIN_LETTERS)
     pairs = common.written(pairs.groupBy("term", "entity").agg(F.count("*").alias("together")).where(F.col("together") >= MIN_SUPPORT), "near-entities")
-    wanted = common.maybe_broadcast(common.written(pairs.select("term").distinct(), "near-terms"))
     used = at.select(F.explode(F.regexp_extract_all("text", F.lit(rf"\p{{L}}{{{MIN_LETTERS},}}"), F.lit(0))).alias("term"))
-    used = used.join(wanted, "term").groupBy("term").agg(F.count("*").alias("n"))
+    used = used.groupBy("term").agg(F.count("*").alias("n"))  # counted before the join, in which common terms would meet many entities
     total = at.agg(F.sum(common.n_words(F.col("text"))).alias("words"))
     of_entity = pairs.groupBy("entity").agg(F.sum("together").alias("entity_n"))
     known = pairs.join(used, "term").join(of_entity, "entity").join(F.broadcast(total))  # the total is one row
