@@ -2,7 +2,7 @@
 
 Two lines are near if one word put in, left out or exchanged makes them equal. Then they share a
 variant: the line itself or the line without one word. Variants are hashed keys; equal keys meet in a
-join; the words themselves are compared; and the earliest line stays. A line that shares neither half
+join; the words themselves are compared; and the earliest line stays. A line that shares neither end
 of its words with another has no near line, and gives no variants. All of it is DataFrame work.
 """
 
@@ -17,13 +17,21 @@ from lodestack.llm import common
 MIN_WORDS = 5
 
 
-def _half_keys(w: Column, n: Column) -> Column:
-    """Hashes of the first and the last half of the words, for halves as a line with a word less has them, too."""
+def _ends(w: Column, n: Column) -> Column:
+    """Hashes of the first and the last k words, for the largest power of two k that is no more than half of the words but one.
 
-    def both(k: Column) -> list[Column]:
+    One edit leaves one half of the words as it was, and so one of the two ends. Where a line with a word
+    more has a larger k, the larger line has the ends of the smaller k as well.
+    """
+    k = F.lit(1)
+    for x in range(1, 24):
+        k = F.when(n > 2 << x, 1 << x).otherwise(k) if x > 1 else F.when(n > 4, 2).otherwise(1)
+
+    def ends(k: Column) -> list[Column]:
         return [F.xxhash64(F.lit(0), k, F.slice(w, F.lit(1), k)), F.xxhash64(F.lit(1), k, F.slice(w, n - k + 1, k))]
 
-    return F.array_distinct(F.array(*both(F.floor(n / 2).cast("int")), *both(F.floor((n - 1) / 2).cast("int"))))
+    first = F.array(*ends(k))
+    return F.when((n == 2 * k + 1) & (n > MIN_WORDS), F.concat(first, F.array(*ends((k / 2).cast("int"))))).otherwise(first)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -32,11 +40,11 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every line with a word as (doc_id, line_no, n, h1, h2, keys): words, their 128-bit hash and the keys of the halves."""
-    at = _lines(docs, id_col, text_col).select("doc_id", "line_no", common.words(F.col("line")).alias("w"))
-    at = at.withColumn("n", F.size("w")).where("n > 0")
-    halves = F.when(F.col("n") >= MIN_WORDS, _half_keys(F.col("w"), F.col("n"))).otherwise(F.array().cast("array<bigint>"))
-    return at.select("doc_id", "line_no", "n", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), "w").alias("h2"), halves.alias("keys"))
+    """Every line with a word as (doc_id, line_no, h1, h2, keys): the 128-bit hash of the words and the keys of their ends."""
+    # the test on the line, not on its words, keeps the words from being split twice
+    at = _lines(docs, id_col, text_col).where(F.col("line").rlike(common.WORD)).select("doc_id", "line_no", common.words(F.col("line")).alias("w"))
+    ends = F.when(F.size("w") >= MIN_WORDS, _ends(F.col("w"), F.size("w"))).otherwise(F.array().cast("array<bigint>"))
+    return at.select("doc_id", "line_no", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), "w").alias("h2"), ends.alias("keys"))
 
 
 def variants(lines: DataFrame) -> DataFrame:
@@ -103,14 +111,21 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Earlier is the smaller (doc_id, line_no), lines counted from 0. Lines without words stay. Null texts
     and rows without an id have no lines; of rows that repeat an id the lines count as one document's.
     """
-    every = common.written(keyed(docs, id_col, text_col), "lines")
+    return _dropped(docs, common.written(keyed(docs, id_col, text_col), "lines"), id_col, text_col)
+
+
+def _dropped(docs: DataFrame, every: DataFrame, id_col: str, text_col: str) -> DataFrame:
     once = every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("keys").alias("keys"))
     once = common.written(once.select("h1", "h2", "at.doc_id", "at.line_no", "keys"), "distinct-lines")
-    halves = once.select("doc_id", "line_no", F.explode("keys").alias("key"))
-    repeated = common.written(halves.groupBy("key").count().where("count > 1").select("key"), "repeated-halves")
-    likely = common.written(halves.join(repeated, "key", "left_semi").select("doc_id", "line_no").distinct(), "likely-lines")
-    texts = _lines(docs, id_col, text_col).join(likely, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", common.words(F.col("line")).alias("w"))
-    texts = common.written(texts.dropDuplicates(["doc_id", "line_no"]), "likely-texts")
+    ends = once.select("doc_id", "line_no", F.explode("keys").alias("key"))
+    repeated = common.written(ends.groupBy("key").count().where("count > 1").select("key"), "repeated-ends")
+    likely = ends.join(repeated, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
+    likely = common.written(likely, "likely-lines")
+    # this side grows with the table, so it is merged at every size; whole texts move as few rows
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(likely.hint("merge"), "doc_id")
+    texts = whole.select("doc_id", F.posexplode(F.split("text", "\\n")).alias("line_no", "line"), "wanted").where(F.array_contains("wanted", F.col("line_no")))
+    texts = texts.select("doc_id", "line_no", common.words(F.col("line")).alias("w"))
+    texts = common.written(texts.dropDuplicates(["doc_id", "line_no"]) if _repeats(docs, id_col) else texts, "likely-texts")
     near = common.written(near_lines(texts), "near-lines").join(once, ["doc_id", "line_no"]).select("h1", "h2", F.lit(True).alias("near"))
     stays = once.select("h1", "h2", F.struct("doc_id", "line_no").alias("at"))
     marked = stays.join(near, ["h1", "h2"], "left")
@@ -118,15 +133,20 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.where((F.col("at") != F.struct("doc_id", "line_no")) | F.col("near")).select("doc_id", "line_no", (F.col("at") == F.struct("doc_id", "line_no")).alias("near"))
 
 
+def _repeats(docs: DataFrame, id_col: str) -> bool:
+    return not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
+
+
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each id: doc_id, n_lines (with words), n_dropped, n_near, dropped (line numbers, ascending)."""
-    gone = dropped(docs, id_col, text_col).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"), F.count_if("near").alias("n_near"))
-    there = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\\n"), lambda x: x.rlike(common.WORD))).cast("long")
-    there = there.select("doc_id", n.alias("n_lines")).groupBy("doc_id").agg(F.sum("n_lines").alias("n_lines"))
-    out = there.join(gone, "doc_id", "left")
+    every = common.written(keyed(docs, id_col, text_col), "lines")
+    gone = _dropped(docs, every, id_col, text_col).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"), F.count_if("near").alias("n_near"))
+    n = every.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    there = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    out = there.join(n, "doc_id", "left").join(gone, "doc_id", "left")
     none = F.array().cast("array<int>")
-    return out.select("doc_id", "n_lines", F.size(F.coalesce("dropped", none)).cast("long").alias("n_dropped"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.coalesce("dropped", none).alias("dropped"))
+    zero = F.lit(0).cast("long")
+    return out.select("doc_id", F.coalesce("n_lines", zero).alias("n_lines"), F.size(F.coalesce("dropped", none)).cast("long").alias("n_dropped"), F.coalesce("n_near", zero).alias("n_near"), F.coalesce("dropped", none).alias("dropped"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
