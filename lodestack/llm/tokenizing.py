@@ -9,6 +9,7 @@ opening of a special token) are encoded as they are.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -17,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words kept in a worker's memory, some 50 bytes each; when full it starts anew.
-CACHED_WORDS = 1_000_000
+#: Words kept in a worker's memory, some 50 bytes each and twice that while it grows; when full it starts anew.
+CACHED_WORDS = 500_000
 #: Bytes of text that are encoded at once (a longer text alone); working memory is some 20 times that.
 PART_BYTES = 1_000_000
 _STOPS = ".,;:!?"
@@ -29,6 +30,8 @@ class BatchTokenizer:
     """``path`` names a tokenizer file of the word kind described above."""
 
     def __init__(self, path: str):
+        # a task has one core: a pool of threads for each worker would take others' cores, and memory for each thread
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
