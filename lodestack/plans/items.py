@@ -36,16 +36,27 @@ def regulation_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regulations.parts(regulation_lines(spark, sf_dir)).select("doc_id", "pos", "article", "level", "text")
 
 
-@query(f"""WITH {REG} SELECT doc_id, article, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS context FROM parts WHERE doc_id % 10 = 0 GROUP BY doc_id, article""")
-def article_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every article of every tenth regulation, asked for with all below it."""
-    tree = regulations.parts(regulation_lines(spark, sf_dir))
-    asked = tree.where("doc_id % 10 = 0").select("doc_id", "article").distinct()
+def _article_context(tree: DataFrame, asked: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
+    asked = asked.select("doc_id", "article").distinct()
     asked = asked.select(F.struct("doc_id", "article").alias("query"), "doc_id", F.lit("article").alias("kind"), none.alias("chapter"), "article", none.alias("clause"), none.alias("point"))
     return regulations.looked_up(tree, asked).select("query.doc_id", "query.article", "context")
 
 
+@query(f"""WITH {REG} SELECT doc_id, article, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS context FROM parts WHERE doc_id % 10 = 0 GROUP BY doc_id, article""")
+def article_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every article of every tenth regulation; ``article_context_all`` asks in all of them."""
+    tree = regulations.parts(regulation_lines(spark, sf_dir))
+    return _article_context(tree, tree.where("doc_id % 10 = 0"))
+
+
+@query(f"""WITH {REG} SELECT doc_id, article, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS context FROM parts GROUP BY doc_id, article""")
+def article_context_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every article of every regulation, asked for with all below it."""
+    tree = regulations.parts(regulation_lines(spark, sf_dir))
+    return _article_context(tree, tree)
+
+
 COURSE = """course AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos FROM lineitem),
     k AS (SELECT *, l_partkey % 11 = 0 AS header, l_partkey % 11 = 1 AS summary, l_partkey % 11 IN (2, 3) AS digits, l_partkey % 11 IN (4, 5) AS req, l_partkey % 11 IN (5, 6, 7) AS grp FROM course),
     b AS (SELECT *, last_value(CASE WHEN header THEN 'Khối ' || l_suppkey END IGNORE NULLS) OVER w AS block, sum(CASE WHEN header OR summary OR digits THEN 1 ELSE 0 END) OVER w AS s FROM k WINDOW w AS (PARTITION BY l_orderkey ORDER BY pos)),

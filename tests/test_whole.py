@@ -44,3 +44,12 @@ def test_every_question_is_normalised(spark, tmp_path):
     assert {k: got[k] for k in free} == {k: by_hand(f"user: {x}") for k, x in free.items()}
     fixed = {(r.conv_id, r.turn): r.normalised for r in QUERIES["query_normalise"](spark, str(tmp_path)).collect()}
     assert set(fixed) == set(got) - set(free) and all(got[k] == v for k, v in fixed.items())
+
+
+def test_articles_of_every_regulation(spark, tmp_path):
+    keys = [(7, 4), (7, 9), (7, 11), (8, 8), (10, 12), (10, 13)]
+    spark.createDataFrame(keys, "o_custkey long, o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r.doc_id, r.article): r.context for r in QUERIES["article_context_all"](spark, str(tmp_path)).collect()}
+    sep = "\n\n---\n\n"
+    assert got == {(7, "5"): f"title 4{sep}clause 9 text 11", (8, "9"): "title 8", (10, "13"): f"title 12{sep}clause 13"}
+    assert {r.doc_id for r in QUERIES["article_context"](spark, str(tmp_path)).collect()} == {10}
