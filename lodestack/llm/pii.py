@@ -56,14 +56,14 @@ def valid(kind: Column, match: Column) -> Column:
 
 
 def _matches(text: Column, kind: str, pattern: Column) -> Column:
-    """For each match: kind, text before it since the last one, the match, and the text after it until the next."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    after = F.slice(pieces, F.lit(2), F.greatest(F.size(found), F.lit(0)))
-    before = F.slice(pieces, F.lit(1), F.size(found))
-    return F.zip_with(F.arrays_zip(before.alias("b"), found.alias("m")), after, lambda x, a: F.struct(F.lit(kind).alias("kind"), x["b"].alias("before"), x["m"].alias("match"), a.alias("after")))
+    """For each match: kind, text before it since the last one, and the match."""
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    before = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    return F.zip_with(before, found, lambda b, m: F.struct(F.lit(kind).alias("kind"), b.alias("before"), m.alias("match")))
 
 
-_EMPTY = "cast(array() as array<struct<kind:string,before:string,match:string,after:string>>)"
+_EMPTY = "cast(array() as array<struct<kind:string,before:string,match:string>>)"
+_NO_ENTITIES = "cast(array() as array<struct<start:int,end:int,kind:string,match:string>>)"
 
 
 def base_matches(text: Column) -> Column:
@@ -72,6 +72,41 @@ def base_matches(text: Column) -> Column:
     return F.concat(*each)
 
 
+def entities(text: Column) -> Column:
+    """All valid matches of the four patterns with their places in code points, sorted: (start, end, kind, match)."""
+
+    def placed(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["before"])
+        end = start + F.length(x["match"])
+        one = F.struct(start.alias("start"), end.alias("end"), x["kind"].alias("kind"), x["match"].alias("match"))
+        return F.struct(end.alias("at"), F.when(valid(x["kind"], x["match"]), F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
+
+    none, start = F.expr(_NO_ENTITIES), F.struct(F.lit(0).alias("at"), F.expr(_NO_ENTITIES).alias("found"))
+    each = [F.when(NEEDS[k](text), F.aggregate(_matches(text, k, F.lit(p)), start, placed, lambda acc: acc["found"])).otherwise(none) for k, p in PATTERNS.items()]
+    return F.array_sort(F.concat(*each))
+
+
+def blanked(text: Column, found: Column) -> Column:
+    """The text with blanks in place of the entities ``found``, as long as before."""
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = F.greatest(acc["at"], x["start"])
+        own = F.concat(F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), x["end"] - begin))
+        return F.when(x["end"] > acc["at"], F.struct(x["end"].alias("at"), F.concat(acc["parts"], F.array(own)).alias("parts"))).otherwise(acc)
+
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
+    end = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, start, step, end))
+
+
+def _near(clear: Column, x: Column) -> Column:
+    """The terms next to an entity, of a text whose entities are blanked."""
+    first = F.greatest(x["start"] - NEAR_CHARS, F.lit(0))
+    left = F.regexp_extract_all(F.substring(clear, first + 1, x["start"] - first), F.lit(TERM), F.lit(0))
+    right = F.regexp_extract_all(F.substring(clear, x["end"] + 1, F.lit(NEAR_CHARS)), F.lit(TERM), F.lit(0))
+    return F.concat(F.slice(F.reverse(left), F.lit(1), F.lit(NEAR_TERMS)), F.slice(right, F.lit(1), F.lit(NEAR_TERMS)))
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -79,17 +114,15 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, entity, together, n, bits): terms most of whose occurrences in the corpus are next to one entity.
 
-    ``together`` counts a term's occurrences next to the entity, ``n`` all of them; bits is the logarithm
-    of the entity's share of the term's occurrences over its share of all words.
+    ``together`` counts a term's occurrences next to the entity, ``n`` all of them, neither those within
+    entities; bits is the logarithm of the entity's share of the term's occurrences over its share of all words.
     """
     at = _rows(docs, id_col, text_col)
-    hits = at.select(F.explode(base_matches(F.col("text"))).alias("x")).select("x.*").where(valid(F.col("kind"), F.col("match")))
-    left = F.regexp_extract_all(F.right("before", F.lit(NEAR_CHARS)), F.lit(TERM), F.lit(0))
-    right = F.regexp_extract_all(F.left("after", F.lit(NEAR_CHARS)), F.lit(TERM), F.lit(0))
-    near = F.concat(F.slice(left, F.greatest(F.size(left) - NEAR_TERMS + 1, F.lit(1)), F.lit(NEAR_TERMS)), F.slice(right, F.lit(1), F.lit(NEAR_TERMS)))
-    pairs = hits.select(F.concat_ws(":", "kind", F.lower("match")).alias("entity"), F.explode(F.array_distinct(near)).alias("term")).where(F.length("term") >= MIN_LETTERS)
+    clear = at.select("text", entities(F.col("text")).alias("found")).select("found", blanked(F.col("text"), F.col("found")).alias("clear"))
+    hits = clear.where(F.size("found") > 0).select(F.explode(F.transform("found", lambda x: F.struct(F.concat_ws(":", x["kind"], F.lower(x["match"])).alias("entity"), _near(F.col("clear"), x).alias("near")))).alias("x"))
+    pairs = hits.select("x.entity", F.explode(F.array_distinct("x.near")).alias("term")).where(F.length("term") >= MIN_LETTERS)
     pairs = common.written(pairs.groupBy("term", "entity").agg(F.count("*").alias("together")).where(F.col("together") >= MIN_SUPPORT), "near-entities")
-    used = at.select(F.explode(F.regexp_extract_all("text", F.lit(rf"\p{{L}}{{{MIN_LETTERS},}}"), F.lit(0))).alias("term"))
+    used = clear.select(F.explode(F.regexp_extract_all("clear", F.lit(rf"\p{{L}}{{{MIN_LETTERS},}}"), F.lit(0))).alias("term"))
     used = used.groupBy("term").agg(F.count("*").alias("n"))  # counted before the join, in which common terms would meet many entities
     total = at.agg(F.sum(common.n_words(F.col("text"))).alias("words"))
     of_entity = pairs.groupBy("entity").agg(F.sum("together").alias("entity_n"))
