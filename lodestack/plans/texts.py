@@ -115,22 +115,39 @@ HEADS = f"""{LINES}, headed AS (SELECT doc_id, pos, {HEADED} AS line, (doc_id +
               CASE form WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END AS level FROM headed WHERE form <> 3)"""
 
 
-def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that begin with a letter or sign, four of five made headings of one of four grammars."""
-    at = docs.lines(table(spark, sf_dir, "documents")).where(F.col("line").rlike(r"^\s*[^\s\d]"))
+def _headed(spark: SparkSession, sf_dir: str, every: bool = True) -> DataFrame:
+    """Lines, four of five after the number of one of four grammars, the fifth as it is.
+
+    Not ``every``: only lines that begin with a letter or sign, the fifth after a dash, so that a formula gives each number.
+    """
+    at = docs.lines(table(spark, sf_dir, "documents"))
+    at = at if every else at.where(F.col("line").rlike(r"^\s*[^\s\d]"))
     a, b, c = (F.col("pos") % 9 + 1).cast("string"), (F.col("pos") % 4 + 1).cast("string"), (F.col("pos") % 3 + 1).cast("string")
     line = F.col("line")
-    forms = [F.concat(a, F.lit(". "), line), F.concat(a, F.lit("."), b, F.lit(" "), line), F.concat(a, F.lit("."), b, F.lit("."), c, F.lit(". "), line), F.concat(F.lit("- "), line), F.concat(F.lit("II. "), line)]
+    forms = [F.concat(a, F.lit(". "), line), F.concat(a, F.lit("."), b, F.lit(" "), line), F.concat(a, F.lit("."), b, F.lit("."), c, F.lit(". "), line), line if every else F.concat(F.lit("- "), line), F.concat(F.lit("II. "), line)]
     return at.withColumn("line", F.element_at(F.array(*forms), ((F.col("doc_id") + F.col("pos") * 3) % 5 + 1).cast("int")))
 
 
 @query(f"""WITH {HEADS} SELECT h.doc_id, h.pos, h.symbol, h.level, max(p.pos) AS parent FROM heads h LEFT JOIN heads p ON p.doc_id = h.doc_id AND p.pos < h.pos AND p.level < h.level GROUP BY ALL""")
 def section_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of lines whose numbers a formula gives; ``section_levels_all`` reads those of every line."""
+    return docs.parents(docs.headings(_headed(spark, sf_dir, False), "doc_id", "pos"), "doc_id", "pos")
+
+
+@query()
+def section_levels_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.parents(docs.headings(_headed(spark, sf_dir), "doc_id", "pos"), "doc_id", "pos")
 
 
 @query(f"""WITH {HEADS}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, symbol ORDER BY pos) AS i FROM heads) SELECT doc_id, pos, CASE WHEN i > 1 THEN symbol || '_' || i ELSE symbol END AS section_id FROM n""")
 def unique_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of lines whose numbers a formula gives; ``unique_suffix_all`` reads those of every line."""
+    heads = docs.headings(_headed(spark, sf_dir, False), "doc_id", "pos")
+    return docs.numbered_ids(heads, ["doc_id"], "pos", F.col("symbol")).select("doc_id", "pos", "section_id")
+
+
+@query()
+def unique_suffix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = docs.headings(_headed(spark, sf_dir), "doc_id", "pos")
     return docs.numbered_ids(heads, ["doc_id"], "pos", F.col("symbol")).select("doc_id", "pos", "section_id")
 

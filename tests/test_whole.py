@@ -53,3 +53,45 @@ def test_articles_of_every_regulation(spark, tmp_path):
     sep = "\n\n---\n\n"
     assert got == {(7, "5"): f"title 4{sep}clause 9 text 11", (8, "9"): "title 8", (10, "13"): f"title 12{sep}clause 13"}
     assert {r.doc_id for r in QUERIES["article_context"](spark, str(tmp_path)).collect()} == {10}
+
+
+GRAMMARS = [
+    (r"\s*(\d+(?:\.\d+)+)\.?\s+.+", lambda s: s, 0), (r"\s*(\d+)\.\s+.+", lambda s: s, 0), (r"\s*([IVXLCDM]+)\.\s+.+", str.upper, re.I),
+    (r"\s*BƯỚC\s+(\d+)\s*[.：:\-–—]?\s*.*", lambda s: f"Bước {s}", re.I), (r"\s*ĐIỀU\s+(\d+[A-ZĐ]?)\s*[.)：:]?\s*.*", lambda s: f"Điều {s}", re.I),
+]
+
+
+def heads_by_hand(doc_id, text):
+    """(pos, symbol, level, parent, section id, line) of a document's headings, (pos, None, ..., line) of its other lines."""
+    out, seen = [], {}
+    for pos, line in enumerate(text.split("\n")):
+        a, b, c = pos % 9 + 1, pos % 4 + 1, pos % 3 + 1
+        line = [f"{a}. {line}", f"{a}.{b} {line}", f"{a}.{b}.{c}. {line}", line, f"II. {line}"][(doc_id + pos * 3) % 5]
+        hits = [(name(m[1]), len(m[1].split(".")) if k == 0 else 1) for k, (p, name, flag) in enumerate(GRAMMARS) if (m := re.fullmatch(p, line, re.S | flag))]
+        if not hits:
+            out.append((pos, None, None, None, None, line))
+            continue
+        symbol, level = hits[0]
+        seen[symbol] = seen.get(symbol, 0) + 1
+        parent = max((p for p, s, n, *_ in out if s and n < level), default=None)
+        out.append((pos, symbol, level, parent, symbol if seen[symbol] == 1 else f"{symbol}_{seen[symbol]}", line))
+    return out
+
+
+NUMBERED = "\n".join(["1. Scope", "2.3 Terms of use", "", "4 apples", "2.3.1. Deeper still", "  7. Indented", "   ", "Điều 5. Articles", "2024 was a year", "plain text", "10.2 Last", "- 3. a bullet"])
+
+
+def test_numbered_lines_are_headings(spark, tmp_path):
+    texts = {i: NUMBERED for i in range(5)} | {5: "", 6: "3. alone", 8: "9.1 alone", 3: NUMBERED}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: heads_by_hand(i, t) for i, t in texts.items()}
+    heads = {(i, *h) for i, hs in want.items() for h in hs if h[1]}
+    at = str(tmp_path)
+    assert {tuple(r) for r in QUERIES["section_levels_all"](spark, at).select("doc_id", "pos", "symbol", "level", "parent").collect()} == {h[:5] for h in heads}
+    assert {tuple(r) for r in QUERIES["unique_suffix_all"](spark, at).select("doc_id", "pos", "section_id").collect()} == {(h[0], h[1], h[5]) for h in heads}
+    got = {}
+    for r in QUERIES["section_trees"](spark, at).collect():
+        got.setdefault(r.doc_id, []).extend([r.title, *r.text.split("\n")])
+    for i, hs in want.items():
+        lines = [h[5].strip() for h in hs if h[5].strip()]
+        assert sorted(x for x in got.get(i, []) if x) == sorted(lines)
