@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Largest table, in rows, that is ever broadcast; wider ones go through a shuffled join.
 BROADCAST_ROWS = 50_000
+#: Keys that can be hot at most, whatever the table's size.
+HOT_KEYS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,6 +68,39 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df.hint("merge")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def hot_rows(total: int) -> int:
+    """Rows from which a key counts as hot: fewer than ``HOT_KEYS`` keys of ``total`` rows can have more."""
+    return max(1024, -(-total // HOT_KEYS))
+
+
+def scanned(items: Column, start: Column, step: Callable[[Column, Column], Column], chunk: int = 256) -> Column:
+    """The accumulators after each item of an array. Chunks keep the cost of growing arrays linear in all but very long ones."""
+    empty = F.slice(F.array(start), F.lit(1), F.lit(0))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / chunk).cast("int")), lambda c: F.slice(items, c * chunk + 1, F.lit(chunk)))
+
+    def one(acc: Column, x: Column) -> Column:
+        now = step(acc["last"], x)
+        return F.struct(now.alias("last"), F.concat(acc["done"], F.array(now)).alias("done"))
+
+    def part(acc: Column, xs: Column) -> Column:
+        got = F.aggregate(xs, F.struct(acc["last"].alias("last"), empty.alias("done")), one)
+        return F.struct(got["last"].alias("last"), F.concat(acc["parts"], F.array(got["done"])).alias("parts"))
+
+    begin = F.struct(start.alias("last"), F.slice(F.array(empty), F.lit(1), F.lit(0)).alias("parts"))
+    return F.when(F.size(items) > 0, F.aggregate(chunks, begin, part, lambda acc: F.flatten(acc["parts"]))).otherwise(empty)
+
+
 def words(text: Column) -> Column:
     """The words of a text (null: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

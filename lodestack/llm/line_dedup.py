@@ -2,96 +2,109 @@
 
 Two lines are near if one word put in, left out or exchanged makes them equal. Then they share a
 variant: the line itself or the line without one word. Variants are hashed keys; equal keys meet in a
-join; the words themselves are compared; and the earliest line stays. A line that shares neither end
-of its words with another has no near line, and gives no variants. All of it is DataFrame work.
+join; the words themselves are compared; and the earliest line stays. Near lines share the first or the
+last half of their words, so a distinct line that shares neither with another gives no variants. All of
+it is DataFrame work.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import common
 
 #: Words that a line needs for an edit of one word to leave it 80 % alike; shorter ones must be equal.
 MIN_WORDS = 5
+#: White space within a line that is not one blank.
+GAPS = r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]"
+_LINES = 2**31
 
 
-def _ends(w: Column, n: Column) -> Column:
-    """Hashes of the first and the last k words, for the largest power of two k that is no more than half of the words but one.
+def _place(doc: Column, line: Column) -> Column:
+    """A line's place in the order of lines as one number: a minimum of it is a hash aggregate, one of pairs is not."""
+    return doc.cast("decimal(20,0)") * F.lit(_LINES).cast("decimal(10,0)") + line.cast("decimal(10,0)")
+
+
+def _placed(place: Column) -> tuple[Column, Column]:
+    """The document and the line of a place."""
+    line = F.pmod(place, F.lit(_LINES).cast("decimal(10,0)"))
+    return ((place - line) / F.lit(_LINES).cast("decimal(10,0)")).cast("long"), line.cast("int")
 
-    One edit leaves one half of the words as it was, and so one of the two ends. Where a line with a word
-    more has a larger k, the larger line has the ends of the smaller k as well.
-    """
-    k = F.lit(1)
-    for x in range(1, 24):
-        k = F.when(n > 2 << x, 1 << x).otherwise(k) if x > 1 else F.when(n > 4, 2).otherwise(1)
 
-    def ends(k: Column) -> list[Column]:
-        return [F.xxhash64(F.lit(0), k, F.slice(w, F.lit(1), k)), F.xxhash64(F.lit(1), k, F.slice(w, n - k + 1, k))]
+def _tidy_lines(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """(doc_id, line_no, s): every line, its words with single blanks between them."""
+    text = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), GAPS, " ")
+    at = docs.select(F.col(id_col).cast("long").alias("doc_id"), *more, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return at.where("doc_id is not null").select("doc_id", *more, "line_no", F.trim("line").alias("s"))
 
-    first = F.array(*ends(k))
-    return F.when((n == 2 * k + 1) & (n > MIN_WORDS), F.concat(first, F.array(*ends((k / 2).cast("int"))))).otherwise(first)
 
+def _hashes(s: Column) -> list[Column]:
+    return [F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(7), s).alias("h2")]
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    at = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    return at.select("doc_id", F.posexplode(F.split("text", "\\n")).alias("line_no", "line"))
+
+def _half(s: Column, n: Column, m: Column, side: int) -> Column:
+    """Hash of the first or last half of the words, as lines of m words at most with an edit between them share it."""
+    k = F.shiftright(m - 1, 1)
+    return F.when(n >= MIN_WORDS, F.xxhash64(F.lit(side), m, F.call_function("substring_index", s, F.lit(" "), -k if side else k)))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every line with a word as (doc_id, line_no, h1, h2, keys): the 128-bit hash of the words and the keys of their ends."""
-    # the test on the line, not on its words, keeps the words from being split twice
-    at = _lines(docs, id_col, text_col).where(F.col("line").rlike(common.WORD)).select("doc_id", "line_no", common.words(F.col("line")).alias("w"))
-    ends = F.when(F.size("w") >= MIN_WORDS, _ends(F.col("w"), F.size("w"))).otherwise(F.array().cast("array<bigint>"))
-    return at.select("doc_id", "line_no", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), "w").alias("h2"), ends.alias("keys"))
+    """Every line with a word as (doc_id, line_no, h1, h2, e0 to e3): the 128-bit hash of its words, and of its halves
+    among lines as long and among those of a word more (null for short lines). A document without words has one row without hashes."""
+    at = _tidy_lines(docs, id_col, text_col).where("s <> '' or line_no = 0")
+    n = F.length("s") - F.length(F.replace("s", F.lit(" "), F.lit(""))) + 1
+    at = at.select("doc_id", "line_no", F.nullif("s", F.lit("")).alias("s"), n.alias("n"))
+    halves = [_half(F.col("s"), F.col("n"), F.col("n") + d, side).alias(f"e{2 * d + side}") for d in (0, 1) for side in (0, 1)]
+    h = [F.when(F.col("s").isNotNull(), x).alias(f"h{i + 1}") for i, x in enumerate(_hashes(F.col("s")))]
+    return at.select("doc_id", "line_no", *h, *halves)
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """Of lines (doc_id, line_no, w): the line (pos 0) and the line without its pos-th word, as (m, v1, v2) of m words.
+    """Of lines (place, h1, h2, s): the line (pos 0) and the line without its pos-th word, as 128-bit hashes (v1, v2).
 
-    A variant's hash is the sum of its words' hashes by position, so that all variants of a line come
-    from two running sums.
+    A variant's hash is the exclusive or of its words' hashes by position, so that all variants of a line
+    come from running values within the row.
     """
-    at = lines.select("doc_id", "line_no", F.size("w").alias("n"), F.posexplode("w").alias("i", "x"))
 
-    def part(seed: int, shift: int) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "x", F.col("i") - shift), 24)
+    def word(x: Column, i: Column) -> Column:
+        return F.struct(*(F.xxhash64(F.lit(seed), x, i - late).alias(f"p{seed}{late}") for seed in (1, 2) for late in (0, 1)))
 
-    at = at.select("doc_id", "line_no", "n", "i", *(part(s, d).alias(f"p{s}{d}") for s in (1, 2) for d in (0, 1)))
-    line = Window.partitionBy("doc_id", "line_no")
-    upto = line.orderBy("i")
+    names = [f"p{seed}{late}" for seed in (1, 2) for late in (0, 1)]
+    zero = F.struct(*(F.lit(0).cast("long").alias(c) for c in names))
+    at = lines.select("place", "h1", "h2", F.transform(F.split("s", " "), word).alias("p"))
+    at = at.withColumn("upto", common.scanned(F.col("p"), zero, lambda acc, x: F.struct(*(acc[c].bitwiseXOR(x[c]).alias(c) for c in names))))
+    at = at.withColumn("last", F.element_at("upto", -1))
 
-    def without(s: int) -> Column:
-        return F.sum(f"p{s}0").over(upto) - F.col(f"p{s}0") + F.sum(f"p{s}1").over(line) - F.sum(f"p{s}1").over(upto)
+    def without(p: Column, upto: Column) -> Column:
+        own = [upto[f"p{s}0"].bitwiseXOR(p[f"p{s}0"]).bitwiseXOR(upto[f"p{s}1"]).bitwiseXOR(F.col(f"last.p{s}1")).alias(f"v{s}") for s in (1, 2)]
+        return F.struct(*own)
 
-    at = at.select("doc_id", "line_no", "n", "i", without(1).alias("v1"), without(2).alias("v2"), F.sum("p10").over(line).alias("w1"), F.sum("p20").over(line).alias("w2"))
-    own = F.struct((F.col("n") - 1).alias("m"), "v1", "v2", (F.col("i") + 1).alias("pos"))
-    full = F.struct(F.col("n").alias("m"), F.col("w1").alias("v1"), F.col("w2").alias("v2"), F.lit(0).alias("pos"))
-    return at.select("doc_id", "line_no", F.inline(F.when(F.col("i") == 0, F.array(own, full)).otherwise(F.array(own))))
+    whole = F.array(F.struct(F.col("last.p10").alias("v1"), F.col("last.p20").alias("v2")))
+    every = F.concat(whole, F.zip_with("p", "upto", without))
+    return at.select("place", "h1", "h2", F.posexplode(every).alias("pos", "v")).select("place", "h1", "h2", "pos", "v.v1", "v.v2")
 
 
 def near_lines(texts: DataFrame) -> DataFrame:
-    """(doc_id, line_no, of_doc, of_line): each line (doc_id, line_no, w) that has an earlier near one, and the earliest.
+    """(h1, h2, of): each line (place, h1, h2, s) that has an earlier near one, and the earliest such place.
 
     Lines without their pos-th word meet at equal pos, or they meet the line that is this variant; every
-    such meeting is one edit, so the earliest of a key serves all and no pairs are formed.
+    such meeting is one edit, so the earliest of a key serves all and no pairs are formed. Each key's
+    earliest is verified by itself, before the earliest of all is taken.
     """
-    keys = ["m", "v1", "v2"]
-    rows = common.written(variants(texts).withColumn("at", F.struct("doc_id", "line_no")), "variants")
-    first = rows.groupBy(*keys, "pos").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    shared = first.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.min(F.when(F.col("pos") == 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("pos") > 0, F.col("first"))).alias("cut"),
-    ).where("n > 1")
-    firsts = first.where("pos > 0 and n > 1").select(*keys, "pos", F.col("first").alias("same"))
-    met = rows.join(common.written(shared.drop("n"), "shared-variants"), keys)
-    met = met.join(common.written(firsts, "equal-variants"), [*keys, "pos"], "left")
-    other = F.when(F.col("pos") == 0, F.col("cut")).otherwise(F.least(F.coalesce("whole", "at"), F.coalesce("same", "at")))
-    met = met.withColumn("other", other).where("other < at")
-    pairs = met.groupBy("doc_id", "line_no").agg(F.min("other").alias("other")).select("doc_id", "line_no", "other.*").toDF("doc_id", "line_no", "of_doc", "of_line")
-    theirs = texts.select(F.col("doc_id").alias("of_doc"), F.col("line_no").alias("of_line"), F.col("w").alias("v"))
-    both = pairs.join(texts.select("doc_id", "line_no", "w"), ["doc_id", "line_no"]).join(theirs, ["of_doc", "of_line"])
-    return both.where(one_edit(F.col("w"), F.col("v"))).select("doc_id", "line_no", "of_doc", "of_line")
+    keys = ["v1", "v2"]
+    rows = common.written(variants(texts), "variants")
+    repeated = common.written(rows.groupBy(*keys).count().where("count > 1").select(*keys), "repeated-variants")
+    rows = common.written(rows.join(repeated, keys, "left_semi"), "shared-variants")
+    first = common.written(rows.groupBy(*keys, "pos").agg(F.min("place").alias("first"), F.count("*").alias("n")), "first-variants")
+    shared = first.groupBy(*keys).agg(F.min(F.when(F.col("pos") == 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("pos") > 0, F.col("first"))).alias("cut"))
+    same = first.where("pos > 0 and n > 1").select(*keys, "pos", F.col("first").alias("same"))
+    met = rows.join(shared, keys).join(same, [*keys, "pos"], "left")
+    partners = F.when(F.col("pos") == 0, F.array("cut")).otherwise(F.array("whole", "same"))
+    pairs = met.select("place", "h1", "h2", F.explode(partners).alias("of")).where("of < place").distinct()
+    theirs = texts.select(F.col("place").alias("of"), F.col("s").alias("v"))
+    both = common.written(pairs, "line-pairs").join(texts.select("place", "h1", "h2", "s"), ["place", "h1", "h2"]).join(theirs, "of")
+    return both.where(one_edit(F.split("s", " "), F.split("v", " "))).groupBy("h1", "h2").agg(F.min("of").alias("of"))
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -105,54 +118,68 @@ def one_edit(a: Column, b: Column) -> Column:
     return (F.size(differ) <= 1) | (after(a, k + 1) == after(b, k)) | (after(a, k) == after(b, k + 1)) | (after(a, k + 1) == after(b, k + 1))
 
 
+def _likely(docs: DataFrame, once: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(place, h1, h2, s) of the distinct lines that share a half with another."""
+    ends = once.select("place", "h1", F.explode(F.array("e0", "e1", "e2", "e3")).alias("end")).where("end is not null")
+    repeated = common.written(ends.groupBy("end").count().where("count > 1").select("end"), "repeated-halves")
+    doc, line = _placed(F.col("place"))
+    wanted = ends.join(repeated, "end", "left_semi").select(doc.alias("doc_id"), F.struct(line.alias("line_no"), "h1").alias("x"))
+    wanted = common.written(wanted.groupBy("doc_id").agg(F.collect_set("x").alias("wanted")), "likely-lines")
+    # this side grows with the table, so it is merged at every size; whole texts move as few rows
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(wanted.hint("merge"), "doc_id")
+    lines = _tidy_lines(whole, "doc_id", "text", "wanted").where("s <> ''")
+    lines = lines.select(_place(F.col("doc_id"), F.col("line_no")).alias("place"), *_hashes(F.col("s")), "s", "wanted", "line_no")
+    return lines.where(F.array_contains("wanted", F.struct("line_no", "h1"))).select("place", "h1", "h2", "s")
+
+
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, near) of every line that goes: an earlier line is equal to it (word by word), or near.
 
     Earlier is the smaller (doc_id, line_no), lines counted from 0. Lines without words stay. Null texts
-    and rows without an id have no lines; of rows that repeat an id the lines count as one document's.
+    and rows without an id have no lines; of rows that repeat an id the lines count as one document's, and
+    lines of one place in them as equal in order.
     """
     return _dropped(docs, common.written(keyed(docs, id_col, text_col), "lines"), id_col, text_col)
 
 
 def _dropped(docs: DataFrame, every: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    once = every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("keys").alias("keys"))
-    once = common.written(once.select("h1", "h2", "at.doc_id", "at.line_no", "keys"), "distinct-lines")
-    ends = once.select("doc_id", "line_no", F.explode("keys").alias("key"))
-    repeated = common.written(ends.groupBy("key").count().where("count > 1").select("key"), "repeated-ends")
-    likely = ends.join(repeated, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
-    likely = common.written(likely, "likely-lines")
-    # this side grows with the table, so it is merged at every size; whole texts move as few rows
-    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(likely.hint("merge"), "doc_id")
-    texts = whole.select("doc_id", F.posexplode(F.split("text", "\\n")).alias("line_no", "line"), "wanted").where(F.array_contains("wanted", F.col("line_no")))
-    texts = texts.select("doc_id", "line_no", common.words(F.col("line")).alias("w"))
-    texts = common.written(texts.dropDuplicates(["doc_id", "line_no"]) if _repeats(docs, id_col) else texts, "likely-texts")
-    near = common.written(near_lines(texts), "near-lines").join(once, ["doc_id", "line_no"]).select("h1", "h2", F.lit(True).alias("near"))
-    stays = once.select("h1", "h2", F.struct("doc_id", "line_no").alias("at"))
-    marked = stays.join(near, ["h1", "h2"], "left")
-    out = every.select("doc_id", "line_no", "h1", "h2").join(marked, ["h1", "h2"])
-    return out.where((F.col("at") != F.struct("doc_id", "line_no")) | F.col("near")).select("doc_id", "line_no", (F.col("at") == F.struct("doc_id", "line_no")).alias("near"))
-
-
-def _repeats(docs: DataFrame, id_col: str) -> bool:
-    return not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
+    every = every.where("h1 is not null")
+    once = every.withColumn("place", _place(F.col("doc_id"), F.col("line_no"))).groupBy("h1", "h2").agg(
+        F.min("place").alias("place"), F.count("*").alias("copies"), *(F.min(c).alias(c) for c in ("e0", "e1", "e2", "e3")),
+    )
+    once = common.written(once, "distinct-lines")
+    texts = common.written(_likely(docs, once, id_col, text_col), "likely-texts")
+    near = common.written(near_lines(texts), "near-lines").select("h1", "h2", F.lit(True).alias("near"))
+    doc, line = _placed(F.col("place"))
+    marked = once.join(near, ["h1", "h2"], "left").where("copies > 1 or near").select("h1", "h2", "copies", doc.alias("first_doc"), line.alias("first_line"), F.coalesce("near", F.lit(False)).alias("near"))
+    marked = common.written(marked, "marked-lines")
+    lines = every.select("doc_id", "line_no", "h1", "h2")
+    most = common.hot_rows(once.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0])
+    hot = marked.where(F.col("copies") > most)  # fewer than common.HOT_KEYS rows, so it may be broadcast
+    met = lines.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(marked.where(F.col("copies") <= most).hint("merge"), ["h1", "h2"])
+    met = met.unionByName(lines.join(F.broadcast(hot), ["h1", "h2"]))
+    first = (F.col("doc_id") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
+    return met.where(~first | F.col("near")).select("doc_id", "line_no", first.alias("near"))
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each id: doc_id, n_lines (with words), n_dropped, n_near, dropped (line numbers, ascending)."""
+    """One row for each id: doc_id, n_lines (with words), n_dropped, n_near, dropped (line numbers, ascending).
+
+    Null and empty texts have no lines; rows without an id are left out; rows that repeat an id are one row.
+    """
     every = common.written(keyed(docs, id_col, text_col), "lines")
     gone = _dropped(docs, every, id_col, text_col).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"), F.count_if("near").alias("n_near"))
-    n = every.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
-    there = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    out = there.join(n, "doc_id", "left").join(gone, "doc_id", "left")
+    n = every.groupBy("doc_id").agg(F.count("h1").alias("n_lines"))
     none = F.array().cast("array<int>")
-    zero = F.lit(0).cast("long")
-    return out.select("doc_id", F.coalesce("n_lines", zero).alias("n_lines"), F.size(F.coalesce("dropped", none)).cast("long").alias("n_dropped"), F.coalesce("n_near", zero).alias("n_near"), F.coalesce("dropped", none).alias("dropped"))
+    size = F.size(F.coalesce("dropped", none)).cast("long")
+    return n.join(gone, "doc_id", "left").select("doc_id", "n_lines", size.alias("n_dropped"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.coalesce("dropped", none).alias("dropped"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` (ids unique) without the dropped lines of ``text_col``."""
-    gone = dropped(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    out = docs.join(gone, F.col(id_col).cast("long") == F.col("_id"), "left")
-    numbered = F.transform(F.split(text_col, "\\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    left = F.array_join(F.transform(F.filter(numbered, lambda x: ~F.array_contains("_gone", x["i"])), lambda x: x["x"]), "\n")
-    return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)).drop("_id", "_gone")
+    """``docs`` (ids unique) without the dropped lines of ``text_col``; rows without an id stay as they are."""
+    key, lines = common.fresh(docs, "line_dedup_id", "line_dedup_gone")
+    gone = dropped(docs, id_col, text_col).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(lines))
+    out = docs.join(gone, F.col(id_col).cast("long") == F.col(key), "left")
+    numbered = F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    left = F.array_join(F.transform(F.filter(numbered, lambda x: ~F.array_contains(lines, x["i"])), lambda x: x["x"]), "\n")
+    return out.withColumn(text_col, F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(left)).drop(key, lines)
