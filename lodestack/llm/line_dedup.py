@@ -61,7 +61,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """Of lines (place, h1, h2, s): the line (pos 0) and the line without its pos-th word, as 128-bit hashes (v1, v2).
+    """Of lines (place, s): the line (pos 0) and the line without its pos-th word, as 128-bit hashes (v1, v2).
 
     A variant's hash is the exclusive or of its words' hashes by position, so that all variants of a line
     come from running values within the row.
@@ -72,7 +72,7 @@ def variants(lines: DataFrame) -> DataFrame:
 
     names = [f"p{seed}{late}" for seed in (1, 2) for late in (0, 1)]
     zero = F.struct(*(F.lit(0).cast("long").alias(c) for c in names))
-    at = lines.select("place", "h1", "h2", F.transform(F.split("s", " "), word).alias("p"))
+    at = lines.select("place", F.transform(F.split("s", " "), word).alias("p"))
     at = at.withColumn("upto", common.scanned(F.col("p"), zero, lambda acc, x: F.struct(*(acc[c].bitwiseXOR(x[c]).alias(c) for c in names))))
     at = at.withColumn("last", F.element_at("upto", -1))
 
@@ -82,7 +82,7 @@ def variants(lines: DataFrame) -> DataFrame:
 
     whole = F.array(F.struct(F.col("last.p10").alias("v1"), F.col("last.p20").alias("v2")))
     every = F.concat(whole, F.zip_with("p", "upto", without))
-    return at.select("place", "h1", "h2", F.posexplode(every).alias("pos", "v")).select("place", "h1", "h2", "pos", "v.v1", "v.v2")
+    return at.select("place", F.posexplode(every).alias("pos", "v")).select("place", "pos", "v.v1", "v.v2")
 
 
 def near_lines(texts: DataFrame) -> DataFrame:
@@ -94,16 +94,16 @@ def near_lines(texts: DataFrame) -> DataFrame:
     """
     keys = ["v1", "v2"]
     rows = common.written(variants(texts), "variants")
-    repeated = common.written(rows.groupBy(*keys).count().where("count > 1").select(*keys), "repeated-variants")
-    rows = common.written(rows.join(repeated, keys, "left_semi"), "shared-variants")
+    repeated = common.written(rows.groupBy("v1").count().where("count > 1").select("v1"), "repeated-variants")
+    rows = common.written(rows.join(common.maybe_broadcast(repeated), "v1", "left_semi"), "shared-variants")
     first = common.written(rows.groupBy(*keys, "pos").agg(F.min("place").alias("first"), F.count("*").alias("n")), "first-variants")
     shared = first.groupBy(*keys).agg(F.min(F.when(F.col("pos") == 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("pos") > 0, F.col("first"))).alias("cut"))
     same = first.where("pos > 0 and n > 1").select(*keys, "pos", F.col("first").alias("same"))
     met = rows.join(shared, keys).join(same, [*keys, "pos"], "left")
     partners = F.when(F.col("pos") == 0, F.array("cut")).otherwise(F.array("whole", "same"))
-    pairs = met.select("place", "h1", "h2", F.explode(partners).alias("of")).where("of < place").distinct()
-    theirs = texts.select(F.col("place").alias("of"), F.col("s").alias("v"))
-    both = common.written(pairs, "line-pairs").join(texts.select("place", "h1", "h2", "s"), ["place", "h1", "h2"]).join(theirs, "of")
+    pairs = common.written(met.select("place", F.explode(partners).alias("of")).where("of < place").distinct(), "line-pairs")
+    # of rows that repeat an id two lines may have one place: then each is compared
+    both = pairs.join(texts, "place").join(texts.select(F.col("place").alias("of"), F.col("s").alias("v")), "of")
     return both.where(one_edit(F.split("s", " "), F.split("v", " "))).groupBy("h1", "h2").agg(F.min("of").alias("of"))
 
 
@@ -123,7 +123,7 @@ def _likely(docs: DataFrame, once: DataFrame, id_col: str, text_col: str) -> Dat
     ends = once.select("place", "h1", F.explode(F.array("e0", "e1", "e2", "e3")).alias("end")).where("end is not null")
     repeated = common.written(ends.groupBy("end").count().where("count > 1").select("end"), "repeated-halves")
     doc, line = _placed(F.col("place"))
-    wanted = ends.join(repeated, "end", "left_semi").select(doc.alias("doc_id"), F.struct(line.alias("line_no"), "h1").alias("x"))
+    wanted = ends.join(common.maybe_broadcast(repeated), "end", "left_semi").select(doc.alias("doc_id"), F.struct(line.alias("line_no"), "h1").alias("x"))
     wanted = common.written(wanted.groupBy("doc_id").agg(F.collect_set("x").alias("wanted")), "likely-lines")
     # this side grows with the table, so it is merged at every size; whole texts move as few rows
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(wanted.hint("merge"), "doc_id")
