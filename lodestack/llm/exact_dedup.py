@@ -1,15 +1,19 @@
 """Exact dedup against a persistent digest index, bucketed and sorted by digest.
 
-A batch is reduced to digests, one row for each text; a sort-merge anti-join with the index
-finds the digests that are new, and these are appended. Texts never enter a shuffle.
+A batch is reduced to digests, one row for each text. The index is read bucket by bucket, never
+shuffled: a sort-merge join finds the batch's digests that it has, an anti-join those that are new,
+and both are appended under the batch's name, so that a batch which runs again replaces itself. Texts
+never meet the index.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,69 +29,140 @@ def text_digest(text: pa.Array) -> pa.Array:
 
 
 class DigestIndex:
-    """A table ``(digest, keep_id, group_size, batch)`` with one row for each text ever accepted.
+    """A table ``(digest, keep_id, rows, origin)`` in partitions by batch: one row for each text of each batch,
+    with the id that stays, the batch's number of copies and the batch that first brought it.
 
-    ``buckets`` is fixed for the life of an index; size it so that a bucket of digests fits a task
-    (64 buckets of 4 M digests are about 250 M texts). ``open`` registers an index that exists.
+    The number of buckets is fixed for the life of an index and stored beside it; an index that exists is
+    opened with its own, and asking for another is an error. Size it so that a bucket of digests fits a
+    task (64 buckets of 4 M digests are about 250 M texts).
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path
+        self.buckets = self._stored(buckets)
         self.table = f"digest_index_{hashlib.md5(path.encode()).hexdigest()}"
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING) "
-            f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
-        )
-
-    def append(self, slim: DataFrame, batch: str) -> None:
-        """Adds the digests of ``slim (doc_id, digest, rows)`` that the index lacks."""
-        groups = slim.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("rows").alias("group_size"))
-        new = groups.hint("merge").join(self.spark.table(self.table).select("digest"), "digest", "left_anti")
-        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
-        (
-            new.withColumn("batch", F.lit(batch)).repartition(self.buckets, bucket)
-            .write.mode("append").format("parquet").option("path", self.path)
-            .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, rows BIGINT, origin STRING, batch STRING) "
+            f"USING parquet PARTITIONED BY (batch) CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}/rows'"
         )
+        self._folder("rows", lambda fs, folder: fs.mkdirs(folder))
+        spark.catalog.recoverPartitions(self.table)
+
+    def _folder(self, name: str, act: Callable) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        act(folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder)
+
+    def _stored(self, buckets: int | None) -> int:
+        try:
+            there = self.spark.read.schema("buckets int").parquet(f"{self.path}/meta").first()
+        except AnalysisException:  # no such folder: a new index
+            there = None
+        if there is None:
+            self.spark.createDataFrame([(buckets or 64,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta")
+            return buckets or 64
+        if buckets not in (None, there["buckets"]):
+            raise ValueError(f"the index has {there['buckets']} buckets, not {buckets}")
+        return there["buckets"]
 
     def rows(self) -> DataFrame:
-        """The index read by path: a plain shuffled join with it lets AQE split the digest of a hot group."""
-        return self.spark.read.schema("digest binary, keep_id long, group_size long, batch string").parquet(self.path)
-
-
-def verdicts(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        return self.spark.table(self.table)
+
+    def _replace(self, rows: DataFrame, batch: str) -> None:
+        key = "spark.sql.sources.partitionOverwriteMode"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, "dynamic")
+        try:
+            spread = rows.repartition(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets)))
+            spread.select("digest", "keep_id", "rows", "origin", F.lit(batch).alias("batch")).write.insertInto(self.table, overwrite=True)
+        finally:
+            self.spark.conf.set(key, before)
+
+    def totals(self, digests: DataFrame, but: str | None = None) -> DataFrame:
+        """(digest, keep_id, group_size, origin) of those of ``digests`` that are in the index, ``but`` one batch left out."""
+        there = self.rows() if but is None else self.rows().where(F.col("batch") != but)
+        hits = there.join(digests.select("digest").distinct().hint("merge"), "digest", "left_semi")
+        return hits.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("rows").alias("group_size"), F.max("origin").alias("origin"))
+
+    def add(self, slim: DataFrame, batch: str) -> None:
+        """Enters ``slim (doc_id, digest, rows)`` as a batch: texts that other batches have keep their row, new ones the largest id."""
+        groups = slim.groupBy("digest").agg(F.max("doc_id").alias("own_id"), F.sum("rows").alias("rows"))
+        groups = common.written(groups, "digest-groups")
+        if groups.isEmpty():
+            return
+        known = common.written(self.totals(groups, batch), "known-digests")
+        new = groups.hint("merge").join(known.select("digest"), "digest", "left_anti").select("digest", F.col("own_id").alias("keep_id"), "rows", F.lit(batch).alias("origin"))
+        again = groups.select("digest", "rows").hint("merge").join(known, "digest").select("digest", "keep_id", "rows", "origin")
+        self._replace(new.unionByName(again), batch)
+
+    def compact(self) -> None:
+        """Folds all batches into one partition with one file a bucket; batches that it holds cannot run again."""
+        at = self.rows().groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("rows").alias("rows"), F.max("origin").alias("origin"))
+        old = [r[0] for r in self.spark.sql(f"SHOW PARTITIONS {self.table}").collect()]  # as many as there are batches
+        name = f"base-{uuid.uuid4().hex}"
+        self._replace(common.written(at, "compacted"), name)
+        for part in old:
+            self.spark.sql(f"ALTER TABLE {self.table} DROP PARTITION (batch = '{part.partition('=')[2]}')")
+            # an external table keeps a dropped partition's folder, and reopening must not find it
+            self._folder(f"rows/{part}", lambda fs, folder: fs.delete(folder, True))
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, digest, rows) as a written table: rows of one id and text are one."""
+    at = common.bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest"))
+    return common.written(at.groupBy("digest", "doc_id").agg(F.count("*").alias("rows")), "digests")
+
+
+def judged(slim: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``slim (doc_id, digest, rows, batch)`` with the totals of their digests as verdicts."""
+    first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1) & (F.col("origin") == F.col("batch"))
+    at = slim.join(found, "digest").select("*", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("nth"))
+    return at.select("doc_id", "keep_id", "group_size", first.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def verdicts(docs: DataFrame, index: DigestIndex, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts of a batch the row with the largest id stays; a text that an earlier batch has
-    brought stays with that batch's row. Null texts are empty texts. Of rows that repeat both id and
-    text, one is kept. An id of null stays only if its whole group has none. An empty batch adds nothing.
+    brought stays with that batch's row; group_size counts all batches so far. A batch that runs again
+    under its name replaces itself and gets the same verdicts. Null texts are empty texts. Of rows that
+    repeat both id and text, one is kept. An id of null stays only if its whole group has none. An empty
+    batch adds nothing.
     """
-    batch = uuid.uuid4().hex
-    slim = common.written(
-        common.bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest"))
-        .groupBy("digest", "doc_id").agg(F.count("*").alias("rows")),
-        "digests",
-    )
-    index.append(slim, batch)
-    return (
-        slim.join(index.rows().withColumnRenamed("batch", "of"), "digest")
-        .select("*", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("nth"))
-        .select(
-            "doc_id", "keep_id", "group_size",
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1) & (F.col("of") == batch)).alias("kept"),
-            F.lower(F.hex("digest")).alias("text_sha256"),
-        )
-    )
+    batch = batch or uuid.uuid4().hex
+    slim = digests(docs, id_col, text_col)
+    index.add(slim, batch)
+    return judged(slim.withColumn("batch", F.lit(batch)), index.totals(slim))
+
 
+def in_batches(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``verdicts`` of a whole table that enters the index in two batches: the larger half of the ids, then the rest.
 
-def deduplicated(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = common.written(verdicts(docs, index, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_kept_sha")), "kept")
-    out = common.bound_batches(docs).withColumn("_sha", F.lower(F.hex(text_digest(F.col(text_col)))))
-    out = out.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_keep")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
-    if not _unique(docs, id_col):
-        out = out.dropDuplicates([id_col, "_sha"])
-    return out.drop("_sha")
+    Larger ids come first, so that still the largest id of all stays.
+    """
+    key = F.col(id_col).cast("long")
+    middle = docs.agg(F.floor((F.min(key) / 2 + F.max(key) / 2)).alias("m")).first()["m"]
+    later = F.coalesce(key < F.lit(middle), F.lit(True))
+    parts = []
+    for batch, half in (("1", docs.where(~later)), ("2", docs.where(later))):
+        slim = digests(half, id_col, text_col)
+        index.add(slim, batch)
+        parts.append(slim.withColumn("batch", F.lit(batch)))
+    slim = parts[0].unionByName(parts[1])
+    return judged(slim, index.totals(slim))
+
+
+def deduplicated(docs: DataFrame, index: DigestIndex, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns. Where ids are unique only dropped ids meet the texts."""
+    judged_ = verdicts(docs, index, batch, id_col, text_col)
+    key, sha = common.fresh(docs, "exact_dedup_id", "exact_dedup_sha")
+    if _unique(docs, id_col):
+        gone = common.written(judged_.where("NOT kept").select(F.col("doc_id").alias(key)), "dropped")
+        return docs.join(common.maybe_broadcast(gone), F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left_anti")
+    other = common.fresh(docs.withColumn(sha, F.lit("")), "exact_dedup_kept_sha")[0]
+    kept = common.written(judged_.where("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(other)), "kept")
+    out = common.bound_batches(docs).withColumn(sha, F.lower(F.hex(text_digest(F.col(text_col)))))
+    out = out.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.col(sha) == F.col(other)), "left_semi")
+    return out.dropDuplicates([id_col, sha]).drop(sha)
 
 
 def _unique(docs: DataFrame, id_col: str) -> bool:

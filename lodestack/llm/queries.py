@@ -15,7 +15,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.verdicts(documents(spark, sf_dir), exact_dedup.fresh_index(spark))
+    return exact_dedup.in_batches(documents(spark, sf_dir), exact_dedup.fresh_index(spark))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

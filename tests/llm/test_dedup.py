@@ -5,6 +5,7 @@ import itertools
 import re
 from collections import Counter
 
+import pytest
 import xxhash
 
 from lodestack.llm import exact_dedup, line_dedup, simhash_dedup
@@ -42,11 +43,32 @@ def test_exact_dedup(spark):
 
 def test_exact_dedup_across_batches(spark):
     index = exact_dedup.fresh_index(spark, 4)
-    assert all(r.kept for r in exact_dedup.verdicts(docs(spark, [(1, "a"), (2, "b")]), index).collect())
-    again = exact_dedup.DigestIndex(spark, index.path, 4)  # opened a second time
-    got = {r.doc_id: (r.kept, r.keep_id) for r in exact_dedup.verdicts(docs(spark, [(3, "A"), (4, "c")]), again).collect()}
-    assert got == {3: (False, 1), 4: (True, 4)} and index.rows().count() == 3
-    assert exact_dedup.verdicts(docs(spark, []), index).count() == 0
+    run = lambda rows, batch, index=index: {r.doc_id: (r.kept, r.keep_id, r.group_size) for r in exact_dedup.verdicts(docs(spark, rows), index, batch).collect()}
+    assert run([(1, "a"), (2, "b")], "x") == {1: (True, 1, 1), 2: (True, 2, 1)}
+    spark.sql(f"DROP TABLE {index.table}")  # a new session's catalogue does not know the table
+    again = exact_dedup.DigestIndex(spark, index.path)  # opened a second time, with the buckets it has
+    assert again.buckets == 4
+    want = {3: (False, 1, 2), 4: (True, 4, 1)}
+    assert run([(3, "A"), (4, "c")], "y", again) == want and run([(3, "A"), (4, "c")], "y", again) == want  # a batch that runs again
+    assert run([(5, "c"), (6, "a"), (7, "d"), (8, "D")], "z", again) == {5: (False, 4, 2), 6: (False, 1, 3), 7: (False, 8, 2), 8: (True, 8, 2)}
+    assert run([(3, "A"), (4, "c")], "y", again) == {3: (False, 1, 3), 4: (True, 4, 2)}  # sizes count all batches so far
+    again.compact()
+    spark.sql(f"DROP TABLE {index.table}")
+    third = exact_dedup.DigestIndex(spark, index.path, 4)
+    assert third.rows().count() == 4 and run([(9, "d"), (10, "e")], "w", third) == {9: (False, 8, 3), 10: (True, 10, 1)}
+    assert exact_dedup.verdicts(docs(spark, []), index, "v").count() == 0
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, index.path, 8)
+
+
+def test_exact_dedup_in_two_batches(spark):
+    rows = some()
+    one = exact_dedup.verdicts(docs(spark, rows), exact_dedup.fresh_index(spark, 4), "x").collect()
+    assert Counter(exact_dedup.in_batches(docs(spark, rows), exact_dedup.fresh_index(spark, 4)).collect()) == Counter(one)
+    assert exact_dedup.in_batches(docs(spark, []), exact_dedup.fresh_index(spark, 4)).count() == 0
+    odd = spark.createDataFrame([(1, "a", "s", 2), (3, "a", "t", 4)], "doc_id long, text string, exact_dedup_sha string, exact_dedup_id long")
+    left = exact_dedup.deduplicated(odd, exact_dedup.fresh_index(spark, 4)).collect()
+    assert [tuple(r) for r in left] == [(3, "a", "t", 4)]
 
 
 def by_hand(text):
