@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
+
 from lodestack.llm import pii, quality_rules
 
 SCHEMA = "doc_id long, text string, source string, host string, n_words long, spans string"
@@ -47,6 +49,39 @@ def test_hosts(spark):
     assert quality_rules.judged(docs(spark, [])).count() == 0
 
 
+def shrunk(hosts):
+    """Rates and probabilities by hand: variance between and within hosts, and beta integrals by a fine sum."""
+    total, bad, k = sum(n for n, _ in hosts), sum(x for _, x in hosts), len(hosts)
+    mean = bad / total
+    between = sum(n * (x / n - mean) ** 2 for n, x in hosts) / (k - 1)
+    within = sum(n * (x / n) * (1 - x / n) for n, x in hosts) / (total - k)
+    size = (total - sum(n * n for n, _ in hosts) / total) / (k - 1)
+    strength = min(1e6, max(0.1, 1 / ((between - within) / (between + (size - 1) * within)) - 1)) if between > within else 1e6
+    odds = 4 * mean / (1 - mean)
+    out = []
+    u = np.linspace(-300, 300, 2_000_001)  # logits: the density has poles at rates of 0 and 1
+    for n, f in hosts:
+        a, b = f + mean * strength, n - f + (1 - mean) * strength
+        d = a * u - (a + b) * np.logaddexp(0, u)
+        d = np.exp(d - d.max())
+        out.append((a / (a + b), d[u > np.log(odds)].sum() / d.sum()))
+    return out
+
+
+def test_host_rates(spark):
+    for hosts in ([(50, 6)] * 5 + [(50, 30), (3, 3), (1, 1), (400, 30), (2000, 900)], [(50, 5), (60, 6), (70, 7)], [(1, 1), (1, 0), (30, 20), (40, 0)]):
+        rows = [(f"h{i}", i + 10 * j < 10 * x + i) for i, (n, x) in enumerate(hosts) for j in range(n)]
+        got = {r.host: r for r in quality_rules.host_verdicts(spark.createDataFrame(rows, "host string, base_failed boolean")).collect()}
+        for i, ((n, x), (rate, p)) in enumerate(zip(hosts, shrunk(hosts))):
+            r = got[f"h{i}"]
+            assert (r.n, r.failed) == (n, x) and abs(r.rate - rate) < 1e-9 and abs(r.p_above - p) < 2e-3 and r.host_ok == (r.p_above < 0.95), (n, x, r, rate, p)
+    rows = [("junk", True)] * 60 + [("one", True)] + [(f"s{i}", i % 10 == 0) for i in range(1000)]
+    bad = {r.host for r in quality_rules.host_verdicts(spark.createDataFrame(rows, "host string, base_failed boolean")).where("NOT host_ok").collect()}
+    assert bad == {"junk"}  # many hosts of one document do not switch shrinking off
+    for one in (True, False):
+        assert all(r.host_ok for r in quality_rules.host_verdicts(spark.createDataFrame([("a", one), ("b", one)], "host string, base_failed boolean")).collect())
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
