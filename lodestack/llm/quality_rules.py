@@ -16,8 +16,8 @@ from lodestack.llm import common
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A host is rejected if, with at least this probability, its odds of failure are above so many times the corpus'.
 MIN_PROBABILITY, MAX_ODDS = 0.95, 4.0
-#: Documents that the prior may count for: from nearly none to where all hosts are as good as alike.
-STRENGTHS = (0.1, 1e6)
+#: Documents that the prior may count for: at least one, so that no host falls by a document or two; at most where all hosts are as good as alike.
+STRENGTHS = (1.0, 1e6)
 #: Nodes on each side of the limit, of the sum that stands for a beta distribution's integral.
 NODES = 200
 

@@ -56,7 +56,7 @@ def shrunk(hosts):
     between = sum(n * (x / n - mean) ** 2 for n, x in hosts) / (k - 1)
     within = sum(n * (x / n) * (1 - x / n) for n, x in hosts) / (total - k)
     size = (total - sum(n * n for n, _ in hosts) / total) / (k - 1)
-    strength = min(1e6, max(0.1, 1 / ((between - within) / (between + (size - 1) * within)) - 1)) if between > within else 1e6
+    strength = min(1e6, max(1.0, 1 / ((between - within) / (between + (size - 1) * within)) - 1)) if between > within else 1e6
     odds = 4 * mean / (1 - mean)
     out = []
     u = np.linspace(-300, 300, 2_000_001)  # logits: the density has poles at rates of 0 and 1
