@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 #: One word: anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: Largest table, in rows, that is ever broadcast; wider ones go through a shuffled join.
-BROADCAST_ROWS = 50_000
+#: Largest table, in rows and bytes, that is ever broadcast; wider ones go through a shuffled join.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
 #: Keys that can be hot at most, whatever the table's size.
 HOT_KEYS = 20_000
 
@@ -59,8 +59,9 @@ def bound_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a written table has at most so many rows."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether a written table has at most so many rows, and in all no more than BROADCAST_BYTES as text."""
+    few = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("size")).first()
+    return few["n"] <= rows and few["size"] <= BROADCAST_BYTES
 
 
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,58 +1,68 @@
-"""Terms next to entities: the whole window counts, and nothing within an entity does."""
+"""Terms next to entities against plain Python: occurrences, contexts, disclosure and generalisation."""
 
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 from lodestack.llm import pii
 from tests.llm.test_rules_pii import BASE, docs, passes
 
 FILLER = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
+TOKEN = re.compile("|".join(f"(?P<{k}>{BASE[k]})" for k in ("email", "phone", "ip", "card")) + r"|(?P<word>[^\W\d_]+)")
 
 
-def places(text):
-    return sorted((m.start(), m.end(), k, m[0]) for k, p in BASE.items() for m in re.finditer(p, text) if passes(k, m[0]))
+def tokens(text):
+    for m in TOKEN.finditer(text):
+        k = m.lastgroup if m.lastgroup else next(k for k, v in m.groupdict().items() if v)
+        k = next(k for k in ("email", "phone", "ip", "card", "word") if m[k])
+        if k == "word" or passes(k, m[0]):
+            yield (None, m[0]) if k == "word" else (f"{k}:{m[0].lower()}", None)
 
 
-def blanks(text):
-    out = list(text)
-    for a, b, *_ in places(text):
-        out[a:b] = " " * (b - a)
-    return "".join(out)
-
-
-def together(texts):
-    """(term, entity) with their counts, and how often each term occurs outside entities."""
-    pairs, n = Counter(), Counter()
-    for t in texts:
-        clear = blanks(t)
-        n.update(re.findall(r"[^\W\d_]{4,}", clear))
-        for a, b, kind, m in places(t):
-            near = re.findall(r"[^\W\d_]+", clear[max(a - 120, 0) : a])[-4:] + re.findall(r"[^\W\d_]+", clear[b : b + 120])[:4]
-            pairs.update((x, f"{kind}:{m.lower()}") for x in set(near) if len(x) >= 4)
-    return pairs, n
+def by_hand(texts):
+    n, together, contexts, classes = Counter(), Counter(), defaultdict(set), Counter()
+    cls = lambda t: "[WORD]" if t.upper() == t else "[Word]" if t[0].isupper() and t[1:].islower() else "[word]"
+    for text in texts:
+        seq = list(tokens(text))
+        for i, (_, t) in enumerate(seq):
+            if t and len(t) >= 4:
+                n[t] += 1
+                around = seq[max(i - 4, 0) : i + 5]
+                for e in {e for e, _ in around if e}:
+                    together[t, e] += 1
+                    contexts[t, e].add(tuple((x, y if y and len(y) >= 4 else None) for x, y in around))
+    total = sum(n.values())
+    chance = Counter()
+    for (t, e), c in together.items():
+        chance[e] += c / total
+        classes[cls(t), e] += c
+    size = Counter()
+    for t, c in n.items():
+        size[cls(t)] += c
+    share = lambda c, of, p: 1 - math.log2((c + p) / (of + 1)) / math.log2(p)
+    out = {}
+    for (t, e), c in together.items():
+        d = share(c, n[t], chance[e])
+        if len(contexts[t, e]) >= 3 and d >= 0.95:
+            k = cls(t)
+            out[t, e] = (c, n[t], len(contexts[t, e]), round(d, 9), k if share(classes[k, e], size[k], chance[e]) < 0.95 else "")
+    return out
 
 
 TEXTS = [
-    *[f"{FILLER} Zorblax Berg, since 2024, card 4111111111111111"] * 3,
-    *["smith smith@smith.org reach", "smith@smith.org smith"] * 2,
-    *["Quux Corge 😀 a@x.example b@y.example Garply 10.20.30.40 11 22 33 Waldo, 1.2.3.4@z.example Plugh"] * 3,
+    *[f"{FILLER} {w} Zorblax Berg, since 2024, card 4111111111111111" for w in ("alpha", "gamma", "delta", "zeta", "iota", "kappa", "sigma")],
+    *[f"smith smith@smith.org {w} smith" for w in ("reach", "mail", "call")], "smith@smith.org smith",
+    *[f"Quux {w} 😀 a@x.example b@y.example Garply 10.20.30.40 11 22 33 Waldo, 1.2.3.4@z.example Plugh" for w in ("Corge", "Grault", "Fred")],
+    *[f"ЖУКОВ {w} +44 20 7946 0958 ЖУКОВ +44 20 7946 0958" for w in ("один", "два", "три", "четыре")],
     "é" * 130 + " +1 (555) 123-4567 then +44 20 7946 0958.", "a@b.c@d.e 999.1.1.1 Fred", "", *[FILLER] * 5,
+    *["Copied Person p.q@copies.example told"] * 9,
 ]
 
 
-def test_entities_and_blanks(spark):
-    at = docs(spark, [(i, t, "s") for i, t in enumerate(TEXTS)]).select("doc_id", "text", pii.entities(pii.F.col("text")).alias("found"))
-    for r in at.select("doc_id", "found", pii.blanked(pii.F.col("text"), pii.F.col("found")).alias("clear")).collect():
-        assert [tuple(x) for x in r.found] == places(TEXTS[r.doc_id]) and r.clear == blanks(TEXTS[r.doc_id])
-
-
-def test_whole_window(spark):
-    got = {(r.term, r.entity): (r.together, r.n) for r in pii.disclosing_terms(docs(spark, [(i, t, "s") for i, t in enumerate(TEXTS)])).collect()}
-    pairs, n = together(TEXTS)
-    loose = {k: (c, n[k[0]]) for k, c in pairs.items() if c >= pii.MIN_SUPPORT and c >= pii.MIN_SHARE * n[k[0]]}
-    assert got.items() <= loose.items()
-    card, smith = "card:4111111111111111", "email:smith@smith.org"
-    assert got["Zorblax", card] == (3, 3) and got["Berg", card] == (3, 3)  # left of the number 2024, which is no card
-    assert got["smith", smith] == (4, 4)  # by whole texts it would be 4 of 12
-    assert got["Quux", "email:b@y.example"] == (3, 3) and got["Garply", "email:a@x.example"] == (3, 3)  # across an e-mail
-    assert {e for t, e in got if t == "Waldo"} >= {"ip:10.20.30.40"}
+def test_terms_against_brute_force(spark):
+    got = {(r.term, r.entity): (r.together, r.n, r.support, round(r.disclosure, 9), r.general) for r in pii.disclosing_terms(docs(spark, [(i, t, "s") for i, t in enumerate(TEXTS)])).collect()}
+    assert got == by_hand(TEXTS)
+    assert got["Zorblax", "card:4111111111111111"][:2] == (7, 7) and got["smith", "email:smith@smith.org"][:2] == (7, 7)
+    assert got["ЖУКОВ", "phone:+44 20 7946 0958"][0] == 8  # between two hits of one number each occurrence counts once
+    assert not any(t in ("Copied", "Person") for t, _ in got)  # one text, however often it is copied, is one context
+    assert {g for *_, g in got.values()} >= {"[Word]", ""}

@@ -123,10 +123,11 @@ def test_base_spans(spark):
 
 def test_disclosing_terms(spark):
     filler = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
-    rows = [(i, f"{filler} reach Zorblax at zor@x.example today", "s") for i in range(4)] + [(9, "Zorblax was seen, reach him", "s"), (10, "zor@x.example", "s"), (None, "Zorblax", "s")]
+    rows = [(i, f"{filler} {'abcdefghijklmno'[i]}way reach Zorblax at zor@x.example today", "s") for i in range(-15, 0)] + [(9, "Zorblax was seen, reach him", "s"), (10, "zor@x.example", "s"), (None, "Zorblax", "s")]
     rows += [(20 + i, f"reach {filler} today", "s") for i in range(9)]
     assert {r.term for r in pii.disclosing_terms(docs(spark, rows)).collect()} == {"Zorblax"}
     got = {r.doc_id: r.spans for r in pii.digests(pii.spans(docs(spark, rows))).collect()}
-    assert got[9] == "term:0:7" and got[10] == "email:0:13" and got[None] == "" and got[0].startswith("term:") and got[20] == ""
-    clean = {r.doc_id: r.text for r in pii.sanitised(docs(spark, [x for x in rows if x[0] is not None])).collect()}
-    assert clean[9] == "[TERM] was seen, reach him" and clean[10] == "[EMAIL]" and clean[0].endswith("reach [TERM] at [EMAIL] today") and clean[20] == rows[7][1]
+    assert got[9] == "term:0:7" and got[10] == "email:0:13" and got[None] == "term:0:7" and got[-1].startswith("term:") and got[20] == ""
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs(spark, [*rows, (40, None, "s")])).collect()}
+    label = pii.disclosing_terms(docs(spark, rows)).first()["general"]
+    assert clean[9] == f"{label} was seen, reach him" and clean[None] == label and clean[10] == "[EMAIL]" and clean[-1].endswith(f"reach {label} at [EMAIL] today") and clean[20] == rows[18][1] and clean[40] is None
