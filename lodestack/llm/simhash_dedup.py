@@ -2,8 +2,9 @@
 
 A fingerprint of 64 bits is mapped to the bit counts of its 32 two-bit segments. The Manhattan distance
 of two such vectors is at most the Hamming distance of the fingerprints. The segments are dealt into
-six groups; vectors at distance 3 or less agree in three groups at least, so each vector goes to the 20
-grid cells that three groups' counts name. Within a cell pairs are filtered by Manhattan distance and then
+groups; vectors at distance 3 or less agree in all groups but three at least, so each vector goes to the
+grid cells that the counts of all but three groups name: 20 cells of six groups, and 56 of eight or 120 of
+ten, which are far rarer, for more points. Within a cell pairs are filtered by Manhattan distance and then
 by the fingerprints themselves, and only links that join something new are passed on. Equal
 fingerprints are one point. Cells of many points are dealt into blocks, and pairs of blocks compared.
 """
@@ -24,8 +25,8 @@ from lodestack.llm import common
 
 MAX_BITS, SHINGLE = 3, 3
 LOW_BITS = 0x5555555555555555
-#: Bits of the six groups of segments.
-GROUPS = [((1 << n) - 1) << at for at, n in ((0, 10), (10, 10), (20, 10), (30, 10), (40, 12), (52, 12))]
+#: Groups by the number of points from which they are used. A random point meets 4e-6, 2e-7 or 4e-8 of all others in its cells.
+GROUPS_FROM = ((0, 6), (20_000_000, 8), (2_000_000_000, 10))
 #: Points of a cell that are compared in one task at once.
 BLOCK = 4096
 
@@ -59,9 +60,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def cells(embedding: Column) -> Column:
-    """The grid cells of a vector: for each choice of three groups, these groups' counts."""
-    masks = [a | b | c for a, b, c in combinations(GROUPS, 3)]
+def groups(n: int) -> list[int]:
+    """Bits of n groups of the 32 segments, as equal in size as can be."""
+    edges = [2 * (32 * i // n) for i in range(n + 1)]
+    return [((1 << (b - a)) - 1) << a for a, b in zip(edges[:-1], edges[1:])]
+
+
+def cells(embedding: Column, n: int) -> Column:
+    """The grid cells of a vector: for each choice of all but three of n groups, these groups' counts."""
+    masks = [sum(chosen) for chosen in combinations(groups(n), n - MAX_BITS)]
     return F.array(*(F.struct(F.lit(i).alias("choice"), embedding.bitwiseAND(F.lit(_signed(m))).alias("counts")) for i, m in enumerate(masks)))
 
 
@@ -131,10 +138,16 @@ def _link_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(rest)
 
 
-def links(points: DataFrame) -> DataFrame:
-    """Links (u > v) that connect all points (rep, fp) at 3 or fewer bits; far from all pairs."""
+def links(points: DataFrame, n_groups: int | None = None) -> DataFrame:
+    """Links (u > v) that connect all points (rep, fp) at 3 or fewer bits; far from all pairs.
+
+    The number of groups follows from the number of points; the links are exact with any.
+    """
+    if n_groups is None:
+        n = points.count()
+        n_groups = max(g for least, g in GROUPS_FROM if n >= least)
     there = points.select("rep", "fp", embedded(F.col("fp")).alias("embedding"))
-    dealt = there.select("rep", "fp", "embedding", F.inline(cells(F.col("embedding"))))
+    dealt = there.select("rep", "fp", "embedding", F.inline(cells(F.col("embedding"), n_groups)))
     large = common.written(dealt.groupBy("choice", "counts").count().where(F.col("count") > BLOCK), "large-cells")
     if large.isEmpty():
         dealt = dealt.select("*", F.lit(0).alias("first"), F.lit(0).alias("second"), F.lit(0).alias("side"))
@@ -144,9 +157,8 @@ def links(points: DataFrame) -> DataFrame:
         dealt = dealt.withColumn("side", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.withColumn("first", F.least("side", "other")).withColumn("second", F.greatest("side", "other")).drop("blocks", "other")
-    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["choice", "counts", "first", "second"]
-    return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(_link_cells, "u long, v long").distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_link_cells, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

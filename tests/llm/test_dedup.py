@@ -91,6 +91,8 @@ def reachable(fps):
 
 def test_simhash_against_brute_force(spark):
     rows = [(i, t) for i, t in some() if i is not None]
+    lone = simhash_dedup.classes(docs(spark, [*rows, (None, "one"), (None, "two of them")])).where("doc_id is null").collect()
+    assert Counter((r.fingerprint, r.component_id) for r in lone) == {(f"{by_hand('one'):016x}", 13): 1, (f"{by_hand('two of them'):016x}", None): 1}
     got = simhash_dedup.classes(docs(spark, rows)).collect()
     fps = [(i, by_hand(t)) for i, t in rows]
     best = reachable(fps)
@@ -107,10 +109,12 @@ def test_simhash_links_and_large_cells(spark, monkeypatch):
     points = {centre} | {centre ^ (1 << a) ^ (1 << b) for a in range(0, 64, 3) for b in range(a + 1, 64, 7)} | {0, 7, 63, 0xFF00, 2**64 - 1}
     fps = list(enumerate(sorted(points)))
     signed = [(i, f - 2**64 if f >> 63 else f) for i, f in fps]
-    found = simhash_dedup.components(simhash_dedup.links(spark.createDataFrame(signed, "rep long, fp long")))
-    got = {r.node: r.component for r in found.collect()}
     best = reachable(fps)
-    assert {i: got.get(i, i) for i, _ in fps} == best
+    for n in (6, 8, 10):
+        found = simhash_dedup.components(simhash_dedup.links(spark.createDataFrame(signed, "rep long, fp long"), n))
+        got = {r.node: r.component for r in found.collect()}
+        assert {i: got.get(i, i) for i, _ in fps} == best
+        assert sum(simhash_dedup.groups(n)) == 2**64 - 1
 
 
 def test_components_of_a_chain_and_a_star(spark):
