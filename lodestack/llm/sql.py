@@ -35,11 +35,16 @@ ORACLES = {
         p AS (SELECT page_id, etag, size, n,
                      regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '')
                      || regexp_replace(regexp_replace(regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', ''), '\.html(\?|$)', '\1', 'g'), '/(\?|$)', '\1', 'g') AS url FROM c),
-        r AS (SELECT page_id, url, etag, size, 2 * page_id AS captured FROM p),
-        v AS (SELECT page_id, url, etag, n, 2 * page_id + n + 1 - n % 2 AS captured FROM p)
-        SELECT v.page_id, v.url, r.page_id AS response_page_id,
-               CASE WHEN r.page_id IS NULL THEN 'missing' WHEN r.etag = v.etag THEN 'resolved' ELSE 'changed' END AS status,
-               'content-length=' || CASE WHEN r.etag = v.etag THEN CAST(r.size AS VARCHAR) ELSE '0' END
-               || '&date=' || CAST(v.page_id + v.n AS VARCHAR) || '&etag=W/' || v.etag AS headers
-        FROM v ASOF LEFT JOIN r ON v.url = r.url AND v.captured > r.captured""",
+        k AS (SELECT page_id, url, size, n, CASE WHEN page_id % 10 > 2 THEN etag END AS etag, CASE WHEN page_id % 10 IN (1, 2) THEN 'm' || left(etag, 1) END AS changed FROM p),
+        r AS (SELECT *, 2 * page_id AS captured FROM k),
+        v AS (SELECT *, 2 * page_id + n + 1 - n % 2 AS captured FROM k),
+        j AS (SELECT v.page_id, v.url, v.n, v.etag, v.changed, r.page_id AS response_page_id, r.etag AS r_etag, r.changed AS r_changed, r.size AS r_size,
+                     CASE WHEN r.page_id IS NULL THEN 'missing' WHEN v.etag IS NOT NULL AND r.etag IS NOT NULL THEN CASE WHEN v.etag = r.etag THEN 'resolved' ELSE 'changed' END
+                          WHEN v.changed IS NOT NULL AND r.changed IS NOT NULL THEN CASE WHEN v.changed = r.changed THEN 'resolved' ELSE 'changed' END ELSE 'unchecked' END AS status
+              FROM v ASOF LEFT JOIN r ON v.url = r.url AND v.captured > r.captured)
+        SELECT page_id, url, response_page_id, status,
+               concat_ws('&', 'content-length=' || CASE WHEN status IN ('resolved', 'unchecked') THEN r_size ELSE 0 END, 'date=' || (page_id + n),
+                         'etag=' || CASE WHEN etag IS NOT NULL THEN 'W/' || etag WHEN status IN ('resolved', 'unchecked') THEN r_etag END,
+                         'last-modified=' || CASE WHEN changed IS NOT NULL THEN changed WHEN status IN ('resolved', 'unchecked') THEN r_changed END) AS headers
+        FROM j""",
 }

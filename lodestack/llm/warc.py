@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,8 +22,6 @@ from lodestack.llm import common
 TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid|sessionid)"
 #: Headers that describe a stored body or a single connection: a not-modified answer never renews them.
 NOT_RENEWED = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "te", "trailer", "transfer-encoding", "upgrade")
-#: Ranges of capture time into which the captures of one URL are dealt.
-RANGES = 64
 RECORD = "record_id string, type string, uri string, captured long, headers map<string,string>, payload binary"
 
 
@@ -53,32 +52,38 @@ def merged(stored: Column, renewed: Column) -> Column:
     return F.map_concat(F.map_filter(stored, lambda k, v: ~F.map_contains_key(allowed, k)), allowed)
 
 
-def resolved(records: DataFrame, ranges: int = RANGES) -> DataFrame:
+def resolved(records: DataFrame, partitions: int | None = None) -> DataFrame:
     """Each revisit of records (record_id, type, uri, captured, headers) with what it stands for:
     record_id, url, response_id, status, headers.
 
     The response is the latest with ``captured`` before the revisit's, of equal times the largest id.
     status: resolved; changed if an etag, or without etags a last-modified, is on both and differs;
     unchecked if there is none on both; missing without a response, with the revisit's own headers and
-    a response_id of null. Records without a URL or time match nothing. Rows that repeat are answered each.
+    a response_id of null. Records without a URL or time match nothing. Rows that repeat are answered each;
+    an empty table gives no rows.
+
+    Records are dealt into ranges of (url, captured) with equal numbers of rows, however many captures a
+    URL has and however close they are; a range knows the last response of the ranges before it.
     """
     at = records.select("record_id", F.lower("type").alias("type"), canonical_url(F.col("uri")).alias("url"), F.col("captured").cast("long").alias("captured"), lowered(F.col("headers")).alias("headers"))
     at = at.where(F.col("type").isin("response", "revisit"))
-    span = at.agg(F.min("captured").alias("t0"), F.max("captured").alias("t1"))
-    at = at.join(F.broadcast(span))  # one row
-    at = at.withColumn("range", F.floor((F.col("captured") - F.col("t0")) * ranges / (F.col("t1") - F.col("t0") + 1)).cast("int")).drop("t0", "t1")
-    at = common.written(at, "records")
-    full = F.when(F.col("type") == "response", F.struct("captured", F.col("record_id").alias("id"), "headers"))
-    order = F.struct("captured", "record_id")
-    last = at.where("type = 'response' and captured is not null").groupBy("url", "range").agg(F.max_by(F.struct("captured", F.col("record_id").alias("id"), "headers"), order).alias("last"))
+    complete = F.col("url").isNotNull() & F.col("captured").isNotNull()
+    alone = at.where(~complete & (F.col("type") == "revisit")).select("record_id", "url", "captured", "headers")
+    # of one time, revisits come first: only an earlier response counts
+    order = ["captured", F.col("type").desc(), "record_id"]
+    dealt = at.where(complete)
+    dealt = dealt.repartitionByRange(*[partitions] * (partitions is not None), F.col("url"), F.col("captured"), F.col("type").desc(), F.col("record_id"))
+    at = common.written(dealt.withColumn("range", F.spark_partition_id()), "records")
+    answer = F.struct("captured", F.col("record_id").alias("id"), "headers")
+    last = at.where("type = 'response'").groupBy("url", "range").agg(F.max_by(answer, F.struct("captured", "record_id")).alias("last"))
+    # one row for each URL and range that has it
     earlier = Window.partitionBy("url").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ends = at.select("url", "range").distinct().join(last, ["url", "range"], "left")
     ends = ends.withColumn("before", F.last("last", ignorenulls=True).over(earlier)).select("url", "range", "before").where("before is not null")
-    # of one time, revisits come first: only an earlier response counts
-    within = Window.partitionBy("url", "range").orderBy("captured", F.col("type").desc(), "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = at.withColumn("here", F.last(full, ignorenulls=True).over(within)).where("type = 'revisit'")
-    out = seen.join(ends, ["url", "range"], "left").withColumn("of", F.coalesce("here", "before"))
-    out = out.withColumn("of", F.when(F.col("url").isNotNull() & F.col("captured").isNotNull(), F.col("of")))
+    within = Window.partitionBy("url", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = at.withColumn("here", F.last(F.when(F.col("type") == "response", answer), ignorenulls=True).over(within)).where("type = 'revisit'")
+    out = seen.join(ends, ["url", "range"], "left").select("record_id", "url", "captured", "headers", F.coalesce("here", "before").alias("of"))
+    out = out.unionByName(alone.withColumn("of", F.lit(None).cast(out.schema["of"].dataType)))
 
     def validator(name: str) -> tuple[Column, Column]:
         return F.col("headers")[name], F.col("of.headers")[name]
@@ -97,10 +102,23 @@ def with_payloads(answers: DataFrame, records: DataFrame) -> DataFrame:
     return answers.withColumn("response_id", F.when(ok, F.col("response_id"))).join(body, "response_id", "left")
 
 
-def parse(content: bytes) -> Iterator[tuple]:
-    """Records of a WARC file, plain or gzip, as (record_id, type, uri, captured, headers, payload)."""
+def _microseconds(when: str | None) -> int | None:
     from datetime import datetime, timezone
 
+    try:
+        at = datetime.fromisoformat(when.replace("Z", "+00:00"))
+    except (AttributeError, ValueError):
+        return None
+    return int((at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp() * 1_000_000)
+
+
+def parse(content: bytes) -> Iterator[tuple]:
+    """Records of a WARC file, plain or gzip, as (record_id, type, uri, captured, headers, payload).
+
+    A date that is none gives a time of null. A record without a length in digits has no known end: it is
+    left out, and reading goes on at the next line that begins a record. What follows a damage of the
+    compression is lost; what came before it is not.
+    """
     stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content))) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
 
     def fields() -> dict[str, str]:
@@ -110,48 +128,67 @@ def parse(content: bytes) -> Iterator[tuple]:
             out[name.strip().lower()] = value.strip()
         return out
 
-    while (line := stream.readline()):
-        if not line.startswith(b"WARC/"):
-            continue
-        warc = fields()
-        body = stream.read(int(warc.get("content-length") or 0))
-        head, gap, payload = body.partition(b"\r\n\r\n")
-        http = {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])} if gap else {}
-        when = warc.get("warc-date")
-        captured = int(datetime.fromisoformat(when.replace("Z", "+00:00")).astimezone(timezone.utc).timestamp() * 1_000_000) if when else None
-        yield warc.get("warc-record-id"), warc.get("warc-type"), warc.get("warc-target-uri"), captured, list(http.items()), payload if gap else body
+    try:
+        while (line := stream.readline()):
+            if not line.startswith(b"WARC/"):
+                continue
+            warc = fields()
+            length = warc.get("content-length", "")
+            if not (length.isascii() and length.isdigit()):
+                continue
+            body = stream.read(int(length))
+            head, gap, payload = body.partition(b"\r\n\r\n")
+            http = {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])} if gap else {}
+            yield warc.get("warc-record-id"), warc.get("warc-type"), warc.get("warc-target-uri"), _microseconds(warc.get("warc-date")), list(http.items()), payload if gap else body
+    except (EOFError, OSError, zlib.error):
+        return
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all WARC files under a path, one file a task at least."""
+    """Records of all WARC files under a path, one file a task at least and one file at a time.
+
+    Spark hands a file over as one value, of 2 GB at most; archives are customarily cut at 1 GB. Records
+    leave in batches of at most some 16 MB, or of one record.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
         names = [f.split()[0] for f in RECORD.split(", ")]
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                rows: list[tuple] = []
-                for row in parse(content):
+            for content in batch.column(0):
+                rows, size = [], 0
+                for row in parse(content.as_py()):
                     rows.append(row)
-                    if len(rows) == 256:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                        rows = []
+                    size += len(row[-1])
+                    if len(rows) == 256 or size > 16 << 20:
+                        yield table(rows)
+                        rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    yield table(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+    return common.bound_batches(spark.read.format("binaryFile").load(path).select("content")).mapInArrow(run, RECORD)
 
 
 def crawl_log(pages: DataFrame) -> DataFrame:
     """A crawl log of a table of pages, without payloads: each page as a response captured at twice its id,
-    and a conditional request for it half the table later that the server answers with not modified."""
+    and a conditional request for it half the table later that the server answers with not modified.
+    Of ten pages seven have an etag, two a last-modified alone and one no validator."""
     n = pages.agg(F.count("*").alias("n"))
     at = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit(""))).alias("digest"), F.length(F.coalesce("html", F.lit(""))).alias("size"))
     at = at.join(F.broadcast(n))  # one row
-    response = F.create_map(F.lit("ETag"), F.col("digest"), F.lit("Content-Length"), F.col("size").cast("string"), F.lit("Date"), F.col("page_id").cast("string"))
-    revisit = F.create_map(F.lit("ETag"), F.concat(F.lit("W/"), F.col("digest")), F.lit("Content-Length"), F.lit("0"), F.lit("Date"), (F.col("page_id") + F.col("n")).cast("string"))
+    kind = F.col("page_id") % 10
+    etag, changed = F.when(kind > 2, F.col("digest")), F.when(kind.isin(1, 2), F.concat(F.lit("m"), F.left("digest", F.lit(1))))
+
+    def headers(etag: Column, size: Column, date: Column) -> Column:
+        every = F.create_map(F.lit("ETag"), etag, F.lit("Last-Modified"), changed, F.lit("Content-Length"), size.cast("string"), F.lit("Date"), date.cast("string"))
+        return F.map_filter(every, lambda k, v: v.isNotNull())
+
     both = F.array(
-        F.struct(F.col("page_id").alias("record_id"), F.lit("response").alias("type"), F.col("url").alias("uri"), (2 * F.col("page_id")).alias("captured"), response.alias("headers")),
-        F.struct(F.col("page_id").alias("record_id"), F.lit("revisit").alias("type"), F.col("url").alias("uri"), (2 * F.col("page_id") + F.col("n") + 1 - F.col("n") % 2).alias("captured"), revisit.alias("headers")),
+        F.struct(F.col("page_id").alias("record_id"), F.lit("response").alias("type"), F.col("url").alias("uri"), (2 * F.col("page_id")).alias("captured"), headers(etag, F.col("size"), F.col("page_id")).alias("headers")),
+        F.struct(F.col("page_id").alias("record_id"), F.lit("revisit").alias("type"), F.col("url").alias("uri"), (2 * F.col("page_id") + F.col("n") + 1 - F.col("n") % 2).alias("captured"), headers(F.concat(F.lit("W/"), etag), F.lit(0), F.col("page_id") + F.col("n")).alias("headers")),
     )
     return at.select(F.inline(both))

@@ -64,8 +64,8 @@ def test_revisits(spark):
         ("v4", "revisit", "http://a.org/x", 99, None), ("m", "metadata", "http://a.org/x", 98, {}), ("q", "response", "http://a.org/x?b=1&ref=2", 97, {}), ("v7", "revisit", "http://a.org/x?ref=9&b=1", 98, {"last-modified": "d"}),
     ]
     at = spark.createDataFrame([(*r, bytearray(r[0].encode()), "s", 1) for r in rows], warc.RECORD + ", status string, range int")
-    for ranges in (1, 7, 64):
-        got = {r.record_id: r for r in warc.resolved(at, ranges).collect()}
+    for partitions in (1, 7, None):
+        got = {r.record_id: r for r in warc.resolved(at, partitions).collect()}
         assert {k: (r.response_id, r.status) for k, r in got.items()} == {
             "v0": (None, "missing"), "v1": ("r1", "resolved"), "v2": ("r2", "changed"), "v3": ("r1", "resolved"), "v4": ("r2", "unchecked"), "v5": (None, "missing"), "v6": (None, "missing"), "v7": ("q", "unchecked"),
         }
@@ -75,6 +75,28 @@ def test_revisits(spark):
     assert bodies["v1"] == b"r1" and bodies["v2"] is None
 
 
+def test_one_url_in_one_burst(spark):
+    """All captures of one URL within one time or two, dealt into many ranges."""
+    rows = [(f"r{i:04}", "response", "http://a.org/x", 5, {"etag": str(i)}) for i in range(500)] + [(f"v{i:04}", "revisit", "http://a.org/x", 5 + i % 2, {"etag": "499"}) for i in range(500)] + [("n", "revisit", None, None, None)] * 3
+    at = spark.createDataFrame([(*r, None) for r in rows], warc.RECORD)
+    got = warc.resolved(at, 16).collect()
+    assert len(got) == 503
+    for r in got:
+        want = (None, "missing") if r.record_id == "n" or int(r.record_id[1:]) % 2 == 0 else ("r0499", "resolved")
+        assert (r.response_id, r.status) == want
+
+
+def test_malformed_records():
+    good = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Date: 2024-01-02T03:04:05Z\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n"
+    bad = [good.replace(b"2024-01-02T03:04:05Z", b"yesterday"), good.replace(b"Length: 4", b"Length: many"), b"noise\r\n", good.replace(b"Content-Length: 4\r\n", b""), b"WARC/1.1", b"\xff\xfe"]
+    for x in bad:
+        got = list(warc.parse(x + b"\r\n" + good))
+        assert got[-1][3] == 1704164645000000 and got[-1][5] == b"body"
+    assert next(warc.parse(bad[0]))[3] is None
+    whole = gzip.compress(good * 2000)
+    assert len(list(warc.parse(whole))) == 2000 and len(list(warc.parse(whole[: len(whole) // 2]))) < 2000 and list(warc.parse(b"")) == []
+
+
 def test_canonical_urls(spark):
     pairs = {"HTTP://Ex.ORG": "ex.org", "https://www.ex.org/a/": "ex.org/a", "http://ex.org/a?utm_medium=x&b=1&ref=y": "ex.org/a?b=1", "http://ex.org/A.html?q=1": "ex.org/A?q=1", "no scheme": "no scheme", "": ""}
     got = spark.createDataFrame([(k, v) for k, v in pairs.items()], "u string, v string").select("u", "v", warc.canonical_url(F.col("u")).alias("c")).collect()
