@@ -35,7 +35,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat_format.held_out(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,47 +13,64 @@ from lodestack.llm import chat_format, warc
 DATA = "/root/testdata/sf0.01/conversations.parquet"
 
 
-def test_viterbi_is_the_best_path():
+def test_best_paths_of_runs_side_by_side():
+    """Paths of several runs against all paths there are, whole and through matrices of blocks."""
     rng = np.random.default_rng(3)
     k = len(chat_format.ROLES)
     model = {"start": rng.normal(size=k), "move": rng.normal(size=(k, k)), "stay": rng.normal(size=(k, k)), "emit": rng.normal(size=(k, chat_format.CODES))}
-    codes, begins = rng.integers(0, chat_format.CODES, 7), np.array([2, 0, 1, 1, 0, 1, 0])
+    edges = np.array([0, 7, 8, 13, 20])
+    codes, begins = rng.integers(0, chat_format.CODES, 20), rng.integers(0, 2, 20)
+    begins[edges[:-1]] = 2
 
-    def score(path):
+    def score(path, at):
         total = 0.0
-        for i, (r, c, b) in enumerate(zip(path, codes, begins)):
-            total += (model["start"][r] if b == 2 else (model["move"] if b else model["stay"])[path[i - 1], r]) + model["emit"][r, c]
+        for i, r in zip(at, path):
+            total += (model["start"][r] if begins[i] == 2 else (model["move"] if begins[i] else model["stay"])[path[i - at[0] - 1], r]) + model["emit"][r, codes[i]]
         return total
 
-    best = max(itertools.product(range(k), repeat=7), key=score)
-    assert tuple(chat_format.viterbi(model, codes, begins, model["start"], None)) == best
+    steps = chat_format.Steps(model, codes, begins, edges)
+    got = steps.best(np.tile(model["start"], (4, 1)), np.full(4, -1))
+    for a, b, m in zip(edges[:-1], edges[1:], steps.matrices()):
+        best = max(itertools.product(range(k), repeat=b - a), key=lambda p: score(p, range(a, b)))
+        assert tuple(got[a:b]) == best and abs(m.max() - score(best, range(a, b))) < 1e-9
+    assert len(chat_format.Steps(model, codes[:0], begins[:0], np.array([0])).best(np.zeros((0, k)), np.zeros(0, int))) == 0
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no tables")
 def test_held_out_roles_and_blocks(spark, monkeypatch):
     every = spark.read.parquet(DATA)
-    model = chat_format.fitted(every.where("conv_id % 4 <> 0"))
-    test = every.where("conv_id % 4 = 0")
-    got = {(r.conv_id, r.turn): r for r in chat_format.formatted(test, model).collect()}
-    want = {(r.conv_id, r.turn): r for r in test.collect()}
-    assert set(got) == set(want) and np.mean([got[k].role == want[k].role for k in want]) > 0.9
+    got = {(r.conv_id, r.turn): r for r in chat_format.held_out(every).collect()}
+    want = {(r.conv_id, r.turn): r for r in every.collect()}
+    texts = {(r.conv_id, r.turn): r.text for r in chat_format.transcribed(every).collect()}
+    marked = {k for k in want if texts[k] != want[k].text}
+    assert set(got) == set(want) and 0.4 < len(marked) / len(want) < 0.6
+    right = {k for k in want if got[k].role == want[k].role}
+    assert len(right & marked) / len(marked) > 0.97 and len(right - marked) / len(set(want) - marked) > 0.9
     for k, r in got.items():
         assert r.rendered.startswith(f"<|{r.role}|>\n") and r.rendered.endswith("\n<|end|>\n") and r.n_lines == len(want[k].text.split("\n"))
-    monkeypatch.setattr(chat_format, "BLOCK", 2)  # the same paths from many blocks
-    assert {(r.conv_id, r.turn): r.rendered for r in chat_format.formatted(test, model).collect()} == {k: r.rendered for k, r in got.items()}
+        assert k not in marked or r.role != want[k].role or "<|end|>\n<" in r.rendered or r.rendered == f"<|{r.role}|>\n{want[k].text}\n<|end|>\n"
+    monkeypatch.setattr(chat_format, "BLOCK", 40)  # the same paths from many blocks
+    assert {(r.conv_id, r.turn): r.rendered for r in chat_format.held_out(every).collect()} == {k: r.rendered for k, r in got.items()}
 
 
-def test_odd_turns(spark):
+def test_odd_transcripts(spark, monkeypatch):
     rows = [(1, 0, "user", "Hi\nthere?"), (1, 1, "assistant", None), (None, None, "user", "x"), (1, 0, "user", "Hi\nthere?"), (2, 0, "poet", ""), (3, 0, "user", "Assistant: I know.\nUser: do you?")]
+    rows += [(10 + i, t, ("user", "assistant")[t % 2], f"{('User', 'Bot')[t % 2]}: " * (i % 2) + "what is it ? " + "word " * (t % 2 * 30)) for i in range(20) for t in range(4)]
     at = spark.createDataFrame([(*r, "z", 1) for r in rows], "conv_id long, turn long, role string, text string, rendered string, block int")
-    got = chat_format.formatted(at, chat_format.fitted(at.where("conv_id < 3"))).collect()
+    model = chat_format.fitted(at.where("conv_id >= 10"))
+    got = chat_format.formatted(at, model).collect()
     assert len(got) == len(rows)
     three = next(r for r in got if r.conv_id == 3)
     assert three.rendered == "<|assistant|>\nI know.\n<|end|>\n<|user|>\ndo you?\n<|end|>\n"
-    assert chat_format.formatted(at.limit(0)).count() == 0
-    said = spark.createDataFrame([(1, "User: how?\nplease\n\nBot: like this:\n- a\n- b"), (2, None)], "conv_id long, text string")
-    roles = {(r.conv_id, r.turn): chat_format.ROLES[r.role] for r in chat_format.decoded(chat_format.transcript_lines(said), chat_format.fitted(at)).collect()}
-    assert [roles[1, i] for i in (0, 1, 3, 4, 5)] == ["user", "user", "assistant", "assistant", "assistant"] and (2, 0) in roles
+    assert chat_format.formatted(at.limit(0), model).count() == 0
+    said = "User: how?\nplease\n\nBot: like this:\n- a\n- b"
+    long = [(None, None, f"{'User' if i % 2 else 'Bot'}: line {i}") for i in range(300)] + [(8, 0, "\n".join(f"line {i}" if i % 1000 else f"{'User' if i % 2000 else 'Bot'}: {i}" for i in range(100_000)))]
+    whole = spark.createDataFrame([(1, None, said), (2, None, None), *long], "conv_id long, turn long, text string")
+    monkeypatch.setattr(chat_format, "BLOCK", 30_000)
+    parsed = {(r.conv_id, r.rendered if r.conv_id is None else 0): r for r in chat_format.formatted(whole, model).collect()}
+    assert len(parsed) == 303 and parsed[1, 0].rendered == "<|user|>\nhow?\nplease\n\n<|end|>\n<|assistant|>\nlike this:\n- a\n- b\n<|end|>\n"
+    assert parsed[8, 0].n_lines == 100_000 and parsed[8, 0].rendered.count("<|user|>") == 50 and parsed[8, 0].rendered.count("<|assistant|>") == 50
+    assert all((r.role == "user") == (int(r.rendered.split("line ")[1].split("\n")[0]) % 2 == 1) for k, r in parsed.items() if k[0] is None)
 
 
 def test_revisits(spark):
