@@ -11,48 +11,62 @@ from lodestack.llm.tokenizing import default_path
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents: how many of each go, and which."""
     return line_dedup.verdicts(documents(spark, sf_dir))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by digest, entered into a new index in two batches."""
     return exact_dedup.in_batches(documents(spark, sf_dir), exact_dedup.fresh_index(spark))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdicts of all documents, with the rates of their hosts (``source``)."""
     return quality_rules.judged(documents(spark, sf_dir)).drop("host")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, by kind and as spans."""
     return pii.digests(pii.spans(documents(spark, sf_dir)))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens, by piece."""
     return packing.packed(documents(spark, sf_dir), default_path())
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken, by words."""
     return mixing.takes(documents(spark, sf_dir))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.held_out(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    """All conversations as transcripts, parsed by models that have not seen them; ``label`` is the table's role."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    labels = said.groupBy(F.col("conv_id").alias("c"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("t")).agg(F.min("role").alias("label"))
+    parsed = chat_format.held_out(said)
+    return parsed.join(labels, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t")), "left").drop("c", "t")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.limits(token_counts.histogram(token_counts.lengths(documents(spark, sf_dir), default_path())))
+    """The length histogram of all documents, with totals for each length and for powers of two."""
+    return token_counts.limits(token_counts.histogram(token_counts.lengths(documents(spark, sf_dir), default_path())), [1 << k for k in range(8, 21)])
 
 
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The revisits of a crawl log of all pages."""
     answers = warc.resolved(warc.crawl_log(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])), "&")
     return answers.select(F.col("record_id").alias("page_id"), "url", F.col("response_id").alias("response_page_id"), "status", headers.alias("headers"))
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by fingerprint and by component of linked fingerprints."""
     return simhash_dedup.classes(documents(spark, sf_dir))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of ``corpus_pipeline`` over all documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

@@ -6,7 +6,7 @@ follows from that row's suffix: texts at least as long count with the limit, sho
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +38,19 @@ def histogram(counted: DataFrame) -> DataFrame:
     return common.written(counted.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "length-histogram")
 
 
-def limits(hist: DataFrame) -> DataFrame:
-    """For every length that occurs, as a context limit: docs_at_least, tokens_at_least, kept_tokens (each
-    text cut at the limit), lost_tokens, share_below (of documents shorter than it).
+def limits(hist: DataFrame, also: Sequence[int] = ()) -> DataFrame:
+    """For every length that occurs, and every one in ``also``, as a context limit: docs_at_least, tokens_at_least,
+    kept_tokens (each text cut at the limit), lost_tokens, share_below (of documents shorter than it) and
+    share_upto (of documents no longer: the q-quantile is the first limit with a share of q or more).
 
-    Suffix sums run within buckets of lengths and start from the sums of the longer buckets. An empty
-    table gives no rows.
+    Between two lengths that occur all totals but kept_tokens are those of the longer one; ``also`` names
+    limits that no document has. Suffix sums run within buckets of lengths and start from the sums of the
+    longer buckets. Documents of equal length, and rows that repeat, count each; an empty table gives no rows
+    but those of ``also``, whose shares are null.
     """
+    if also:
+        more = hist.sparkSession.createDataFrame([(int(x), 0) for x in also], "n_tokens long, n_docs long")
+        hist = hist.select("n_tokens", "n_docs").unionByName(more).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
     at = hist.withColumn("bucket", F.floor(F.col("n_tokens") / SPAN))
     per = at.groupBy("bucket").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     longer = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
@@ -63,12 +69,13 @@ def limits(hist: DataFrame) -> DataFrame:
     lost = F.col("tokens_at_least") - F.col("docs_at_least") * F.col("n_tokens")
     return out.select(
         F.col("n_tokens").alias("context_limit"), "n_docs", "docs_at_least", "tokens_at_least",
-        (F.col("tokens") - lost).alias("kept_tokens"), lost.alias("lost_tokens"), (1 - F.col("docs_at_least") / F.col("docs")).alias("share_below"),
+        (F.col("tokens") - lost).alias("kept_tokens"), lost.alias("lost_tokens"),
+        (1 - F.try_divide("docs_at_least", "docs")).alias("share_below"), (1 - F.try_divide(F.col("docs_at_least") - F.col("n_docs"), "docs")).alias("share_upto"),
     )
 
 
-def quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:
-    """(share, n_tokens): the smallest length that at least that share of the documents do not exceed."""
-    wanted = hist.sparkSession.createDataFrame([(float(s),) for s in shares], "share double")
-    run = limits(hist).select("context_limit", (F.col("share_below") + F.col("n_docs") / F.sum("n_docs").over(Window.partitionBy())).alias("upto"))
-    return wanted.join(F.broadcast(run), F.col("upto") >= F.col("share") - 1e-12).groupBy("share").agg(F.min("context_limit").alias("n_tokens"))
+def quantiles(hist: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """(share, n_tokens): the smallest length that at least that share of the documents do not exceed; none of an empty table."""
+    wanted = hist.sparkSession.createDataFrame([(float(s),) for s in shares], "share double")  # as few as were asked for
+    run = limits(hist)
+    return run.join(F.broadcast(wanted), F.col("share_upto") >= F.col("share") - 1e-12).groupBy("share").agg(F.min("context_limit").alias("n_tokens"))

@@ -75,11 +75,15 @@ def test_token_counts(spark, plain):
     assert set(got) == set(n)
     for limit, r in got.items():
         assert (r.docs_at_least, r.tokens_at_least, r.kept_tokens) == (sum(x >= limit for x in n), sum(x for x in n if x >= limit), sum(min(x, limit) for x in n))
-        assert r.lost_tokens == sum(n) - r.kept_tokens and abs(r.share_below - sum(x < limit for x in n) / len(n)) < 1e-9
+        assert r.lost_tokens == sum(n) - r.kept_tokens and abs(r.share_below - sum(x < limit for x in n) / len(n)) < 1e-9 and abs(r.share_upto - sum(x <= limit for x in n) / len(n)) < 1e-9
+    asked = {r.context_limit: r for r in token_counts.limits(hist, (1, 777, 1 << 40)).collect()}
+    assert set(asked) == {*n, 1, 777, 1 << 40}
+    for limit in (1, 777, 1 << 40):
+        assert (asked[limit].n_docs, asked[limit].docs_at_least, asked[limit].kept_tokens) == (n.count(limit), sum(x >= limit for x in n), sum(min(x, limit) for x in n))
     q = {r.share: r.n_tokens for r in token_counts.quantiles(hist, [0.0, 0.5, 1.0]).collect()}
     assert q == {0.0: min(n), 0.5: sorted(n)[len(n) // 2 - 1], 1.0: max(n)}
     empty = token_counts.histogram(token_counts.lengths(docs(spark, []), tokenizing.default_path()))
-    assert token_counts.limits(empty).count() == 0
+    assert token_counts.limits(empty).count() == 0 and token_counts.limits(empty, (5,)).first()["share_upto"] is None
 
 
 def shares(sizes):
