@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, exact dedup, SimHash near-dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again
-as the next stage's documents. All but the last keep the columns of documents.
+as the next stage's documents. All but the last keep the columns of documents, whatever these are.
+Null texts are empty texts, and the rules reject them as too short; null sources are one source. Rows
+that repeat both id and text leave one in exact dedup. An empty table stays empty in every stage.
 """
 
 from __future__ import annotations
