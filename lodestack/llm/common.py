@@ -95,6 +95,17 @@ def hot_rows(total: int) -> int:
     return max(1024, -(-total // HOT_KEYS))
 
 
+def hot_join(rows: DataFrame, few: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` joined with ``few``, which has one row for each key and in ``size`` its number of rows, of ``total`` in all.
+
+    Hot keys, fewer than ``HOT_KEYS``, meet their rows where these are; the others in a sort-merge join.
+    """
+    most = hot_rows(total)
+    hot = few.where(F.col(size) > most)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(few.where(F.col(size) <= most).hint("merge"), keys)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def scanned(items: Column, start: Column, step: Callable[[Column, Column], Column], chunk: int = 256) -> Column:
     """The accumulators after each item of an array. Chunks keep the cost of growing arrays linear in all but very long ones."""
     empty = F.slice(F.array(start), F.lit(1), F.lit(0))

@@ -114,8 +114,10 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def judged(slim: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of ``slim (doc_id, digest, rows, batch)`` with the totals of their digests as verdicts."""
+    found = common.written(found, "digest-totals")
+    total = found.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
     first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1) & (F.col("origin") == F.col("batch"))
-    at = slim.join(found, "digest").select("*", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("nth"))
+    at = common.hot_join(slim, found, ["digest"], "group_size", total).select("*", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("nth"))
     return at.select("doc_id", "keep_id", "group_size", first.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 

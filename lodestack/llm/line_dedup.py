@@ -154,10 +154,8 @@ def _dropped(docs: DataFrame, every: DataFrame, id_col: str, text_col: str) -> D
     marked = once.join(near, ["h1", "h2"], "left").where("copies > 1 or near").select("h1", "h2", "copies", doc.alias("first_doc"), line.alias("first_line"), F.coalesce("near", F.lit(False)).alias("near"))
     marked = common.written(marked, "marked-lines")
     lines = every.select("doc_id", "line_no", "h1", "h2")
-    most = common.hot_rows(once.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0])
-    hot = marked.where(F.col("copies") > most)  # fewer than common.HOT_KEYS rows, so it may be broadcast
-    met = lines.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(marked.where(F.col("copies") <= most).hint("merge"), ["h1", "h2"])
-    met = met.unionByName(lines.join(F.broadcast(hot), ["h1", "h2"]))
+    total = once.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    met = common.hot_join(lines, marked, ["h1", "h2"], "copies", total)
     first = (F.col("doc_id") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
     return met.where(~first | F.col("near")).select("doc_id", "line_no", first.alias("near"))
 

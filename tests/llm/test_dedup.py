@@ -61,8 +61,9 @@ def test_exact_dedup_across_batches(spark):
         exact_dedup.DigestIndex(spark, index.path, 8)
 
 
-def test_exact_dedup_in_two_batches(spark):
+def test_exact_dedup_in_two_batches(spark, monkeypatch):
     rows = some()
+    monkeypatch.setattr(exact_dedup.common, "hot_rows", lambda total: 2)
     one = exact_dedup.verdicts(docs(spark, rows), exact_dedup.fresh_index(spark, 4), "x").collect()
     assert Counter(exact_dedup.in_batches(docs(spark, rows), exact_dedup.fresh_index(spark, 4)).collect()) == Counter(one)
     assert exact_dedup.in_batches(docs(spark, []), exact_dedup.fresh_index(spark, 4)).count() == 0
