@@ -43,25 +43,28 @@ def _hashes(s: Column) -> list[Column]:
     return [F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(7), s).alias("h2")]
 
 
-def _half(s: Column, n: Column, m: Column, side: int) -> Column:
-    """Hash of the first or last half of the words, as lines of m words at most with an edit between them share it."""
-    k = F.shiftright(m - 1, 1)
-    return F.when(n >= MIN_WORDS, F.xxhash64(F.lit(side), m, F.call_function("substring_index", s, F.lit(" "), -k if side else k)))
+def _half(s: Column, n: Column, c: Column, side: int) -> Column:
+    """Hash of the first or last words that lines of 2c - 1 to 2c + 1 words share one of if an edit separates them."""
+    return F.when(n >= MIN_WORDS, F.xxhash64(F.lit(side), c, F.call_function("substring_index", s, F.lit(" "), 1 - c if side else c - 1)))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every line with a word as (doc_id, line_no, h1, h2, e0 to e3): the 128-bit hash of its words, and of its halves
-    among lines as long and among those of a word more (null for short lines). A document without words has one row without hashes."""
+    in each class of lengths that it is in (null for short lines). A document without words has one row without hashes.
+
+    Class c has the lines of 2c - 1 to 2c + 1 words: lines as long, or one word longer, share one at least.
+    """
     at = _tidy_lines(docs, id_col, text_col).where("s <> '' or line_no = 0")
     n = F.length("s") - F.length(F.replace("s", F.lit(" "), F.lit(""))) + 1
     at = at.select("doc_id", "line_no", F.nullif("s", F.lit("")).alias("s"), n.alias("n"))
-    halves = [_half(F.col("s"), F.col("n"), F.col("n") + d, side).alias(f"e{2 * d + side}") for d in (0, 1) for side in (0, 1)]
+    halves = [_half(F.col("s"), F.col("n"), F.shiftright("n", 1), side).alias(f"e{side}") for side in (0, 1)]
+    halves += [F.when(F.col("n") % 2 == 1, _half(F.col("s"), F.col("n"), F.shiftright("n", 1) + 1, side)).alias(f"e{2 + side}") for side in (0, 1)]
     h = [F.when(F.col("s").isNotNull(), x).alias(f"h{i + 1}") for i, x in enumerate(_hashes(F.col("s")))]
     return at.select("doc_id", "line_no", *h, *halves)
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """Of lines (place, s): the line (pos 0) and the line without its pos-th word, as 128-bit hashes (v1, v2).
+    """Of lines (h1, s): the line (pos 0) and the line without its pos-th word, as 128-bit hashes (v1, v2).
 
     A variant's hash is the exclusive or of its words' hashes by position, so that all variants of a line
     come from running values within the row.
@@ -72,7 +75,7 @@ def variants(lines: DataFrame) -> DataFrame:
 
     names = [f"p{seed}{late}" for seed in (1, 2) for late in (0, 1)]
     zero = F.struct(*(F.lit(0).cast("long").alias(c) for c in names))
-    at = lines.select("place", F.transform(F.split("s", " "), word).alias("p"))
+    at = lines.select("h1", F.transform(F.split("s", " "), word).alias("p"))
     at = at.withColumn("upto", common.scanned(F.col("p"), zero, lambda acc, x: F.struct(*(acc[c].bitwiseXOR(x[c]).alias(c) for c in names))))
     at = at.withColumn("last", F.element_at("upto", -1))
 
@@ -82,7 +85,7 @@ def variants(lines: DataFrame) -> DataFrame:
 
     whole = F.array(F.struct(F.col("last.p10").alias("v1"), F.col("last.p20").alias("v2")))
     every = F.concat(whole, F.zip_with("p", "upto", without))
-    return at.select("place", F.posexplode(every).alias("pos", "v")).select("place", "pos", "v.v1", "v.v2")
+    return at.select("h1", F.posexplode(every).alias("pos", "v")).select("h1", "pos", "v.v1", "v.v2")
 
 
 def near_lines(texts: DataFrame) -> DataFrame:
@@ -95,7 +98,8 @@ def near_lines(texts: DataFrame) -> DataFrame:
     keys = ["v1", "v2"]
     rows = common.written(variants(texts), "variants")
     repeated = common.written(rows.groupBy("v1").count().where("count > 1").select("v1"), "repeated-variants")
-    rows = common.written(rows.join(common.maybe_broadcast(repeated), "v1", "left_semi"), "shared-variants")
+    rows = rows.join(repeated.hint("merge"), "v1", "left_semi").join(texts.select("h1", "place"), "h1")
+    rows = common.written(rows, "shared-variants")
     first = common.written(rows.groupBy(*keys, "pos").agg(F.min("place").alias("first"), F.count("*").alias("n")), "first-variants")
     shared = first.groupBy(*keys).agg(F.min(F.when(F.col("pos") == 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("pos") > 0, F.col("first"))).alias("cut"))
     same = first.where("pos > 0 and n > 1").select(*keys, "pos", F.col("first").alias("same"))
@@ -120,12 +124,14 @@ def one_edit(a: Column, b: Column) -> Column:
 
 def _likely(docs: DataFrame, once: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(place, h1, h2, s) of the distinct lines that share a half with another."""
-    ends = once.select("place", "h1", F.explode(F.array("e0", "e1", "e2", "e3")).alias("end")).where("end is not null")
+    ends = once.select("h1", F.explode(F.array_compact(F.array("e0", "e1", "e2", "e3"))).alias("end"))
     repeated = common.written(ends.groupBy("end").count().where("count > 1").select("end"), "repeated-halves")
     doc, line = _placed(F.col("place"))
-    wanted = ends.join(common.maybe_broadcast(repeated), "end", "left_semi").select(doc.alias("doc_id"), F.struct(line.alias("line_no"), "h1").alias("x"))
+    # these sides grow with the table, so they are merged at every size
+    likely = common.written(ends.join(repeated.hint("merge"), "end", "left_semi").select("h1").distinct(), "likely-hashes")
+    wanted = once.select("h1", "place").join(likely.hint("merge"), "h1", "left_semi").select(doc.alias("doc_id"), F.struct(line.alias("line_no"), "h1").alias("x"))
     wanted = common.written(wanted.groupBy("doc_id").agg(F.collect_set("x").alias("wanted")), "likely-lines")
-    # this side grows with the table, so it is merged at every size; whole texts move as few rows
+    # whole texts move, as few rows
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(wanted.hint("merge"), "doc_id")
     lines = _tidy_lines(whole, "doc_id", "text", "wanted").where("s <> ''")
     lines = lines.select(_place(F.col("doc_id"), F.col("line_no")).alias("place"), *_hashes(F.col("s")), "s", "wanted", "line_no")
