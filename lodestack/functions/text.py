@@ -33,6 +33,11 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), _FROM, _TO)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def spaced(text: Column) -> Column:
     """White space as single blanks, none at the ends; null counts as empty."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
@@ -196,18 +201,26 @@ def date_parts(text: Column) -> Column:
 
 
 def issue_date(text: Column) -> Column:
-    """The date of an official issue line as YYYY, YYYY-MM or YYYY-MM-DD; null outside such a line or for no real date."""
-    line = spaced(text)
-    day, month, year = (first_group(line, r"(?iU)\bngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s*năm\s+(\d{4})\b", g) for g in (1, 2, 3))
-    whole = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    m2, y2 = (first_group(line, r"(?iU)\btháng\s+(\d{1,2})\s*năm\s+(\d{4})\b", g) for g in (1, 2))
-    y3 = first_group(line, r"(?iU)\bngày(?:\s+\d{1,2})?\s+tháng\s*năm\s+(\d{4})\b")
-    date = (
-        F.when(year.isNotNull(), F.when(F.try_to_date(whole, "yyyy-MM-dd").isNotNull(), whole))
-        .when(y2.isNotNull(), F.when(m2.cast("int").between(1, 12), F.concat_ws("-", y2, F.lpad(m2, 2, "0"))))
-        .otherwise(y3)
-    )
-    return F.when(line.rlike(r"(?iU)\bCần\s+Thơ\s*,?\s*ngày\b"), date)
+    """The date of an official issue line as YYYY, YYYY-MM or YYYY-MM-DD; null outside such a line or for no real date.
+
+    Each of three patterns is tried once, the next one only where the one before finds nothing.
+    """
+    numbers = lambda line, pattern: F.regexp_extract_all(F.regexp_extract(line, pattern, 0), F.lit(r"\d+"), F.lit(0))
+    part = lambda n, i: F.lpad(F.get(n, F.lit(i)), 2, "0")
+
+    def whole(n: Column) -> Column:
+        date = F.concat_ws("-", F.get(n, F.lit(2)), part(n, 1), part(n, 0))
+        return F.when(F.try_to_date(date, "yyyy-MM-dd").isNotNull(), date)
+
+    def month(n: Column) -> Column:
+        return F.when(F.get(n, F.lit(0)).cast("int").between(1, 12), F.concat_ws("-", F.get(n, F.lit(1)), part(n, 0)))
+
+    def date(line: Column) -> Column:
+        year = first_group(line, r"(?iU)\bngày(?:\s+\d{1,2})?\s+tháng\s*năm\s+(\d{4})\b")
+        months = let(numbers(line, r"(?iU)\btháng\s+(\d{1,2})\s*năm\s+(\d{4})\b"), lambda n: F.when(F.size(n) == 2, month(n)).otherwise(year))
+        return let(numbers(line, r"(?iU)\bngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s*năm\s+(\d{4})\b"), lambda n: F.when(F.size(n) == 3, whole(n)).otherwise(months))
+
+    return let(spaced(text), lambda line: F.when(line.rlike(r"(?iU)\bCần\s+Thơ\s*,?\s*ngày\b"), date(line)))
 
 
 def document_code(text: Column) -> Column:
@@ -238,9 +251,9 @@ def section(line: Column) -> Column:
 def structural_references(question: Column) -> Column:
     """References to chapters, articles, clauses and points, as array of struct(kind, chapter, article, clause, point).
 
-    A point suppresses its clause, and any part of an article the article alone.
+    A point suppresses its clause, and any part of an article the article alone. Points d and đ are two.
     """
-    q = fold(question)
+    q = F.translate(F.lower(question), _FROM.replace("đ", "").replace("Đ", ""), _TO[2:])
     empty = F.lit(None).cast("string")
 
     def refs(kind: str, pattern: str, **groups: int) -> Column:
@@ -248,11 +261,11 @@ def structural_references(question: Column) -> Column:
         found = F.regexp_extract_all(q, F.lit(pattern), F.lit(0))
         return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), *((F.regexp_extract(m, pattern, groups[g]) if g in groups else empty).alias(g) for g in F_GROUPS[:n])))
 
-    chapters = F.transform(refs("chapter", r"\bchuong\s+([ivxlcdm]+|\d+)\b", chapter=1), lambda r: r.withField("chapter", F.when(r["chapter"].rlike(r"^\d+$"), roman(r["chapter"].try_cast("int"))).otherwise(F.upper(r["chapter"]))))
-    points = refs("point", r"\bdieu\s+(\d+).*?\bkhoan\s+(\d+).*?\bdiem\s+([a-z])\b", article=1, clause=2, point=3)
-    clauses = F.filter(refs("clause", r"\bdieu\s+(\d+).*?\bkhoan\s+(\d+)", article=1, clause=2), lambda r: ~F.exists(points, lambda p: (p["article"] == r["article"]) & (p["clause"] == r["clause"])))
+    chapters = F.transform(refs("chapter", r"(?U)\bchuong\s+([ivxlcdm]+|\d+)\b", chapter=1), lambda r: r.withField("chapter", F.when(r["chapter"].rlike(r"^\d+$"), roman(r["chapter"].try_cast("int"))).otherwise(F.upper(r["chapter"]))))
+    points = refs("point", r"(?U)\b[dđ]ieu\s+(\d+).*?\bkhoan\s+(\d+).*?\b[dđ]iem\s+([a-zđ])\b", article=1, clause=2, point=3)
+    clauses = F.filter(refs("clause", r"(?U)\b[dđ]ieu\s+(\d+).*?\bkhoan\s+(\d+)", article=1, clause=2), lambda r: ~F.exists(points, lambda p: (p["article"] == r["article"]) & (p["clause"] == r["clause"])))
     parts = F.concat(points, clauses)
-    articles = F.filter(refs("article", r"\bdieu\s+(\d+)", article=1), lambda r: ~F.exists(parts, lambda p: p["article"] == r["article"]))
+    articles = F.filter(refs("article", r"(?U)\b[dđ]ieu\s+(\d+)", article=1), lambda r: ~F.exists(parts, lambda p: p["article"] == r["article"]))
     return F.concat(chapters, parts, F.array_distinct(articles))
 
 

@@ -8,10 +8,22 @@ from pyspark.sql import functions as F
 # Lines of official letters that carry no content.
 AGENCY = r"(?iU)^(?:PHÒNG|KHOA|VIỆN|TRUNG TÂM|TRƯỜNG)\s+[A-ZÀ-ỸĐ0-9&().,\-/ ]+$"
 AGENCY_CONTINUED = r"(?iU)^(?:VÀ|&)(?:\s+[A-ZÀ-ỸĐ0-9&().,\-/]+){1,10}$"
-COUNTRY = r"(?iU)^(?:CỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM|ĐỘC LẬP\s*[-–—]\s*TỰ DO\s*[-–—]\s*HẠNH PHÚC)$"
+LETTERHEADS = (
+    r"^BỘ GIÁO DỤC VÀ ĐÀO TẠO$",
+    r"^ĐẠI HỌC CẦN THƠ$",
+    r"^TRƯỜNG ĐẠI HỌC CẦN THƠ$",
+    r"^CỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM$",
+    r"^ĐỘC LẬP\s*[-–—]\s*TỰ DO\s*[-–—]\s*HẠNH PHÚC$",
+    r"^BỘ GIÁO DỤC VÀ ĐÀO TẠO\s+CỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM$",
+    r"^(?:ĐẠI HỌC CẦN THƠ|TRƯỜNG ĐẠI HỌC CẦN THƠ)\s+ĐỘC LẬP\s*[-–—]\s*TỰ DO\s*[-–—]\s*HẠNH PHÚC$",
+)
 RECIPIENT = r"(?iU)^KÍNH\s+GỬI\s*:?"
 FOOTER = r"(?iU)^NƠI\s+NHẬN\s*:?"
-SIGNATURE = r"(?iU)^(?:(?:KT|TL|TUQ|Q)\.?\s*)?(?:PHÓ )?(?:HIỆU TRƯỞNG|TRƯỞNG PHÒNG|GIÁM ĐỐC|TRƯỞNG KHOA|VIỆN TRƯỞNG)(?:\s+(?:TRƯỜNG|KHOA|PHÒNG|VIỆN|TRUNG TÂM)\b[A-ZÀ-ỸĐ0-9&().,\-/ ]*)?$"
+SIGNATURE = (
+    r"(?iU)^(?:(?:KT|TL|TUQ|Q)\.?\s*)?"
+    r"(?:HIỆU TRƯỞNG|PHÓ HIỆU TRƯỞNG|TRƯỞNG PHÒNG|PHÓ TRƯỞNG PHÒNG|GIÁM ĐỐC|PHÓ GIÁM ĐỐC|TRƯỞNG KHOA|PHÓ TRƯỞNG KHOA|VIỆN TRƯỞNG|PHÓ VIỆN TRƯỞNG)"
+    r"(?:\s+(?:TRƯỜNG|KHOA|PHÒNG|VIỆN|TRUNG TÂM)\b[A-ZÀ-ỸĐ0-9&().,\-/ ]*)?$"
+)
 CLOSING = r"(?iU)^(?:TRÂN TRỌNG(?: KÍNH CHÀO)?|KÍNH CHÀO)\s*[./]*$"
 PERSON = r"(?U)^[A-ZÀ-ỸĐ][a-zà-ỹđ]+(?:\s+[A-ZÀ-ỸĐ][a-zà-ỹđ]+){1,5}$"
 NUMBER_OR_DATE = r"(?iU)^(?:SỐ\s*:?\s*(?=\d|/)|.*,\s*ngày\s)"
@@ -40,7 +52,7 @@ def content_lines(lines: DataFrame, by: list[str], order: str = "pos", text_col:
     head = F.last(F.when(F.col("_starts"), False).when(agency, True).when(t.rlike(NUMBER_OR_DATE), False), ignorenulls=True).over(w)
     at = at.withColumn("_agency", agency).withColumn("_head", F.coalesce(head, F.lit(False))).withColumn("_signed", F.max(t.rlike(SIGNATURE)).over(w))
     top, bottom = near_top if near_top is not None else F.lit(True), near_bottom if near_bottom is not None else F.lit(False)
-    drop = F.col("_starts") | F.col("_agency") | t.rlike(COUNTRY) | (top & F.col("_head") & t.rlike(AGENCY_CONTINUED)) | t.rlike(SIGNATURE) | t.rlike(CLOSING) | (t.rlike(PERSON) & (F.col("_signed") | bottom))
+    drop = F.col("_starts") | F.col("_agency") | t.rlike("(?iU)" + "|".join(LETTERHEADS)) | (top & F.col("_head") & t.rlike(AGENCY_CONTINUED)) | t.rlike(SIGNATURE) | t.rlike(CLOSING) | (t.rlike(PERSON) & (F.col("_signed") | bottom))
     return at.where(~drop).select(*lines.columns)
 
 

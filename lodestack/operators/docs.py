@@ -27,7 +27,8 @@ def carried(items: DataFrame, by: list[str], order: list[str], signature: Column
 def merged_islands(items: DataFrame, by: list[str], order: str, joins: Column, text_col: str = "line", separator: str = " ") -> DataFrame:
     """Runs of items, each joined to the one before where ``joins`` holds: (by, first, n, text).
 
-    ``joins`` reads the item and, as ``before``, the text of the one before it.
+    ``joins`` reads the item and, as ``before``, the text of the one before it. It may look at the end of that
+    text only: there the item before and all that has been joined to it are the same.
     """
     w = Window.partitionBy(*by).orderBy(order)
     at = items.withColumn("before", F.lag(text_col).over(w))

@@ -43,24 +43,35 @@ def within(edges: DataFrame, goals: DataFrame, hops: int) -> DataFrame:
     return near
 
 
-def expanded(edges: DataFrame, seeds: DataFrame, depth: int, hints: list[str] | None = None) -> DataFrame:
+def expanded(edges: DataFrame, seeds: DataFrame, depth: int, hints: list[str] | None = None, most: int | None = None) -> DataFrame:
     """Undirected paths of 1 to depth edges, none twice, from seeds (id): seed, nodes, edges, types, depth.
 
     Seeds without a path have one row of depth 0. With hints only paths with an edge of such a type count;
     where no path at all has one, hints do not count.
+
+    ``most`` is for callers that keep no more than so many paths of a seed, in order of depth and then nodes.
+    Of each node only the first steps in that order are taken, and of each seed and depth the first paths;
+    a seed that has more of one depth needs no deeper ones, so that nothing that is kept is lost.
     """
     step = both_ways(edges)
     level = seeds.select(F.col("id").alias("seed"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("edges"), F.array().cast("array<string>").alias("types"), F.col("id").alias("a"))
     levels = []
-    for _ in range(depth):
-        level = level.join(step, "a").where(~F.array_contains("edges", F.col("edge")))
+    for d in range(depth):
+        taken = step
+        if most is not None:
+            # ranked by the key of the join that follows, so that it is one shuffle for both
+            taken = step.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("b", "edge"))).where(F.col("_r") <= most + d).drop("_r")
+        level = level.join(taken, "a").where(~F.array_contains("edges", F.col("edge")))
         level = level.select("seed", F.concat("nodes", F.array("b")).alias("nodes"), F.concat("edges", F.array("edge")).alias("edges"), F.concat("types", F.array("type")).alias("types"), F.col("b").alias("a"))
+        if most is not None:
+            first = Window.partitionBy("seed").orderBy(F.array_join("nodes", ">"), "edges")
+            level = level.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most).drop("_r")
         levels.append(level)
     paths = reduce(DataFrame.unionByName, levels).drop("a")
     if hints:
-        hinted = paths.where(F.exists("types", lambda t: t.isin(*hints)))
-        if not hinted.isEmpty():
-            paths = hinted
+        hinted = F.exists("types", lambda t: t.isin(*hints))
+        any_hinted = F.broadcast(paths.agg(F.coalesce(F.bool_or(hinted), F.lit(False)).alias("_any")))  # one row
+        paths = paths.join(any_hinted).where(~F.col("_any") | hinted).drop("_any")
     return seeds.select(F.col("id").alias("seed")).join(paths.withColumn("depth", F.size("edges")), "seed", "left").withColumns(
         {"nodes": F.coalesce("nodes", F.array("seed")), "edges": F.coalesce("edges", F.array().cast("array<string>")), "types": F.coalesce("types", F.array().cast("array<string>")), "depth": F.coalesce("depth", F.lit(0))}
     )

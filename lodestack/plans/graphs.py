@@ -85,7 +85,7 @@ CAPPED = f"""{PATHS}, first AS (SELECT *, row_number() OVER (ORDER BY depth, arr
 
 
 def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = graph.expanded(views.edges(spark, sf_dir), _seeds(spark, sf_dir), 2)
+    paths = graph.expanded(views.edges(spark, sf_dir), _seeds(spark, sf_dir), 2, most=120)
     return graph.capped(paths, [F.col("depth"), F.array_join("nodes", ">")], 120, 100)
 
 

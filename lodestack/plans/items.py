@@ -43,20 +43,22 @@ def _article_context(tree: DataFrame, asked: DataFrame) -> DataFrame:
     return regulations.looked_up(tree, asked).select("query.doc_id", "query.article", "context")
 
 
-@query(f"""WITH {REG} SELECT doc_id, article, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS context FROM parts WHERE doc_id % 10 = 0 GROUP BY doc_id, article""")
-def article_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every article of every tenth regulation; ``article_context_all`` asks in all of them."""
-    tree = regulations.parts(regulation_lines(spark, sf_dir))
-    return _article_context(tree, tree.where("doc_id % 10 = 0"))
+CONTEXTS = f"""WITH {REG} SELECT doc_id, article, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS context FROM parts GROUP BY doc_id, article"""
 
 
-@query(f"""WITH {REG} SELECT doc_id, article, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS context FROM parts GROUP BY doc_id, article""")
-def article_context_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(CONTEXTS)
+def article_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every article of every regulation, asked for with all below it."""
     tree = regulations.parts(regulation_lines(spark, sf_dir))
     return _article_context(tree, tree)
 
 
+@query(CONTEXTS)
+def article_context_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under the name of the round before."""
+    return article_context(spark, sf_dir)
+
+
 COURSE = """course AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos FROM lineitem),
     k AS (SELECT *, l_partkey % 11 = 0 AS header, l_partkey % 11 = 1 AS summary, l_partkey % 11 IN (2, 3) AS digits, l_partkey % 11 IN (4, 5) AS req, l_partkey % 11 IN (5, 6, 7) AS grp FROM course),
     b AS (SELECT *, last_value(CASE WHEN header THEN 'Khối ' || l_suppkey END IGNORE NULLS) OVER w AS block, sum(CASE WHEN header OR summary OR digits THEN 1 ELSE 0 END) OVER w AS s FROM k WINDOW w AS (PARTITION BY l_orderkey ORDER BY pos)),
@@ -117,12 +119,12 @@ LETTER = """letter AS (SELECT o_custkey AS doc_id, CAST(o_orderkey AS INT) AS po
     l3 AS (SELECT *, max(CASE WHEN kind = 7 THEN 1 ELSE 0 END) OVER w AS signed FROM l2 WHERE kind = 1 OR recipient = 0 WINDOW w AS (PARTITION BY doc_id ORDER BY pos))"""
 
 
-@query(f"""WITH {LETTER} SELECT doc_id, pos FROM l3 WHERE kind NOT IN (1, 6, 7) AND NOT (kind = 8 AND signed = 1)""")
+@query(f"""WITH {LETTER} SELECT doc_id, pos FROM l3 WHERE kind NOT IN (1, 6, 7, 10, 11) AND NOT (kind = 8 AND signed = 1)""")
 def letter_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders as lines of letters: recipients, long and short lines, agencies, signatures, names, footers."""
     k = F.col("o_orderkey") % 12
     long = F.concat(F.lit("đoạn nội dung dài hơn ba mươi lăm ký tự số "), F.col("o_orderkey").cast("string"))
-    line = F.when(k == 1, "Kính gửi: các đơn vị").when(k == 2, "- Khoa Một").when(k.isin(3, 4, 5), long).when(k == 6, "TRƯỜNG ĐẠI HỌC").when(k == 7, "HIỆU TRƯỞNG").when(k == 8, "Nguyễn Văn An").when((k == 9) & (F.col("o_orderkey") % 5 == 0), "Nơi nhận:").otherwise("dòng ngắn")
+    line = F.when(k == 1, "Kính gửi: các đơn vị").when(k == 2, "- Khoa Một").when(k.isin(3, 4, 5), long).when(k == 6, "TRƯỜNG ĐẠI HỌC").when(k == 7, "HIỆU TRƯỞNG").when(k == 8, "Nguyễn Văn An").when((k == 9) & (F.col("o_orderkey") % 5 == 0), "Nơi nhận:").when(k == 10, "BỘ GIÁO DỤC VÀ ĐÀO TẠO").when(k == 11, "ĐẠI HỌC CẦN THƠ ĐỘC LẬP - TỰ DO - HẠNH PHÚC").otherwise("dòng ngắn")
     at = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").cast("int").alias("pos"), line.alias("line"))
     return cleaning.content_lines(at, ["doc_id"]).select("doc_id", "pos")
 

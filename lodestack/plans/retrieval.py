@@ -138,14 +138,15 @@ def rerank_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TYPED}, b AS (SELECT position, coalesce(lang || ': ' || d.text, '') AS block FROM final f LEFT JOIN documents d ON d.doc_id = f.id WHERE position <= 6),
            u AS (SELECT *, coalesce(sum(length(block) + 2) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
            c AS (SELECT *, 12000 - before AS room, length(block) <= 12000 - before AS whole FROM u WHERE 12000 - before > 0),
-           t AS (SELECT *, CASE WHEN whole THEN block ELSE regexp_extract(block[1:room + 1], '^(.*)\\n', 1, 's') END AS fitted FROM c)
+           l AS (SELECT *, regexp_extract(block[1:room + 1], '^(.*)\\n', 1, 's') AS cut FROM c), m AS (SELECT *, concat_ws(chr(10), nullif(cut, ''), '[Context THONG_BAO đã được giới hạn]') AS told FROM l),
+           t AS (SELECT *, CASE WHEN whole THEN block WHEN length(told) <= room THEN told ELSE cut END AS fitted FROM m)
            SELECT position, whole, length(fitted) AS n_chars, md5(fitted) AS digest FROM t WHERE whole OR fitted <> ''""")
 def notification_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole path: candidates per label, merged, re-ranked, the first six with their texts in 12,000 characters."""
     top = reranked(spark, sf_dir, 6)
     docs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(": ", "lang", "text").alias("block"))
     at = top.join(docs, "id", "left").withColumn("block", F.coalesce("block", F.lit(""))).withColumn("one", F.lit(1))
-    fitted = rank.within_budget(at, 12_000, ["one"], ["position"])
+    fitted = rank.within_budget(at, 12_000, ["one"], ["position"], mark=rank.CUT)
     return fitted.select(F.col("position").cast("long").alias("position"), "whole", F.length("fitted").cast("long").alias("n_chars"), F.md5("fitted").alias("digest"))
 
 
@@ -160,12 +161,12 @@ def multi_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_suppkey, count(*) AS n_siblings, sum(b.l_quantity) AS quantity
-          FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND NOT (a.l_linenumber = b.l_linenumber AND a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey) AND b.l_quantity > 25 WHERE a.l_quantity = 50 GROUP BY ALL""")
+          FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND NOT (a.l_linenumber = b.l_linenumber AND a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey) WHERE a.l_quantity = 50 GROUP BY ALL""")
 def siblings_same_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = views.table(spark, sf_dir, "lineitem")
     keys = ["l_linenumber", "l_partkey", "l_suppkey"]
     seed = li.where("l_quantity = 50").select("l_orderkey", *keys)
-    other = li.where("l_quantity > 25").select("l_orderkey", *(F.col(k).alias(f"o_{k}") for k in keys), F.col("l_quantity").alias("q"))
+    other = li.select("l_orderkey", *(F.col(k).alias(f"o_{k}") for k in keys), F.col("l_quantity").alias("q"))
     same = [F.col(k) == F.col(f"o_{k}") for k in keys]
     at = seed.join(other, "l_orderkey").where(~(same[0] & same[1] & same[2]))
     return at.groupBy("l_orderkey", *keys).agg(F.count("*").alias("n_siblings"), F.sum("q").alias("quantity"))

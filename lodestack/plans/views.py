@@ -73,7 +73,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Danh sách sinh viên bị xóa lớp học phần "), code, F.lit(" HK"), half, F.lit(" năm học "), year, F.lit("-"), year + 1),
         F.concat(code, F.lit(" có học phần tiên quyết nào?")),
         F.lit("Học phần tiên quyết là gì?"),
-        F.concat(F.lit("Điều "), F.col("conv_id") % 30 + 1, F.lit(" Khoản "), half, F.lit(" Điểm a quy định gì?")),
+        F.concat(F.lit("Điều "), F.col("conv_id") % 30 + 1, F.lit(" Khoản "), half, F.lit(" Điểm "), F.element_at(F.array(*map(F.lit, ("a", "đ", "d"))), (F.col("conv_id") % 3 + 1).cast("int")), F.lit(" quy định gì?")),
         F.concat(F.lit("đkhp hk"), half, F.lit(" K"), F.lit(45) + F.col("turn") % 6, F.lit("  sv ngành cntt")),
         F.lit("Xin chào!"),
         F.concat(F.lit("Điểm rèn luyện của B"), F.lpad(F.col("conv_id").cast("string"), 7, "2"), F.lit(" và chuyển ngành, môn học  nào?")),
@@ -116,7 +116,7 @@ SQL = {
             'Danh sách sinh viên bị xóa lớp học phần CT' || lpad(CAST(conv_id % 1000 AS VARCHAR), 3, '0') || ' HK' || (turn % 3 + 1) || ' năm học ' || (2020 + conv_id % 8) || '-' || (2021 + conv_id % 8),
             'CT' || lpad(CAST(conv_id % 1000 AS VARCHAR), 3, '0') || ' có học phần tiên quyết nào?',
             'Học phần tiên quyết là gì?',
-            'Điều ' || (conv_id % 30 + 1) || ' Khoản ' || (turn % 3 + 1) || ' Điểm a quy định gì?',
+            'Điều ' || (conv_id % 30 + 1) || ' Khoản ' || (turn % 3 + 1) || ' Điểm ' || ['a', 'đ', 'd'][conv_id % 3 + 1] || ' quy định gì?',
             'đkhp hk' || (turn % 3 + 1) || ' K' || (45 + turn % 6) || '  sv ngành cntt',
             'Xin chào!',
             'Điểm rèn luyện của B' || lpad(CAST(conv_id AS VARCHAR), 7, '2') || ' và chuyển ngành, môn học  nào?',

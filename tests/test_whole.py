@@ -1,4 +1,4 @@
-"""Queries over all that their tables hold, where the SQL twin of another query covers a part."""
+"""Queries over all that their tables hold."""
 
 import re
 
@@ -42,8 +42,7 @@ def test_every_question_is_normalised(spark, tmp_path):
     free = {(c, t): x for c, t, _, x in rows if (c * 8 + t) % 10 == 9}
     assert len(free) == len(FREE)
     assert {k: got[k] for k in free} == {k: by_hand(f"user: {x}") for k, x in free.items()}
-    fixed = {(r.conv_id, r.turn): r.normalised for r in QUERIES["query_normalise"](spark, str(tmp_path)).collect()}
-    assert set(fixed) == set(got) - set(free) and all(got[k] == v for k, v in fixed.items())
+    assert {(r.conv_id, r.turn): r.normalised for r in QUERIES["query_normalise"](spark, str(tmp_path)).collect()} == got
 
 
 def test_articles_of_every_regulation(spark, tmp_path):
@@ -52,7 +51,7 @@ def test_articles_of_every_regulation(spark, tmp_path):
     got = {(r.doc_id, r.article): r.context for r in QUERIES["article_context_all"](spark, str(tmp_path)).collect()}
     sep = "\n\n---\n\n"
     assert got == {(7, "5"): f"title 4{sep}clause 9 text 11", (8, "9"): "title 8", (10, "13"): f"title 12{sep}clause 13"}
-    assert {r.doc_id for r in QUERIES["article_context"](spark, str(tmp_path)).collect()} == {10}
+    assert {r.doc_id for r in QUERIES["article_context"](spark, str(tmp_path)).collect()} == {7, 8, 10}
 
 
 GRAMMARS = [
