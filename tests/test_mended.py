@@ -37,9 +37,9 @@ def test_islands_against_a_plain_fold(spark):
 
 
 def test_cut_contexts_say_so(spark):
-    at = spark.createDataFrame([(1, 1, "a" * 10), (1, 2, "one\ntwo\nthree"), (2, 1, "x" * 50), (3, 1, "short")], "q long, position int, block string")
+    at = spark.createDataFrame([(1, 1, "a" * 10), (1, 2, "one\ntwo\nthree more"), (2, 1, "x" * 50), (3, 1, "short")], "q long, position int, block string")
     got = {(r.q, r.position): r.fitted for r in rank.within_budget(at, 25, ["q"], ["position"], mark="[cut]").collect()}
-    assert got == {(1, 1): "a" * 10, (1, 2): "one\n[cut]", (2, 1): "[cut]", (3, 1): "short"}
+    assert got == {(1, 1): "a" * 10, (1, 2): "one\ntwo\n[cut]", (2, 1): "[cut]", (3, 1): "short"}
 
 
 def test_rows_equal_but_for_their_cells_stay_apart(spark):
