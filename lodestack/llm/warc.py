@@ -79,7 +79,7 @@ def resolved(records: DataFrame, partitions: int | None = None) -> DataFrame:
     # one row for each URL and range that has it
     earlier = Window.partitionBy("url").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ends = at.select("url", "range").distinct().join(last, ["url", "range"], "left")
-    ends = ends.withColumn("before", F.last("last", ignorenulls=True).over(earlier)).select("url", "range", "before").where("before is not null")
+    ends = ends.withColumn("before", F.last("last", ignorenulls=True).over(earlier)).select("url", "range", "before").where("before is not null").hint("merge")
     within = Window.partitionBy("url", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = at.withColumn("here", F.last(F.when(F.col("type") == "response", answer), ignorenulls=True).over(within)).where("type = 'revisit'")
     out = seen.join(ends, ["url", "range"], "left").select("record_id", "url", "captured", "headers", F.coalesce("here", "before").alias("of"))
