@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -344,3 +345,57 @@ def domain(question: Column) -> Column:
         .when(dated & contains_any(q, events), "THONG_BAO")
         .when(q.contains("danh sach") & contains_any(q, ("sinh vien", "chuyen nganh", "xoa lop", "lop hoc phan")), "THONG_BAO")
     )
+
+
+# Words that name a regulation, and those that ask for a relation of courses.
+REGULATIONS = {
+    "quydinhdaotaotructuyen": ("trực tuyến", "online", "e-learning", "đào tạo trực tuyến"),
+    "QCDTVHVL": ("vừa học vừa làm", "vhvl", "tại chức", "hệ vừa học"),
+    "QCDTTuXa": ("từ xa", "đào tạo từ xa", "hệ từ xa"),
+}
+COURSE_RELATIONS = {"YEU_CAU_TIEN_QUYET": "tiên quyết", "CO_THE_SONG_HANH": "song hành"}
+#: Glyphs of symbol fonts, as text.
+GLYPHS = {"\uf0e0": " đến ", "\uf0b7": "-"}
+
+
+def regulation(question: Column) -> Column:
+    """The regulation that a question names, the first of the list; null if it names none."""
+    low = F.lower(question)
+    return F.coalesce(*(F.when(contains_any(low, words), F.lit(key)) for key, words in REGULATIONS.items()))
+
+
+def course_relations(hints: Column, question: Column) -> Column:
+    """Relations to follow from a course: the known ones among the hints, each once, else those that the question's words ask for."""
+    tidy = F.transform(F.coalesce(hints, F.array().cast("array<string>")), lambda h: F.upper(F.trim(F.coalesce(h, F.lit("")))))
+    given = F.array_distinct(F.filter(tidy, lambda h: h.isin(*COURSE_RELATIONS)))
+    low = F.lower(F.coalesce(question, F.lit("")))
+    asked = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(w)), F.lit(r)) for r, w in COURSE_RELATIONS.items())))
+    return F.when(F.size(given) > 0, given).otherwise(asked)
+
+
+def cohort_of_year(year: Column) -> Column:
+    """Students who begin in a year are the cohort of that year less 1974."""
+    return (year - 1974).cast("int")
+
+
+def compatible(text: Column) -> Column:
+    """Unicode's compatibility form (NFKC), Arrow batch by batch: the JVM's functions have none."""
+
+    @F.pandas_udf("string")
+    def nfkc(values: pd.Series) -> pd.Series:
+        return values.str.normalize("NFKC")
+
+    return nfkc(text)
+
+
+def repaired(text: Column) -> Column:
+    """Text of pages: compatible letters, plain spaces, glyphs as text, even ranges and times, no blank ends of lines,
+    one empty line at most between others. Null counts as empty."""
+    t = F.translate(compatible(F.coalesce(text, F.lit(""))), "\u00a0\u2007\u202f\ufeff", "   ")
+    for glyph, plain in GLYPHS.items():
+        t = F.replace(t, F.lit(glyph), F.lit(plain))
+    t = F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    t = F.regexp_replace(t, r"(?iU)(?<=\d)\s*đến\s*(?=\d)", " đến ")
+    t = F.regexp_replace(t, r"(?U)\b([01]?\d|2[0-3])\s*:\s*([0-5]\d)\b", "$1:$2")
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" *\n *", "\n")
+    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")

@@ -42,3 +42,48 @@ def top_k(scores: DataFrame, k: int, by: list[str] | None = None, score_col: str
     if not by:
         return scores.orderBy(*order).limit(k)
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def searched(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id", vector_col: str = "embedding", per_block: tuple[int, int] = (512, 16_384)) -> DataFrame:
+    """(query_id, id, score, rank): the k nearest vectors by cosine of each query, exactly, for a batch of queries.
+
+    Queries and vectors are dealt into blocks of about ``per_block`` rows by hash; a task multiplies one block of
+    queries with one of vectors and passes on k rows a query, and a window ranks what the blocks give. Scores count
+    to nine decimals, of equal ones the smaller id. Null vectors, those of length zero and of another size than the
+    query's have no score; vectors that repeat count each.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    n_queries, n_vectors = (max(1, -(-df.count() // n)) for df, n in zip((queries, vectors), per_block))
+
+    def usable(df: DataFrame, key: str, name: str) -> DataFrame:
+        at = df.select(F.col(key).alias(name), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & (norm(F.col("v")) > 0))
+        return at.withColumn("d", F.size("v"))
+
+    block = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = usable(queries, query_id, "q").select("q", "v", "d", block("q", n_queries).cast("int").alias("qb"), every(n_vectors).alias("vb"))
+    right = usable(vectors, id_col, "i").select("i", "v", "d", block("i", n_vectors).cast("int").alias("vb"), every(n_queries).alias("qb"))
+
+    def nearest(a, b):
+        import numpy as np
+        import pandas as pd
+
+        columns = {"q": a["q"].iloc[:0], "i": b["i"].iloc[:0], "s": np.empty(0)}
+        if len(a) == 0 or len(b) == 0:
+            return pd.DataFrame(columns)
+        unit = lambda v: (m := np.stack(v.to_numpy())) / np.sqrt((m * m).sum(axis=1, keepdims=True))
+        scores, ids, parts = np.round(unit(a["v"]) @ unit(b["v"]).T, 9), b["i"].to_numpy(), []
+        for one, q in zip(scores, a["q"]):
+            least = np.partition(one, len(one) - k)[len(one) - k] if len(one) > k else -np.inf
+            at = np.flatnonzero(one >= least)
+            at = at[np.lexsort((ids[at], -one[at]))][:k]
+            parts.append(pd.DataFrame({"q": q, "i": ids[at], "s": one[at]}))
+        return pd.concat(parts)
+
+    types = {**dict(left.dtypes), **dict(right.dtypes)}
+    keys = ["d", "qb", "vb"]
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, f"q {types['q']}, i {types['i']}, s double")
+    ranked = Window.partitionBy("q").orderBy(F.desc("s"), F.asc("i"))
+    at = best.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    return at.select(F.col("q").alias(query_id), F.col("i").alias(id_col), F.col("s").alias("score"), "rank")

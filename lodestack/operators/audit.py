@@ -33,3 +33,20 @@ def repeated(nodes: DataFrame, keys: list[str]) -> DataFrame:
 def vector_coverage(nodes: DataFrame, vector_col: str = "embedding", by: str = "label") -> DataFrame:
     """(label, total, embedded, sizes) of each label."""
     return nodes.groupBy(by).agg(F.count("*").alias("total"), F.count(vector_col).alias("embedded"), F.array_sort(F.collect_set(F.size(vector_col))).alias("sizes"))
+
+
+def document_warnings(documents: DataFrame, by: str = "id") -> DataFrame:
+    """(by, warnings) of documents (by, code, issued, title, items): what a document lacks, in a fixed order; documents
+    that lack nothing have an empty list. Blank counts as missing for texts, empty and null for items."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    lacks = (("thiếu mã văn bản", blank("code")), ("thiếu ngày ban hành", blank("issued")), ("thiếu tiêu đề", blank("title")), ("không có nội dung", F.coalesce(F.size("items"), F.lit(0)) <= 0))
+    return documents.select(by, F.array_compact(F.array(*(F.when(c, F.lit(w)) for w, c in lacks))).alias("warnings"))
+
+
+def unembedded(nodes: DataFrame, stored: DataFrame, size: int, force: bool = False, by: str = "id") -> DataFrame:
+    """Nodes (by, text) with a text that lack a vector of the wanted size in stored (by, embedding); all of them by force."""
+    some = nodes.where(F.trim("text") != "")
+    if force:
+        return some
+    good = stored.where(F.size("embedding") == size).select(by)
+    return some.join(good, by, "left_anti")
