@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.functions import text
+
 CODE = r"[A-Z]{2,3}\d{3}[A-Z]*"
 BLOCK = "BLOCK_HEADER:"
 #: What the columns of a course table are, by place.
@@ -77,3 +81,128 @@ def sufficient(nodes: DataFrame, edges: DataFrame, text_chars: int) -> bool:
     """Whether a graph's answer needs no search by vectors: an edge and two nodes, or a node and 180 characters of text."""
     n, e = nodes.limit(2).count(), edges.limit(1).count()
     return (e >= 1 and n >= 2) or (n >= 1 and text_chars >= 180)
+
+
+# What sections of curricula are about, by words of their headers.
+CONCEPTS = {
+    "MUC_TIEU": ("mục tiêu", "objectives", "goal"),
+    "CHUAN_DAU_RA": ("chuẩn đầu ra", "learning outcomes", "plo", "cdr", "chuẩn đr", "kiến thức kỹ năng thái độ"),
+    "VI_TRI_VIEC_LAM": ("vị trí việc làm", "cơ hội nghề nghiệp", "nghề nghiệp", "việc làm", "công việc", "vị trí làm việc"),
+    "KHA_NANG_HOC_TAP": ("khả năng học tập", "nâng cao trình độ", "học tập suốt đời", "sau đại học"),
+    "KHUNG_CHUONG_TRINH": ("khung chương trình", "danh sách học phần", "kế hoạch đào tạo"),
+    "THAM_KHAO": ("tài liệu tham khảo", "tham khảo", "tham chiếu", "căn cứ pháp lý"),
+    "THONG_TIN_CHUNG": ("thông tin chung", "tổng quan"),
+}
+RELATION_HINTS = ("BAN_HANH_THEO", "DAO_TAO", "THUOC_VE", "CAP", "CO", "THAM_KHAO", "DAT_DUOC", "YEU_CAU", "GOM", "DOI_VOI", "YEU_CAU_TIEN_QUYET", "CO_THE_SONG_HANH")
+ANCHOR_TYPES = ("ChuongTrinhDaoTao", "Nganh", "KhoiKienThuc", "HocPhan", "ChuanDauRa", "DieuKienTotNghiep", "VanBanPhapLy", "Khoa", "BoMon")
+QUERY_TYPES = ("attribute", "relation", "path", "aggregation", "description", "list")
+ANSWER_SHAPES = ("single", "list", "path", "summary")
+DEFAULT_COHORT, DEFAULT_MODE = 51, "đại trà"
+
+
+def _plain(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c)).replace("đ", "d")
+
+
+def concept(header: Column) -> Column:
+    """What a section is about, the first of the list whose words its header holds, accents or not; else UNKNOWN."""
+    h = text.folded(header)
+    return F.coalesce(*(F.when(text.contains_any(h, [_plain(w) for w in words]), F.lit(key)) for key, words in CONCEPTS.items()), F.lit("UNKNOWN"))
+
+
+def outcomes(lines: DataFrame, by: str = "program", order: str = "pos", text_col: str = "line") -> DataFrame:
+    """(by, order, code, content, category, subcategory): the listed items of learning outcomes.
+
+    Headers number two or three parts; the category is the last header of two, the subcategory the last of three
+    since then, Chung (general) without one. Codes in brackets count and leave the text; items without one are
+    numbered CDR_01 and on in order. Blank and other lines give nothing.
+    """
+    t, code = F.col("t"), r"(?i)\(((?:PLO|CDR|PO)\d+)\)"
+    item = r"(?dU)^(?:[a-z]\.|-|\+|\*)\s+(.*)$"
+    title = lambda pattern: F.regexp_replace(F.regexp_extract(t, pattern, 1), r"^[#* ]+|[#* ]+$", "")
+    second, first = r"(?dU)^(?:####\s+)?\d+\.\d+\.\d+\.?\s+(.*)$", r"(?dU)^(?:###\s+)?\d+\.\d+\s+(.*)$"
+    at = lines.select(by, order, F.regexp_replace(F.coalesce(text_col, F.lit("")), r"(?U)^\s+|\s+$", "").alias("t")).where("t <> ''")
+    w = Window.partitionBy(by).orderBy(order)
+    at = at.withColumn("kind", F.when(t.rlike(second), 2).when(t.rlike(first), 1).when(t.rlike(item), 0)).where("kind is not null")
+    at = at.withColumn("category", F.last(F.when(F.col("kind") == 1, title(first)), ignorenulls=True).over(w)).withColumn("s", F.count_if(F.col("kind") == 1).over(w))
+    at = at.withColumn("subcategory", F.last(F.when(F.col("kind") == 2, title(second)), ignorenulls=True).over(Window.partitionBy(by, "s").orderBy(order)))
+    at = at.where("kind = 0").withColumn("content", F.trim(F.regexp_extract(t, item, 1))).withColumn("named", F.nullif(F.upper(F.regexp_extract("content", code, 1)), F.lit("")))
+    n = F.count_if(F.col("named").isNull()).over(w).cast("string")
+    own = F.concat(F.lit("CDR_"), F.when(F.length(n) < 2, F.lpad(n, 2, "0")).otherwise(n))
+    clean = F.when(F.col("named").isNull(), F.col("content")).otherwise(F.regexp_replace(F.replace("content", F.regexp_extract("content", code, 0), F.lit("")), r"^[ ;.,]+|[ ;.,]+$", ""))
+    return at.select(by, order, F.coalesce("named", own).alias("code"), clean.alias("content"), F.coalesce("category", F.lit("Chung")).alias("category"), F.coalesce("subcategory", F.lit("Chung")).alias("subcategory"))
+
+
+def program_fields(major: Column, content: Column, full_text: Column) -> Column:
+    """A program's fields from its text, as a struct: cohort by the first year (0 without one), kind, id, language, credits
+    and years as text (0 if missing), degree, form and method (Unknown if missing)."""
+    whole, body = F.coalesce(full_text, F.lit("")), F.coalesce(content, F.lit(""))
+    found = lambda pattern, default, group=1: F.coalesce(F.nullif(F.trim(F.regexp_extract(body, r"(?idU)" + pattern, group)), F.lit("")), F.lit(default))
+    cohort = F.coalesce(text.cohort_of_year(F.regexp_extract(whole, r"(?idU)năm\s+(\d{4})", 1).try_cast("int")), F.lit(0))
+    high = F.contains(F.lower(whole), F.lit("chất lượng cao"))
+    return F.struct(
+        F.concat_ws("_", major, cohort.cast("string"), F.when(high, "CLC").otherwise("STD")).alias("program"), cohort.alias("cohort"),
+        F.when(high, "Chất lượng cao").otherwise("Đại trà").alias("kind"), F.when(high, "Tiếng Anh").otherwise("Tiếng Việt").alias("language"),
+        found(r"(?:Số lượng tín chỉ|Tổng cộng)[:-]\s*(\d+)", "0").alias("credits"), F.replace(found(r"Thời gian đào tạo:\s*([\d.,]+)", "0"), F.lit(","), F.lit(".")).alias("years"),
+        found(r"(?:Loại văn bằng|Danh hiệu):\s*(.+)", "Unknown").alias("degree"), found(r"Hình thức đào tạo:\s*(.+)", "Unknown").alias("form"), found(r"Phương thức tổ chức đào tạo:\s*(.+)", "Unknown").alias("method"),
+    )
+
+
+def _known(values: Column, allowed: tuple, change=F.trim) -> Column:
+    tidy = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: change(F.coalesce(x, F.lit(""))))
+    return F.filter(tidy, lambda x: x.isin(*allowed))
+
+
+def plan(anchors: Column, entity_types: Column, relations: Column, asked: Column, depth: Column, paths: Column, nodes: Column, shape: Column, defaults: tuple[int, int, int] = (2, 120, 120)) -> Column:
+    """A plan for the search of a graph, as a struct, made safe: known anchors (else those of the question's entities), at
+    most three; known relations (else those asked for), each once, at most four; bounds in their ranges, the default
+    where they are no numbers; a known shape of the answer, else summary."""
+    first, rest = _known(anchors, ANCHOR_TYPES), F.array_distinct(_known(entity_types, ANCHOR_TYPES))
+    upper = lambda x: F.upper(F.trim(x))
+    given, wanted = (F.array_distinct(_known(c, RELATION_HINTS, upper)) for c in (relations, asked))
+    bound = lambda c, default, low, high: F.greatest(F.lit(low), F.least(F.coalesce(c.try_cast("int"), F.lit(default)), F.lit(high)))
+    s = F.lower(F.trim(F.coalesce(shape, F.lit("summary"))))
+    return F.struct(
+        F.slice(F.when(F.size(first) > 0, first).otherwise(rest), 1, 3).alias("anchors"), F.slice(F.when(F.size(given) > 0, given).otherwise(wanted), 1, 4).alias("relations"),
+        bound(depth, defaults[0], 1, 2).alias("max_depth"), bound(paths, defaults[1], 10, 120).alias("max_paths"), bound(nodes, defaults[2], 20, 120).alias("max_nodes"),
+        F.when(s.isin(*ANSWER_SHAPES), s).otherwise("summary").alias("shape"),
+    )
+
+
+def query_type(value: Column) -> Column:
+    v = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    return F.when(v.isin(*QUERY_TYPES), v).otherwise("description")
+
+
+def program_filter(cohort: Column, mode: Column) -> Column:
+    """The program that a question is about, as a struct: the first number of the cohort and the mode, the defaults where they are missing, and whether one was used."""
+    c, m = F.regexp_extract(F.coalesce(cohort, F.lit("")), r"\d+", 0).try_cast("int"), F.nullif(F.trim(mode), F.lit(""))
+    return F.struct(F.coalesce(c, F.lit(DEFAULT_COHORT)).alias("cohort"), F.coalesce(m, F.lit(DEFAULT_MODE)).alias("mode"), (c.isNull() | m.isNull()).alias("used_default"))
+
+
+def of_programs(asked: DataFrame, programs: DataFrame) -> DataFrame:
+    """Questions (query_id, cohort, mode) with the programs (id, cohort, mode) of that cohort, as text, and mode, without case and blanks at the ends."""
+    keys = (F.col("cohort").cast("string").alias("_c"), F.lower(F.trim(F.coalesce("mode", F.lit("")))).alias("_m"))
+    return asked.select("query_id", *keys).join(programs.select("id", *keys), ["_c", "_m"]).select("query_id", "id")
+
+
+def hybrid(graphs: DataFrame, candidates: DataFrame, edges: DataFrame, relations: tuple[str, ...], per_target: int = 3, per_origin: int = 4, most: int = 12) -> DataFrame:
+    """Answers by vectors where the graph's answer is too thin: (query_id, origin, id, target, score, type).
+
+    graphs (query_id, n_nodes, n_edges, n_chars) with an edge and two nodes, or a node and 180 characters, need none.
+    For the others the best candidates (query_id, target, id, score) of each target, origin null; and one step from
+    these by edges (src, dst, type) of the relations, each once, capped for each origin and in all. The step's rows
+    have a type and neither target nor score. Questions come in batches; nothing decides on the driver.
+    """
+    thin = graphs.where(~(((F.col("n_edges") >= 1) & (F.col("n_nodes") >= 2)) | ((F.col("n_nodes") >= 1) & (F.col("n_chars") >= 180)))).select("query_id")
+    best = Window.partitionBy("query_id", "target").orderBy(F.desc("score"), "id")
+    direct = candidates.join(thin, "query_id", "left_semi").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= per_target).drop("_r")
+    # a step's edges are cut at their origin, before they meet the questions
+    step = edges.where(F.col("type").isin(*relations)).select("src", "dst", "type").distinct()
+    step = step.withColumn("i", F.row_number().over(Window.partitionBy("src").orderBy("type", "dst"))).where(F.col("i") <= per_origin)
+    out = direct.select("query_id", F.col("id").alias("src")).distinct().join(step, "src")
+    out = out.withColumn("_j", F.row_number().over(Window.partitionBy("query_id").orderBy("i", "src"))).where(F.col("_j") <= most)
+    null = lambda t: F.lit(None).cast(t)
+    kind = dict(candidates.dtypes)
+    one = direct.select("query_id", null(kind["id"]).alias("origin"), "id", "target", "score", null("string").alias("type"))
+    return one.unionByName(out.select("query_id", F.col("src").alias("origin"), F.col("dst").alias("id"), null(kind["target"]).alias("target"), null(kind["score"]).alias("score"), "type"))

@@ -60,3 +60,30 @@ def check_cases(cases: DataFrame, groups: list[str]) -> DataFrame:
         F.when(many & (F.size("evidence_groups") < 2), F.lit("needs two evidence groups")), F.when(many & F.exists("evidence_groups", lambda g: (F.trim(g["name"]) == "") | (F.size(g["any_of"]) == 0)), F.lit("unnamed or empty evidence group")),
     ))
     return cases.select("id", F.explode(fault).alias("fault")).unionByName(twice)
+
+
+def ordered(rows: DataFrame, cases: DataFrame) -> DataFrame:
+    """Rows of a run in the order of the cases (id, pos), rows of unknown cases after them by id: with ``pos`` and ``known``.
+
+    The order is a sort key, so that nothing is gathered; cases without a row have none here.
+    """
+    at = rows.join(cases.select("id", "pos"), "id", "left")
+    return at.withColumn("known", F.col("pos").isNotNull()).orderBy(F.desc("known"), "pos", "id")
+
+
+def graded(rows: DataFrame, grades: DataFrame) -> DataFrame:
+    """Rows (id, final_hit, accurate, error_class) after grades (id, grade) by hand: the grade counts, and the class of
+    error is derived again, errors at run time (RUNTIME_...) staying. Null grades and rows without one change nothing."""
+    at = rows.join(grades.where(F.col("grade").isNotNull()).select("id", "grade"), "id", "left")
+    new = F.when(F.col("error_class").startswith("RUNTIME_"), F.col("error_class")).otherwise(error_class(F.coalesce("final_hit", F.lit(0)), F.col("grade")))
+    given = F.col("grade").isNotNull()
+    at = at.withColumn("error_class", F.when(given, new).otherwise(F.col("error_class"))).withColumn("accurate", F.coalesce("grade", "accurate"))
+    return at.drop("grade")
+
+
+def stored_k(rows: DataFrame, by: str = "run") -> DataFrame:
+    """(by, top_k, fault) of stored runs: the one positive value that all rows of a run share, else null and why."""
+    k = F.col("top_k").try_cast("int")
+    at = rows.groupBy(by).agg(F.count_if(k.isNull() | (k <= 0)).alias("bad"), F.min(k).alias("low"), F.max(k).alias("high"))
+    fault = F.when(F.col("bad") > 0, "invalid top_k").when(F.col("low") != F.col("high"), "more than one top_k")
+    return at.select(by, F.when(fault.isNull(), F.col("low")).alias("top_k"), fault.alias("fault"))

@@ -57,3 +57,20 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
 def first_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """The first differing path of each key."""
     return differences(left, right, keys).groupBy(*keys).agg(F.min(F.struct("path", "left_value", "right_value")).alias("d")).select(*keys, "d.*")
+
+
+def without_trees(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and edges without the trees of some roots (id), and (root, n) with the number of nodes that go.
+
+    Trees end ``depth`` edges below their root, as regulations do at points: any level may be missing. A root that
+    is no node goes with n 0. A node under two roots counts for both. All edges of nodes that go, go too.
+    """
+    at = nodes.join(roots, "id", "left_semi").select(F.col("id").alias("_0"))
+    for d in range(depth):
+        at = at.join(edges.select(F.col("src").alias(f"_{d}"), F.col("dst").alias(f"_{d + 1}")).distinct(), f"_{d}", "left")
+    below = F.array_compact(F.array(*(f"_{d}" for d in range(depth + 1))))
+    gone = at.select(F.col("_0").alias("root"), F.explode(below).alias("id")).distinct()
+    ids = gone.select("id").distinct()
+    kept = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    counts = roots.select(F.col("id").alias("root")).distinct().join(gone.groupBy("root").agg(F.count("*").alias("n")), "root", "left")
+    return nodes.join(ids, "id", "left_anti"), kept.select(*edges.columns), counts.select("root", F.coalesce("n", F.lit(0)).alias("n"))

@@ -70,3 +70,10 @@ def resolved(references: DataFrame, tree: DataFrame, by: str = "doc_id") -> Data
         at = at.join(one, complete & (F.col(by) == F.col(f"_d{n}")) & (key("", *parts_) == F.col(f"_k{n}")), "left")
         tries.append(F.col(f"_k{n}"))
     return at.withColumn("target", F.coalesce(*tries)).drop(*(f"_{x}{n}" for n in range(3) for x in "dk"))
+
+
+def sizes(tree: DataFrame, by: str = "doc_id") -> DataFrame:
+    """(by, n_nodes, n_edges, n_articles) of each regulation's ``parts()`` as a graph: the regulation itself, its chapters,
+    articles, clauses and points are nodes, each but the first with one edge to it."""
+    below = F.count("*") + F.count_distinct("chapter")
+    return tree.groupBy(by).agg((below + 1).alias("n_nodes"), below.alias("n_edges"), F.count_if(F.col("level") == "article").alias("n_articles"))
