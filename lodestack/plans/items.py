@@ -36,6 +36,13 @@ def regulation_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regulations.parts(regulation_lines(spark, sf_dir)).select("doc_id", "pos", "article", "level", "text")
 
 
+@query(f"""WITH {REG}, n AS (SELECT doc_id, count(DISTINCT (s, c, p)) + CAST(max(CASE WHEN last_chapter IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS below, count(DISTINCT CASE WHEN c = 0 AND p = 0 THEN s END) AS n_articles FROM r3 GROUP BY doc_id)
+           SELECT doc_id, below + 1 AS n_nodes, below AS n_edges, n_articles FROM n""")
+def regulation_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, edges and articles of each regulation as a graph."""
+    return regulations.sizes(regulations.parts(regulation_lines(spark, sf_dir)))
+
+
 def _article_context(tree: DataFrame, asked: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     asked = asked.select("doc_id", "article").distinct()
