@@ -1,9 +1,9 @@
 """Exact dedup against a persistent digest index, bucketed and sorted by digest.
 
 A batch is reduced to digests, one row for each text. The index is read bucket by bucket, never
-shuffled: a sort-merge join finds the batch's digests that it has, an anti-join those that are new,
-and both are appended under the batch's name, so that a batch which runs again replaces itself. Texts
-never meet the index.
+shuffled: a sort-merge anti-join with the batches before it leaves the batch's new digests, and all of its
+digests are appended under its name, so that a batch which runs again replaces itself. Texts never meet
+the index.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ from pyspark.sql import types as T
 from lodestack.llm import common
 
 
+#: Texts that a bucket of an index is sized for: 48 bytes each, sorted within one task.
+BUCKET_TEXTS = 1 << 20
+
+
 @F.arrow_udf(T.BinaryType())
 def text_digest(text: pa.Array) -> pa.Array:
     """SHA-256 of the UTF-8 bytes with A-Z lower-cased; null counts as empty."""
@@ -29,12 +33,13 @@ def text_digest(text: pa.Array) -> pa.Array:
 
 
 class DigestIndex:
-    """A table ``(digest, keep_id, rows, origin)`` in partitions by batch: one row for each text of each batch,
-    with the id that stays, the batch's number of copies and the batch that first brought it.
+    """A table ``(digest, own_id, rows, seq)`` in partitions by batch: one row for each text of each batch, with
+    the batch's largest id of it and its number of copies; ``seq`` is the batch's place in order of first entry.
 
-    The number of buckets is fixed for the life of an index and stored beside it; an index that exists is
-    opened with its own, and asking for another is an error. Size it so that a bucket of digests fits a
-    task (64 buckets of 4 M digests are about 250 M texts).
+    Which batch brought a text is worked out when it is asked for: the first that still holds it. The number
+    of buckets is fixed for the life of an index and stored beside it; an index that exists is opened with
+    its own, and asking for another is an error. Size it so that a bucket of digests fits a task (64
+    buckets of 4 M digests are about 250 M texts).
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
@@ -42,7 +47,7 @@ class DigestIndex:
         self.buckets = self._stored(buckets)
         self.table = f"digest_index_{hashlib.md5(path.encode()).hexdigest()}"
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, rows BIGINT, origin STRING, batch STRING) "
+            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, own_id BIGINT, rows BIGINT, seq BIGINT, batch STRING) "
             f"USING parquet PARTITIONED BY (batch) CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}/rows'"
         )
         self._folder("rows", lambda fs, folder: fs.mkdirs(folder))
@@ -52,18 +57,34 @@ class DigestIndex:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         act(folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder)
 
-    def _stored(self, buckets: int | None) -> int:
+    def _kept(self, name: str, schema: str) -> DataFrame:
+        """A small table beside the index, empty if it is not there yet."""
         try:
-            there = self.spark.read.schema("buckets int").parquet(f"{self.path}/meta").first()
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
         except AnalysisException:  # no such folder: a new index
-            there = None
+            return self.spark.createDataFrame([], schema)
+
+    def _keep(self, name: str, row: tuple, schema: str) -> None:
+        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
+
+    def _stored(self, buckets: int | None) -> int:
+        there = self._kept("meta", "buckets int").first()
         if there is None:
-            self.spark.createDataFrame([(buckets or 64,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta")
+            self._keep("meta", (buckets or 64,), "buckets int")
             return buckets or 64
         if buckets not in (None, there["buckets"]):
             raise ValueError(f"the index has {there['buckets']} buckets, not {buckets}")
         return there["buckets"]
 
+    def _place(self, batch: str) -> int:
+        """The batch's place: that of its first entry, also when it runs again or has become empty."""
+        batches = self._kept("batches", "batch string, seq long")
+        at = batches.agg(F.min(F.when(F.col("batch") == batch, F.col("seq"))).alias("own"), F.coalesce(F.max("seq"), F.lit(0)).alias("last")).first()
+        if at["own"] is not None:
+            return at["own"]
+        self._keep("batches", (batch, at["last"] + 1), "batch string, seq long")
+        return at["last"] + 1
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
@@ -73,37 +94,56 @@ class DigestIndex:
         self.spark.conf.set(key, "dynamic")
         try:
             spread = rows.repartition(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets)))
-            spread.select("digest", "keep_id", "rows", "origin", F.lit(batch).alias("batch")).write.insertInto(self.table, overwrite=True)
+            spread.select("digest", "own_id", "rows", "seq", F.lit(batch).alias("batch")).write.insertInto(self.table, overwrite=True)
         finally:
             self.spark.conf.set(key, before)
 
-    def totals(self, digests: DataFrame, but: str | None = None) -> DataFrame:
-        """(digest, keep_id, group_size, origin) of those of ``digests`` that are in the index, ``but`` one batch left out."""
-        there = self.rows() if but is None else self.rows().where(F.col("batch") != but)
-        hits = there.join(digests.select("digest").distinct().hint("merge"), "digest", "left_semi")
-        return hits.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("rows").alias("group_size"), F.max("origin").alias("origin"))
+    def _remove(self, batch: str) -> None:
+        self.spark.sql(f"ALTER TABLE {self.table} DROP IF EXISTS PARTITION (batch = {_quoted(batch)})")
 
-    def add(self, slim: DataFrame, batch: str) -> None:
-        """Enters ``slim (doc_id, digest, rows)`` as a batch: texts that other batches have keep their row, new ones the largest id."""
-        groups = slim.groupBy("digest").agg(F.max("doc_id").alias("own_id"), F.sum("rows").alias("rows"))
-        groups = common.written(groups, "digest-groups")
+    def totals(self, digests: DataFrame) -> DataFrame:
+        """(digest, keep_id, group_size, seq) of those of ``digests`` that are in the index: the id and the place of the
+        first batch that holds the text, and the rows of all."""
+        hits = self.rows().join(digests.select("digest").distinct().hint("merge"), "digest", "left_semi")
+        return hits.groupBy("digest").agg(F.min_by("own_id", "seq").alias("keep_id"), F.sum("rows").alias("group_size"), F.min("seq").alias("seq"))
+
+    def add(self, slim: DataFrame, batch: str) -> DataFrame:
+        """Enters ``slim (doc_id, digest, rows)`` as a batch and returns its new texts as (digest, own_id).
+
+        New is what the anti-join with the batches before it leaves. A batch that runs again replaces its
+        rows, all of them, also if it has fewer texts now, or none.
+        """
+        seq = self._place(batch)
+        groups = common.written(slim.groupBy("digest").agg(F.max("doc_id").alias("own_id"), F.sum("rows").alias("rows")), "digest-groups")
+        # dynamic overwriting leaves a partition that gets no rows
         if groups.isEmpty():
-            return
-        known = common.written(self.totals(groups, batch), "known-digests")
-        new = groups.hint("merge").join(known.select("digest"), "digest", "left_anti").select("digest", F.col("own_id").alias("keep_id"), "rows", F.lit(batch).alias("origin"))
-        again = groups.select("digest", "rows").hint("merge").join(known, "digest").select("digest", "keep_id", "rows", "origin")
-        self._replace(new.unionByName(again), batch)
+            self._remove(batch)
+            self._folder(f"rows/batch={_escaped(self.spark, batch)}", lambda fs, folder: fs.delete(folder, True))
+        else:
+            self._replace(groups.withColumn("seq", F.lit(seq).cast("long")), batch)
+        new = groups.select("digest", "own_id")
+        if seq > 1:
+            new = new.hint("merge").join(self.rows().where(F.col("seq") < seq).select("digest"), "digest", "left_anti")
+        return new
 
     def compact(self) -> None:
         """Folds all batches into one partition with one file a bucket; batches that it holds cannot run again."""
-        at = self.rows().groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("rows").alias("rows"), F.max("origin").alias("origin"))
-        old = [r[0] for r in self.spark.sql(f"SHOW PARTITIONS {self.table}").collect()]  # as many as there are batches
-        name = f"base-{uuid.uuid4().hex}"
-        self._replace(common.written(at, "compacted"), name)
-        for part in old:
-            self.spark.sql(f"ALTER TABLE {self.table} DROP PARTITION (batch = '{part.partition('=')[2]}')")
+        at = self.rows().groupBy("digest").agg(F.min_by("own_id", "seq").alias("own_id"), F.sum("rows").alias("rows"), F.min("seq").alias("seq"))
+        old = [r[0] for r in self.rows().select("batch").distinct().collect()]  # as many as there are batches
+        self._replace(common.written(at, "compacted"), f"base-{uuid.uuid4().hex}")
+        for batch in old:
+            self._remove(batch)
             # an external table keeps a dropped partition's folder, and reopening must not find it
-            self._folder(f"rows/{part}", lambda fs, folder: fs.delete(folder, True))
+            self._folder(f"rows/batch={_escaped(self.spark, batch)}", lambda fs, folder: fs.delete(folder, True))
+
+
+def _quoted(name: str) -> str:
+    return "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _escaped(spark: SparkSession, name: str) -> str:
+    """A partition's value as its folder spells it."""
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,11 +152,13 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return common.written(at.groupBy("digest", "doc_id").agg(F.count("*").alias("rows")), "digests")
 
 
-def judged(slim: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of ``slim (doc_id, digest, rows, batch)`` with the totals of their digests as verdicts."""
-    found = common.written(found, "digest-totals")
+def judged(slim: DataFrame, found: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of ``slim (doc_id, digest, rows, seq)`` with the totals of their digests; a row stays if its text was
+    ``new (digest, own_id, seq)`` in its batch and its id is the largest there."""
+    own = new.withColumnsRenamed({"seq": "new_in"})
+    found = common.written(found.select("digest", "keep_id", "group_size").join(own, "digest", "left"), "digest-totals")
     total = found.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-    first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1) & (F.col("origin") == F.col("batch"))
+    first = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("nth") == 1) & F.coalesce(F.col("new_in") == F.col("seq"), F.lit(False))
     at = common.hot_join(slim, found, ["digest"], "group_size", total).select("*", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("nth"))
     return at.select("doc_id", "keep_id", "group_size", first.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
@@ -124,16 +166,17 @@ def judged(slim: DataFrame, found: DataFrame) -> DataFrame:
 def verdicts(docs: DataFrame, index: DigestIndex, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Of equal texts of a batch the row with the largest id stays; a text that an earlier batch has
-    brought stays with that batch's row; group_size counts all batches so far. A batch that runs again
-    under its name replaces itself and gets the same verdicts. Null texts are empty texts. Of rows that
-    repeat both id and text, one is kept. An id of null stays only if its whole group has none. An empty
-    batch adds nothing.
+    Of equal texts of a batch the row with the largest id stays; a text that an earlier batch holds stays
+    with that batch's row; group_size counts all batches so far. A batch that runs again under its name
+    replaces itself, in its place; texts that it no longer has stay with the next batch that has them, when
+    that is asked again. Null texts are empty texts. Of rows that repeat both id and text, one is kept. An id
+    of null stays only if its whole group has none. An empty batch leaves no rows in the index.
     """
     batch = batch or uuid.uuid4().hex
     slim = digests(docs, id_col, text_col)
-    index.add(slim, batch)
-    return judged(slim.withColumn("batch", F.lit(batch)), index.totals(slim))
+    new = index.add(slim, batch)
+    one = F.lit(1).alias("seq")
+    return judged(slim.select("*", one), index.totals(slim), new.select("*", one))
 
 
 def in_batches(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,13 +187,13 @@ def in_batches(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text
     key = F.col(id_col).cast("long")
     middle = docs.agg(F.floor((F.min(key) / 2 + F.max(key) / 2)).alias("m")).first()["m"]
     later = F.coalesce(key < F.lit(middle), F.lit(True))
-    parts = []
-    for batch, half in (("1", docs.where(~later)), ("2", docs.where(later))):
-        slim = digests(half, id_col, text_col)
-        index.add(slim, batch)
-        parts.append(slim.withColumn("batch", F.lit(batch)))
-    slim = parts[0].unionByName(parts[1])
-    return judged(slim, index.totals(slim))
+    slim = new = None
+    for place, half in ((1, docs.where(~later)), (2, docs.where(later))):
+        part = digests(half, id_col, text_col)
+        fresh = index.add(part, str(place)).withColumn("seq", F.lit(place))
+        part = part.withColumn("seq", F.lit(place))
+        slim, new = (part, fresh) if slim is None else (slim.unionByName(part), new.unionByName(fresh))
+    return judged(slim, index.totals(slim), new)
 
 
 def deduplicated(docs: DataFrame, index: DigestIndex, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,5 +214,8 @@ def _unique(docs: DataFrame, id_col: str) -> bool:
     return docs.groupBy(id_col).count().where("count > 1").isEmpty()
 
 
-def fresh_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:
+def fresh_index(spark: SparkSession, buckets: int | None = None, docs: DataFrame | None = None) -> DigestIndex:
+    """A new index in the shared folder; without ``buckets`` as many as the rows of ``docs`` ask for, eight at least."""
+    if buckets is None and docs is not None:
+        buckets = max(8, -(-docs.count() // BUCKET_TEXTS))
     return DigestIndex(spark, common.new_path(spark, "digest-index"), buckets)

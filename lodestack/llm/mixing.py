@@ -106,8 +106,9 @@ def takes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of the mix with all columns of ``docs``, each as often as it is taken; texts are not shuffled."""
-    chosen = plan(common.written(sized(docs, id_col, text_col, source_col), "sized")).select(F.col("source").alias("_s"), F.col("epochs").alias("_e"), F.col("cut").alias("_c"))
-    n = F.col("_e") + F.coalesce(random_key(F.col(id_col)) < F.col("_c"), F.lit(False)).cast("int")
-    out = docs.join(common.maybe_broadcast(chosen), F.col(source_col).cast("string").eqNullSafe(F.col("_s"))).withColumn("_n", n).where("_n > 0")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_n")).drop("_n")
+    """The rows of the mix with all columns of ``docs``, whatever their names, each as often as it is taken; texts are not shuffled."""
+    source, epochs, cut, n = common.fresh(docs, "mix_source", "mix_epochs", "mix_cut", "mix_times")
+    chosen = plan(common.written(sized(docs, id_col, text_col, source_col), "sized")).select(F.col("source").alias(source), F.col("epochs").alias(epochs), F.col("cut").alias(cut))
+    times_ = F.col(epochs) + F.coalesce(random_key(F.col(id_col)) < F.col(cut), F.lit(False)).cast("int")
+    out = docs.join(common.maybe_broadcast(chosen), F.col(source_col).cast("string").eqNullSafe(F.col(source))).withColumn(n, times_).where(F.col(n) > 0)
+    return out.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(source, epochs, cut, n)

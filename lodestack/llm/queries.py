@@ -17,7 +17,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by digest, entered into a new index in two batches."""
-    return exact_dedup.in_batches(documents(spark, sf_dir), exact_dedup.fresh_index(spark))
+    docs = documents(spark, sf_dir)
+    return exact_dedup.in_batches(docs, exact_dedup.fresh_index(spark, docs=docs))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,16 +192,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     the ids with its fingerprint, null if there are none. An empty table gives no rows.
     """
     slim = common.written(common.bound_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col).cast("string")).alias("fp")), "fingerprints")
-    points = common.written(slim.groupBy("fp").agg(F.min("doc_id").alias("rep")), "points")
+    points = common.written(slim.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "points")
     found = components(links(points.where("rep is not null")))
-    named = points.join(found, points["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return slim.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = points.join(found, points["rep"] == found["node"], "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
+    total = points.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = common.hot_join(slim, common.written(named, "named-points"), ["fp"], "n", total)
+    return met.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that give their group its id: one of each group, with all columns.
+    """The rows of ``docs`` that give their group its id: one of each group, with all columns, whatever their names.
 
     Rows that repeat such an id with a text of its group stay too; exact dedup comes before.
     """
-    gone = classes(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(common.written(gone, "gone"), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    (key,) = common.fresh(docs, "simhash_gone")
+    gone = classes(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(common.written(gone, "gone"), F.col(id_col).cast("long") == F.col(key), "left_anti")

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 import xxhash
 
-from lodestack.llm import exact_dedup, line_dedup, simhash_dedup
+from lodestack.llm import exact_dedup, line_dedup, mixing, simhash_dedup
 
 SCHEMA = "doc_id long, text string, keep_id long, text_sha256 string, kept string"
 WORDS = [f"w{i}" for i in range(40)]
@@ -61,6 +61,36 @@ def test_exact_dedup_across_batches(spark):
         exact_dedup.DigestIndex(spark, index.path, 8)
 
 
+def test_exact_dedup_reruns_with_fewer_texts(spark):
+    index = exact_dedup.fresh_index(spark, 4)
+    run = lambda rows, batch: {r.doc_id: (r.kept, r.keep_id, r.group_size) for r in exact_dedup.verdicts(docs(spark, rows), index, batch).collect()}
+    assert run([(1, "t"), (2, "u")], "it's 1") == {1: (True, 1, 1), 2: (True, 2, 1)}
+    assert run([(5, "T"), (6, "v")], "2") == {5: (False, 1, 2), 6: (True, 6, 1)}
+    assert run([(2, "u")], "it's 1") == {2: (True, 2, 1)}  # without t: its copy in the second batch is now the first
+    assert run([(9, "t")], "3") == {9: (False, 5, 2)}
+    assert run([(5, "T"), (6, "v")], "2") == {5: (True, 5, 2), 6: (True, 6, 1)}
+    assert run([], "it's 1") == {} and {r.batch for r in index.rows().collect()} == {"2", "3"}
+    again = exact_dedup.DigestIndex(spark, index.path)
+    assert {r.batch for r in again.rows().collect()} == {"2", "3"}
+    assert run([(1, "t"), (7, "v")], "it's 1") == {1: (True, 1, 3), 7: (True, 7, 2)}  # back in its place, before the others
+    assert run([(5, "T"), (6, "v")], "2") == {5: (False, 1, 3), 6: (False, 7, 2)}
+
+
+def test_clashing_names(spark):
+    names = ("simhash_gone", "_gone", "fp", "rep", "n", "component_id", "exact_dedup_id", "digest", "seq", "own_id", "new_in", "nth", "_s", "_n", "mix_times", "epochs", "cut", "key", "size")
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names)
+    rows = [(1, "a b c d", "s"), (2, "a b c d", "t"), (3, "x y z", "s"), (4, None, None)]
+    odd = spark.createDataFrame([(*r, *names) for r in rows], schema)
+    near = simhash_dedup.deduplicated(odd)
+    assert near.columns == odd.columns and {r.doc_id for r in near.collect()} == {1, 3, 4} and near.first()["fp"] == "fp"
+    assert simhash_dedup.classes(odd).count() == 4
+    exact = exact_dedup.deduplicated(odd, exact_dedup.fresh_index(spark, 4))
+    assert exact.columns == odd.columns and {r.doc_id for r in exact.collect()} == {2, 3, 4}
+    mix = mixing.mixed(odd)
+    assert mix.columns == odd.columns and {r["_n"] for r in mix.collect()} == {"_n"} and {r.doc_id for r in mix.collect()} <= {1, 2, 3, 4}
+    assert Counter(r.doc_id for r in mix.collect()) == Counter({r.doc_id: r.taken // r["size"] for r in mixing.takes(odd).collect() if r.taken})
+
+
 def test_exact_dedup_in_two_batches(spark, monkeypatch):
     rows = some()
     monkeypatch.setattr(exact_dedup.common, "hot_rows", lambda total: 2)
