@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, exact dedup, SimHash near-dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again
-as the next stage's documents. All but the last keep the columns of documents, whatever these are.
+as the next stage's documents. All but the last keep the columns of documents, whatever these are and
+however they are named.
 Null texts are empty texts, and the rules reject them as too short; null sources are one source. Rows
 that repeat both id and text leave one in exact dedup. An empty table stays empty in every stage.
 """
@@ -21,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text, that with the largest id."""
-    return exact_dedup.deduplicated(docs, exact_dedup.fresh_index(spark))
+    return exact_dedup.deduplicated(docs, exact_dedup.fresh_index(spark, docs=docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
