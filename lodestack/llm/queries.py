@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import chat_format, exact_dedup, line_dedup, mixing, packing, pii, quality_rules, simhash_dedup, token_counts, warc
+from lodestack.llm import chat_format, exact_dedup, line_dedup, mixing, packing, pii, prefix_trie, quality_rules, simhash_dedup, token_counts, warc
 from lodestack.llm.common import documents
 from lodestack.llm.tokenizing import default_path
 
@@ -66,6 +66,11 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.classes(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all conversations."""
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline`` over all documents."""
     import corpus_pipeline
@@ -77,6 +82,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_exact_dedup, op3_quality_rules, op4_pii, op5_packing, op6_mixing, op7_chat_format,
-        op8_token_counts, op9_warc_revisits, op10_simhash_dedup, pipeline,
+        op8_token_counts, op9_warc_revisits, op10_simhash_dedup, op11_prefix_trie, pipeline,
     )
 }

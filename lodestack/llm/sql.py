@@ -4,6 +4,10 @@ from __future__ import annotations
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: CRC-32 of a decimal number's text, bit by bit: a byte is taken in, then eight bits are shifted out.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST({} AS VARCHAR), ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295)"""
+
 ORACLES = {
     "op2_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')) AS text_sha256 FROM documents)
@@ -47,4 +51,20 @@ ORACLES = {
                          'etag=' || CASE WHEN etag IS NOT NULL THEN 'W/' || etag WHEN status IN ('resolved', 'unchecked') THEN r_etag END,
                          'last-modified=' || CASE WHEN changed IS NOT NULL THEN changed WHEN status IN ('resolved', 'unchecked') THEN r_changed END) AS headers
         FROM j""",
+    "op11_prefix_trie": f"""
+        WITH t AS (SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns
+                   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        h AS (SELECT c, turns, {_CRC32.format("c")} % 6 AS h FROM t),
+        b AS (SELECT h.c, list_concat(coalesce(base.turns, [])[1:h], h.turns[h + 1:]) AS turns FROM h LEFT JOIN t base ON base.c = h.c - h.c % 100),
+        p AS (SELECT c, len(turns) AS total, d, turns[1:d] AS node, turns[1:d - 1] AS parent, CASE WHEN d > 0 THEN length(turns[d].text) ELSE 0 END AS size
+              FROM b, unnest(range(len(turns) + 1)) AS u(d)),
+        n AS (SELECT node, d, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+                     sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = total), '')) AS ends_sha256 FROM p GROUP BY node, d),
+        k AS (SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+        s AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node, d)),
+        a AS (SELECT s.node[1:e] AS node, e AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens
+              FROM s, unnest(range(s.d + 1)) AS u(e) GROUP BY ALL)
+        SELECT s.conv_id, CAST(s.d AS BIGINT) AS depth, CASE WHEN s.d > 0 THEN q.conv_id END AS parent_conv_id, s.n_convs, s.n_children,
+               CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, s.ends_sha256
+        FROM s JOIN a USING (node, d) LEFT JOIN n q ON q.node = s.parent AND q.d = s.d - 1""",
 }
