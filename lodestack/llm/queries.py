@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import chat_format, exact_dedup, line_dedup, mixing, packing, pii, prefix_trie, quality_rules, simhash_dedup, token_counts, warc
+from lodestack.llm import chat_format, exact_dedup, language_id, line_dedup, mixing, packing, pii, prefix_trie, quality_rules, simhash_dedup, token_counts, warc
 from lodestack.llm.common import documents
 from lodestack.llm.tokenizing import default_path
 
@@ -71,6 +71,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model of three quarters of them."""
+    return language_id.identified(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline`` over all documents."""
     import corpus_pipeline
@@ -82,6 +87,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_exact_dedup, op3_quality_rules, op4_pii, op5_packing, op6_mixing, op7_chat_format,
-        op8_token_counts, op9_warc_revisits, op10_simhash_dedup, op11_prefix_trie, pipeline,
+        op8_token_counts, op9_warc_revisits, op10_simhash_dedup, op11_prefix_trie, op12_language_id, pipeline,
     )
 }
