@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import chat_format, exact_dedup, language_id, line_dedup, mixing, packing, pii, prefix_trie, quality_rules, simhash_dedup, token_counts, warc
+from lodestack.llm import chat_format, collocations, exact_dedup, language_id, line_dedup, mixing, packing, pii, prefix_trie, quality_rules, simhash_dedup, token_counts, warc
 from lodestack.llm.common import documents
 from lodestack.llm.tokenizing import default_path
 
@@ -76,6 +76,11 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(documents(spark, sf_dir))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of two to four words that go together, by language, in all documents."""
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline`` over all documents."""
     import corpus_pipeline
@@ -87,6 +92,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_exact_dedup, op3_quality_rules, op4_pii, op5_packing, op6_mixing, op7_chat_format,
-        op8_token_counts, op9_warc_revisits, op10_simhash_dedup, op11_prefix_trie, op12_language_id, pipeline,
+        op8_token_counts, op9_warc_revisits, op10_simhash_dedup, op11_prefix_trie, op12_language_id, op13_collocations, pipeline,
     )
 }

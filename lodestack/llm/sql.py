@@ -67,4 +67,17 @@ ORACLES = {
         SELECT s.conv_id, CAST(s.d AS BIGINT) AS depth, CASE WHEN s.d > 0 THEN q.conv_id END AS parent_conv_id, s.n_convs, s.n_children,
                CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, s.ends_sha256
         FROM s JOIN a USING (node, d) LEFT JOIN n q ON q.node = s.parent AND q.d = s.d - 1""",
+    "op13_collocations": rf"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM w, unnest(range(1, 5)) AS u(k), unnest(range(1, len(w) - k + 2)) AS v(i)),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+        t AS (SELECT c.lang, c.phrase, c.f AS a, j, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * c.f) // (x.f + y.f) AS BIGINT) AS score
+              FROM c, unnest(range(1, c.k)) AS u(j) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1:], ' ')),
+        b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        i AS (SELECT c.lang, array_to_string(c.w[s:s + z - 1], ' ') AS phrase, max(f) AS longer FROM c, unnest(range(2, c.k)) AS u(z), unnest(range(1, c.k - z + 2)) AS v(s) GROUP BY ALL),
+        d AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN i USING (lang, phrase) WHERE NOT coalesce(100 * longer >= 80 * a, false))
+        SELECT lang, rank, phrase, a, l, r, n, score FROM d JOIN n USING (lang) WHERE rank <= 2000""",
 }
