@@ -37,6 +37,26 @@ def truncated(text: Column, most: int, mark: str = "...") -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, most - len(mark))), F.lit(mark)))
 
 
+def short(text: Column, most: int = 1000) -> Column:
+    """A text on one line, cut after so many characters with an ellipsis."""
+    line = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.when(F.length(line) <= most, line).otherwise(F.concat(F.rtrim(F.substring(line, 1, most)), F.lit("…")))
+
+
+def row_line(headers: Column, cells: Column, text: Column) -> Column:
+    """A row on one line: header: value where both have content, else the values, else its text."""
+    pairs = F.zip_with(headers, F.slice(cells, F.lit(1), F.size(headers)), lambda h, v: F.when((F.trim(h) != "") & (F.trim(v) != ""), F.concat_ws(": ", F.trim(h), F.trim(v))))
+    named = F.array_join(F.array_compact(pairs), " | ")
+    plain = F.array_join(F.transform(cells, lambda v: F.trim(F.coalesce(v, F.lit("")))), " | ")
+    return F.coalesce(F.nullif(named, F.lit("")), F.when(plain.rlike(r"[^ |]"), plain), short(text))
+
+
+def section_label(symbol: Column) -> Column:
+    """How a section is named in a context."""
+    s = F.trim(F.coalesce(symbol, F.lit("")))
+    return F.when(s != "", F.concat_ws(" ", F.lit("Mục"), s)).otherwise("Mục không ký hiệu")
+
+
 def salvaged_json(answer: Column, schema: str) -> Column:
     """The object within an answer: what stands between its first and last brace, fences aside; null if that is none."""
     return F.from_json(F.nullif(F.regexp_extract(F.coalesce(answer, F.lit("")), r"(?s)(\{.*\})", 1), F.lit("")), schema)

@@ -34,6 +34,11 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), _FROM, _TO)
 
 
+def quick_fold(text: Column) -> Column:
+    """``fold`` that translates only texts with a letter beyond ASCII."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), fold(text)).otherwise(F.lower(text))
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

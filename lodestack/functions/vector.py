@@ -87,3 +87,56 @@ def searched(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "qu
     ranked = Window.partitionBy("q").orderBy(F.desc("s"), F.asc("i"))
     at = best.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     return at.select(F.col("q").alias(query_id), F.col("i").alias(id_col), F.col("s").alias("score"), "rank")
+
+
+def searched_within(queries: DataFrame, vectors: DataFrame, k: int, per_block: tuple[int, int] = (512, 16_384)) -> DataFrame:
+    """(query_id, label, id, table_id, score): of each label the k nearest vectors of a query's group, one of each table.
+
+    ``queries`` are (query_id, grp, embedding), ``vectors`` (grp, label, id, table_id, embedding); the ids of both and of
+    tables are strings, and rows without a table count each. Groups are dealt into blocks of about ``per_block`` rows;
+    a task multiplies one block of queries with one of vectors and passes on the best of each table, of which k for
+    each query and label; what a table's best block passes on is its best, so that the last ranking is exact. Scores
+    count to nine decimals; of equal ones the smaller id. Vectors that are null, of length zero or of another size
+    than the query's have no score.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    usable = lambda df: df.where(F.col("embedding").isNotNull() & (norm(F.col("embedding")) > 0)).withColumn("d", F.size("embedding"))
+    blocks = lambda df, n, name: df.groupBy("grp").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
+    sizes = blocks(queries, per_block[0], "nq").join(blocks(vectors, per_block[1], "nv"), "grp")
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = usable(queries.select("query_id", "grp", "embedding")).join(sizes, "grp").select("grp", "d", "query_id", "embedding", block("query_id", "nq").alias("qb"), every("nv").alias("vb"))
+    right = usable(vectors.select("grp", "label", "id", "table_id", "embedding")).join(sizes, "grp").select("grp", "d", "label", "id", "table_id", "embedding", block("id", "nv").alias("vb"), every("nq").alias("qb"))
+
+    def nearest(a, b):
+        import numpy as np
+        import pandas as pd
+
+        found = []
+        unit = lambda v: (m := np.stack(v.to_numpy()).astype(np.float64)) / np.sqrt((m * m).sum(axis=1, keepdims=True))
+        if len(a) and len(b):
+            b = b.assign(t=b["table_id"].where(b["table_id"].notna(), b["id"])).sort_values(["label", "t", "id"], kind="stable")
+            asked = unit(a["embedding"])
+            for label, rows in b.groupby("label", sort=False):
+                ids, tables = rows["id"].to_numpy(), rows["table_id"].to_numpy()
+                same = rows["t"].to_numpy()
+                edge = np.flatnonzero(np.r_[True, same[1:] != same[:-1]])
+                width = np.diff(np.r_[edge, len(same)])
+                scores = np.round(asked @ unit(rows["embedding"]).T, 9)
+                best = np.maximum.reduceat(scores, edge, axis=1)
+                for q, one, top in zip(a["query_id"], scores, best):
+                    least = np.partition(top, len(top) - k)[len(top) - k] if len(top) > k else -np.inf
+                    at = np.flatnonzero(top >= least)
+                    first = np.array([edge[t] + int(np.argmax(one[edge[t] : edge[t] + width[t]])) for t in at])
+                    order = np.lexsort((ids[first].astype(str), -top[at]))[:k]
+                    found.append(pd.DataFrame({"query_id": q, "label": label, "id": ids[first[order]], "table_id": tables[first[order]], "score": top[at[order]]}))
+        empty = pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("query_id", object), ("label", object), ("id", object), ("table_id", object), ("score", float))})
+        return pd.concat(found) if found else empty
+
+    keys = ["grp", "d", "qb", "vb"]
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, "query_id string, label string, id string, table_id string, score double")
+    order = [F.desc("score"), F.asc("id")]
+    one = Window.partitionBy("query_id", "label", F.coalesce("table_id", "id")).orderBy(*order)
+    at = best.withColumn("_r", F.row_number().over(one)).where("_r = 1")
+    return at.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "label").orderBy(*order))).where(F.col("_r") <= k).drop("_r")

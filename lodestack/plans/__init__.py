@@ -1,6 +1,6 @@
 """The query catalogue."""
 
-from lodestack.plans import graphs, items, pages, retrieval, search, texts  # noqa: F401  register their queries
+from lodestack.plans import answers, graphs, items, pages, retrieval, search, texts  # noqa: F401  register their queries
 from lodestack.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

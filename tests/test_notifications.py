@@ -32,7 +32,8 @@ def test_from_trees_to_answers(spark, tmp_path):
     spot = lambda df, n: df.withColumn("embedding", F.array(F.lit(1.0), F.lit(float(n)) + F.length("id") % 7))
     asked = [(1, "Lớp CT101 K50 bị xóa?", [1.0, 0.0]), (2, "Danh sách lớp học phần bị xóa năm học 2023-2024", [1.0, 1.0]), (3, "nghỉ tết khi nào", [1.0, 2.0]), (4, "CT999 có bị xóa lớp học phần?", [1.0, 0.0])]
     questions = spark.createDataFrame(asked, "query_id int, question string, embedding array<double>")
-    got = notifications.answered(questions, parts["notices"], spot(parts["sections"], 1), parts["tables"], spot(parts["rows"], 2)).collect()
+    model = notifications.Model(parts["notices"], spot(parts["sections"], 1), parts["tables"], spot(parts["rows"], 2))
+    got = notifications.answered(questions, model).collect()
     of = lambda q: [(r.id, r.source) for r in sorted(got, key=lambda r: r.position) if r.query_id == q]
     assert of(1) == [("A_HK1_24_25_1_bang_1_dong_1", "exact")]  # the latest notice of its type; the cohort rules out the third row
     assert {i for i, _ in of(2)} == {"B_HK1_23_24_1_bang_1_dong_1", "B_HK1_23_24_1"}
