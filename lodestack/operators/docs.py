@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.functions.blocks import stripped
 from lodestack.functions.text import section, spaced
 
 
@@ -60,39 +60,12 @@ def parents(heads: DataFrame, by: str, order: str, deepest: int = 8) -> DataFram
 
 
 def section_trees(items: DataFrame, by: str, order: str, text_col: str = "line") -> DataFrame:
-    """Sections of documents with ids and nesting: (by, id, parent_id, symbol, level, title, text).
+    """Sections of documents with ids and nesting: (by, id, parent_id, symbol, level, title, text); see ``hierarchy.trees``."""
+    from lodestack.operators import hierarchy
 
-    A heading closes all sections at its level or below; a nested heading without an open section is one
-    of level 1. Text before the first heading belongs to a section without a symbol. Symbols that repeat
-    in a document get _2, _3 and so on. Documents are whole groups, each as large as its own text.
-    """
-    kind = dict(items.dtypes)[by]
-    rows = items.withColumn("_s", section(F.col(text_col))).select(by, order, text_col, F.col("_s.symbol").alias("symbol"), F.col("_s.level").alias("level"))
-
-    def build(doc: pd.DataFrame) -> pd.DataFrame:
-        done, open_, seen = [], [], {}
-
-        def start(symbol: str, level: int, title: str) -> dict:
-            seen[symbol] = seen.get(symbol, 0) + 1
-            base = symbol or "0"
-            s = {"id": base if seen[symbol] == 1 else f"{base}_{seen[symbol]}", "parent_id": open_[-1]["id"] if open_ else None, "symbol": symbol, "level": level, "title": title, "text": []}
-            open_.append(s)
-            done.append(s)
-            return s
-
-        doc = doc.sort_values(order)
-        for line, symbol, level in zip(doc[text_col], doc["symbol"], doc["level"]):
-            if isinstance(symbol, str):
-                while open_ and open_[-1]["level"] >= level:
-                    open_.pop()
-                start(symbol, int(level) if open_ else 1, line.strip())
-            elif line and line.strip():
-                (open_[-1] if open_ else start("", 1, ""))["text"].append(line.strip())
-        out = pd.DataFrame([{**s, "text": "\n".join(s["text"])} for s in done], columns=["id", "parent_id", "symbol", "level", "title", "text"])
-        out.insert(0, by, doc[by].iloc[0])
-        return out
-
-    return rows.groupBy(by).applyInPandas(build, f"{by} {kind}, id string, parent_id string, symbol string, level int, title string, text string")
+    line = stripped(F.coalesce(F.col(text_col), F.lit("")))
+    at = items.select(by, order, line.alias("said")).where("said <> ''").withColumn("_s", section(F.col("said")))
+    return hierarchy.trees(at.select(by, order, "said", F.col("_s.symbol").alias("symbol"), F.col("_s.level").alias("level")), [by], order).drop("n_tables")
 
 
 def numbered_ids(items: DataFrame, by: list[str], order: str, name: Column, out: str = "section_id") -> DataFrame:

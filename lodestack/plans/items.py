@@ -60,12 +60,6 @@ def article_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _article_context(tree, tree)
 
 
-@query(CONTEXTS)
-def article_context_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same under the name of the round before."""
-    return article_context(spark, sf_dir)
-
-
 COURSE = """course AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos FROM lineitem),
     k AS (SELECT *, l_partkey % 11 = 0 AS header, l_partkey % 11 = 1 AS summary, l_partkey % 11 IN (2, 3) AS digits, l_partkey % 11 IN (4, 5) AS req, l_partkey % 11 IN (5, 6, 7) AS grp FROM course),
     b AS (SELECT *, last_value(CASE WHEN header THEN 'Khối ' || l_suppkey END IGNORE NULLS) OVER w AS block, sum(CASE WHEN header OR summary OR digits THEN 1 ELSE 0 END) OVER w AS s FROM k WINDOW w AS (PARTITION BY l_orderkey ORDER BY pos)),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import rects, text
-from lodestack.operators import docs, rank, tables
+from lodestack.operators import docs, hierarchy, rank, tables
 from lodestack.plans import views
 from lodestack.plans.registry import query
 from lodestack.plans.views import FOLD, SQL, table
@@ -57,15 +57,8 @@ def router_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def query_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question, normalised. Free texts would need all rules in SQL; the tests hold them against plain Python."""
-    return query_normalise_all(spark, sf_dir)
-
-
-@query()
-def query_normalise_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same under the name of the round before."""
     return views.questions(spark, sf_dir).select("conv_id", "turn", text.normalised_query(F.col("question")).alias("normalised"))
 
-
 @query(f"""WITH {Q} SELECT conv_id, turn, 'point' AS kind, '' AS chapter, CAST(conv_id % 30 + 1 AS VARCHAR) AS article, CAST(turn % 3 + 1 AS VARCHAR) AS clause, ['a', 'đ', 'd'][conv_id % 3 + 1] AS point FROM questions WHERE (conv_id * 8 + turn) % 10 = 4
            UNION ALL SELECT conv_id, turn, 'chapter', CASE WHEN conv_id % 20 < 15 THEN ['I','II','III','IV','V','VI','VII','VIII','IX','X','XI','XII','XIII','XIV','XV'][conv_id % 20 + 1] ELSE CAST(conv_id % 20 + 1 AS VARCHAR) END, '', '', '' FROM questions WHERE (conv_id * 8 + turn) % 10 = 8
            UNION ALL SELECT conv_id, turn, 'article', '', CAST(turn + 1 AS VARCHAR), '', '' FROM questions WHERE (conv_id * 8 + turn) % 10 = 8""")
@@ -135,28 +128,71 @@ def section_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.parents(docs.headings(_headed(spark, sf_dir), "doc_id", "pos"), "doc_id", "pos")
 
 
-@query(LEVELS)
-def section_levels_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same under the name of the round before."""
-    return section_levels(spark, sf_dir)
-
-
 @query(SUFFIXES)
 def unique_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = docs.headings(_headed(spark, sf_dir), "doc_id", "pos")
     return docs.numbered_ids(heads, ["doc_id"], "pos", F.col("symbol")).select("doc_id", "pos", "section_id")
 
 
-@query(SUFFIXES)
-def unique_suffix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same under the name of the round before."""
-    return unique_suffix(spark, sf_dir)
+TREES = f"""{HEADS},
+    t AS (SELECT d.doc_id, d.pos, trim(d.line) AS line, h.symbol, h.level FROM headed d LEFT JOIN heads h ON h.doc_id = d.doc_id AND h.pos = d.pos WHERE trim(d.line) <> ''),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM t),
+    k AS (SELECT *, sum(CASE WHEN symbol IS NOT NULL OR i = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS sec FROM n),
+    s AS (SELECT doc_id, sec, coalesce(max(symbol), '') AS symbol, CASE WHEN sec = 1 THEN 1 ELSE max(level) END AS level, coalesce(max(CASE WHEN symbol IS NOT NULL THEN line END), '') AS title,
+                 coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (symbol IS NULL), '') AS text FROM k GROUP BY doc_id, sec),
+    i AS (SELECT *, row_number() OVER (PARTITION BY doc_id, symbol ORDER BY sec) AS r, CASE WHEN symbol = '' THEN '0' ELSE symbol END || CASE WHEN r > 1 THEN '_' || r ELSE '' END AS id FROM s),
+    p AS (SELECT i.*, max(o.sec) AS above FROM i LEFT JOIN i o ON o.doc_id = i.doc_id AND o.sec < i.sec AND o.level < i.level GROUP BY ALL)"""
 
 
-@query()
+@query(f"WITH {TREES} SELECT p.doc_id, p.id, o.id AS parent_id, p.symbol, CAST(p.level AS INT) AS level, p.title, md5(p.text) AS digest FROM p LEFT JOIN i o ON o.doc_id = p.doc_id AND o.sec = p.above")
 def section_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stack parser; its state has no SQL twin, the tests hold it against hand-made trees."""
-    return docs.section_trees(_headed(spark, sf_dir), "doc_id", "pos")
+    """Nested sections of all lines, with the digests of their texts."""
+    at = docs.section_trees(_headed(spark, sf_dir), "doc_id", "pos")
+    return at.select("doc_id", "id", "parent_id", "symbol", "level", "title", F.md5("text").alias("digest"))
+
+
+LETTERS = f"""{HEADS},
+    l AS (SELECT doc_id, pos, CASE WHEN pos % 37 = 5 THEN 'table' ELSE 'text' END AS item, CASE WHEN pos % 37 = 5 THEN '' WHEN pos % 23 = 7 THEN 'Lưu ý: ' || line WHEN pos % 31 = 11 THEN 'THÔNG BÁO ' || line ELSE line END AS raw,
+                 CASE WHEN pos % 23 = 7 THEN 'ghi_chu' WHEN pos % 31 = 11 THEN 'tieu_de' WHEN pos % 4 = 0 THEN 'heading' ELSE 'doan_van' END AS kind,
+                 CASE WHEN pos % 37 = 5 AND doc_id % 3 > 0 THEN 'DANH SÁCH ' || (pos // 74) ELSE '' END AS title, trim(raw) AS text FROM headed),
+    m AS (SELECT l.*, row_number() OVER (PARTITION BY l.doc_id ORDER BY l.pos) = 1 AS first, starts_with(text, 'Lưu ý') AND kind = 'ghi_chu' AS note,
+                 item = 'text' AND regexp_matches(text, '^THÔNG BÁO ') AND (kind IN ('tieu_de', 'heading') OR text = upper(text)) AS b, CASE WHEN item = 'text' AND NOT note AND NOT regexp_matches(text, '^THÔNG BÁO ') THEN h.symbol END AS sym, h.level AS lev
+          FROM l LEFT JOIN heads h ON h.doc_id = l.doc_id AND h.pos = l.pos WHERE item = 'table' OR text <> ''),
+    e AS (SELECT *, note OR coalesce(last_value(CASE WHEN note THEN true WHEN b OR (sym IS NOT NULL AND kind = 'heading') THEN false END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS noted FROM m),
+    f AS (SELECT *, CASE WHEN NOT noted OR kind = 'heading' THEN sym END AS symbol, item = 'table' AND title <> '' AND NOT first AS listed FROM e),
+    g2 AS (SELECT *, lower(last_value(CASE WHEN listed THEN title WHEN item = 'text' THEN text END IGNORE NULLS) OVER w) AS spoken, lower(last_value(CASE WHEN listed THEN title WHEN b THEN text END IGNORE NULLS) OVER w) AS named
+           FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    o AS (SELECT *, listed AND NOT coalesce(spoken <> '' AND (contains(spoken, lower(title)) OR contains(lower(title), spoken)), false) AND NOT coalesce(contains(named, lower(title)) OR contains(lower(title), named), false) AS opens FROM g2),
+    x AS (SELECT *, 1 + sum(CASE WHEN opens OR (b AND NOT first) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS doc_no FROM o)"""
+
+
+def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as items of files: tables, notes, titles of documents, and the headed lines."""
+    at, pos = _headed(spark, sf_dir), F.col("pos")
+    is_table, is_note, is_title = pos % 37 == 5, pos % 23 == 7, pos % 31 == 11
+    text = F.when(is_table, "").when(is_note, F.concat(F.lit("Lưu ý: "), "line")).when(is_title, F.concat(F.lit("THÔNG BÁO "), "line")).otherwise(F.col("line"))
+    kind = F.when(is_note, "ghi_chu").when(is_title, "tieu_de").when(pos % 4 == 0, "heading").otherwise("doan_van")
+    title = F.when(is_table & (F.col("doc_id") % 3 > 0), F.concat(F.lit("DANH SÁCH "), F.floor(pos / 74).cast("string"))).otherwise("")
+    return at.select("doc_id", "pos", F.when(is_table, "table").otherwise("text").alias("item"), kind.alias("kind"), text.alias("text"), title.alias("title"))
+
+
+@query(f"WITH {LETTERS} SELECT doc_id, pos, item, CAST(doc_no AS BIGINT) AS doc_no, symbol, CASE WHEN symbol IS NOT NULL THEN lev END AS level, md5(CASE WHEN opens THEN title WHEN item = 'text' THEN text END) AS digest FROM x")
+def lexed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with the document inside their file, and their heading outside notes."""
+    at = hierarchy.lexed(_letters(spark, sf_dir), "doc_id")
+    return at.select("doc_id", "pos", "item", F.col("doc_no").cast("long").alias("doc_no"), "symbol", F.col("level").cast("long").alias("level"), F.md5("said").alias("digest"))
+
+
+@query(f"""WITH {LETTERS}, n AS (SELECT *, CASE WHEN opens THEN title WHEN item = 'text' THEN text END AS said, row_number() OVER (PARTITION BY doc_id, doc_no ORDER BY pos) AS i FROM x),
+           k AS (SELECT *, sum(CASE WHEN symbol IS NOT NULL OR i = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, doc_no ORDER BY pos) AS sec FROM n),
+           s AS (SELECT doc_id, doc_no, sec, max(symbol) AS symbol, CASE WHEN sec = 1 THEN 1 ELSE max(CASE WHEN symbol IS NOT NULL THEN lev END) END AS level, count(*) FILTER (item = 'table') AS n_tables, coalesce(string_agg(said, chr(10) ORDER BY pos) FILTER (symbol IS NULL), '') AS text FROM k GROUP BY doc_id, doc_no, sec),
+           p AS (SELECT s.doc_id, s.doc_no, s.sec, s.symbol, s.level, s.n_tables, s.text, max(o.sec) AS above FROM s LEFT JOIN s o ON o.doc_id = s.doc_id AND o.doc_no = s.doc_no AND o.sec < s.sec AND o.level < s.level GROUP BY ALL)
+           SELECT doc_id, CAST(doc_no AS BIGINT) AS doc_no, count(*) AS n_sections, CAST(sum(n_tables) AS BIGINT) AS n_tables, count(*) FILTER (above IS NULL) AS n_top, CAST(sum(level) AS BIGINT) AS levels, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM p GROUP BY ALL""")
+def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents inside all files: their sections, tables, top sections and texts."""
+    at = hierarchy.trees(hierarchy.lexed(_letters(spark, sf_dir), "doc_id"), ["doc_id", "doc_no"], "pos", F.col("item") == "table")
+    counts = [F.count("*").alias("n_sections"), F.sum("n_tables").alias("n_tables"), F.count_if(F.col("parent_id").isNull()).alias("n_top"), F.sum("level").cast("long").alias("levels"), F.sum(F.length("text")).cast("long").alias("n_chars")]
+    return at.groupBy("doc_id", F.col("doc_no").cast("long").alias("doc_no")).agg(*counts)
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations)
