@@ -89,3 +89,11 @@ def bullets(text: Column) -> Column:
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^\s*[-+•*–]\s+", "\u0001")
     items = F.slice(F.split(marked, "\u0001"), F.lit(2), F.greatest(F.size(F.split(marked, "\u0001")) - 1, F.lit(0)))
     return F.filter(F.transform(items, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+
+
+def vector_lines(target: Column, index: Column, hits: Column) -> Column:
+    """The hits (score, labels, props) of a target in order as text: the target with its index, then a line for each; '' without hits.
+    Properties that hold vectors are left out."""
+    head = F.concat(F.lit("- "), target, F.when(F.coalesce(index, F.lit("")) != "", F.concat(F.lit(" ["), index, F.lit("]"))).otherwise(""))
+    one = lambda h, i: F.concat(F.format_string("  %d. score=%.6f labels=", i + 1, h["score"]), F.to_json(h["labels"]), F.lit(" node="), F.to_json(without_vectors(h["props"])))
+    return F.when(F.size(hits) > 0, F.concat_ws("\n", head, F.array_join(F.transform(hits, one), "\n"))).otherwise("")

@@ -112,3 +112,25 @@ def orphans(nodes: DataFrame, edges: DataFrame, kind: str | None = None) -> Data
     """Nodes that no edge (of a type) leads to."""
     to = edges if kind is None else edges.where(F.col("type") == kind)
     return nodes.join(to.select(F.col("dst").alias("id")), "id", "left_anti")
+
+
+#: What a text of a graph is, if it is empty or cut.
+NO_GRAPH, CUT_GRAPH = "[GRAPH RESULT]\nKhông có dữ liệu phù hợp.", "\n...<truncated>"
+
+
+def serialised(nodes: DataFrame, edges: DataFrame, by: str, most: int = 12_000) -> DataFrame:
+    """(by, text, cut) of each subgraph: nodes (by, place, id, label, name, props) as lines, then edges (by, src, type, dst) by the names of
+    their ends, cut after ``most`` characters. Lines beyond these are not gathered. Edges without both ends are left out."""
+    named = nodes.select(by, "id", "name")
+    ends = edges.join(named.select(by, F.col("id").alias("src"), F.col("name").alias("from_name")), [by, "src"]).join(named.select(by, F.col("id").alias("dst"), F.col("name").alias("to_name")), [by, "dst"])
+    about = F.when(F.coalesce("props", F.lit("")) != "", F.concat(F.lit(" ("), "props", F.lit(")"))).otherwise("")
+    lines = nodes.select(by, F.lit(0).alias("part"), F.col("place").cast("string").alias("a"), F.lpad(F.col("place").cast("string"), 12, "0").alias("o"), F.concat(F.lit("- "), "label", F.lit(": "), "name", about).alias("line"))
+    linked = ends.select(by, F.lit(1).alias("part"), F.col("type").alias("a"), F.concat_ws("\u0001", "src", "type", "dst").alias("o"), F.concat(F.lit("- "), "from_name", F.lit(" -["), "type", F.lit("]-> "), "to_name").alias("line"))
+    w = Window.partitionBy(by).orderBy("part", "o")
+    at = lines.unionByName(linked).withColumn("_n", F.row_number().over(w)).withColumn("_first", (F.col("part") == 1) & (F.lag("part").over(w) == 0))
+    at = at.withColumn("line", F.when(F.col("_first"), F.concat(F.lit("\nCác quan hệ chính:\n"), "line")).otherwise(F.col("line")))
+    at = at.withColumn("_before", F.coalesce(F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("_before") <= most)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "line"))), lambda x: x["line"]), "\n")
+    whole = at.groupBy(by).agg(F.concat(F.lit("[GRAPH RESULT]\nCác nút liên quan:\n"), body).alias("whole"))
+    cut = F.length("whole") > most
+    return whole.select(by, F.when(cut, F.concat(F.substring("whole", 1, most), F.lit(CUT_GRAPH))).otherwise(F.col("whole")).alias("text"), cut.alias("cut"))
