@@ -33,6 +33,8 @@ BUCKETS = 1 << 23
 #: Rows that one task ranks at most in one step.
 RANKED = 1 << 16
 _BREAK = "\n"
+#: The bucket of a language's number of words.
+TOTAL = -1
 
 
 def _hash(word: str) -> int:
@@ -76,7 +78,7 @@ class _Counter:
     def _hashes(self, h: np.ndarray) -> np.ndarray:
         return (h & np.uint64(self.size - 1)).astype(np.int64)
 
-    def batch(self, texts: pa.Array, langs: pa.Array) -> pa.RecordBatch:
+    def batch(self, texts: pa.Array, langs: pa.Array) -> Iterator[pa.RecordBatch]:
         at, names, lang, langs_ = _coded(texts, langs)
         k, n = self.k, len(at)
         word = np.array([_hash(x) for x in names] or [0], np.uint64)[at]
@@ -107,7 +109,10 @@ class _Counter:
         words = pa.array(names, pa.large_string())
         phrase = pc.binary_join_element_wise(*(words.take(pa.array(at[first + j])) for j in range(k)), pa.scalar(" ", pa.large_string()))
         kinds = pa.array(langs_, pa.string()).take(pa.array(lang[first]))
-        return _rows(kinds, phrase.cast(pa.string()), self._hashes(h[k])[first], counts)
+        yield _rows(kinds, phrase.cast(pa.string()), self._hashes(h[k])[first], counts)
+        if k == 1:
+            total = np.bincount(lang[at >= 0], minlength=len(langs_))
+            yield _rows(pa.array(langs_, pa.string()), pa.nulls(len(langs_), pa.string()), np.full(len(langs_), TOTAL), total)
 
     def rest(self) -> pa.RecordBatch:
         there = np.flatnonzero(self.sums)
@@ -129,7 +134,7 @@ def _bitmap(buckets: DataFrame, size: int) -> np.ndarray:
 
 def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST, buckets: int = BUCKETS) -> list[DataFrame]:
     """A written table (lang, phrase, f) for each number of words from 1 to ``longest``: phrases of ``least`` occurrences
-    or more. That of single words has all of them."""
+    or more. The first has one more row a language, without a phrase: all its words."""
     if buckets & (buckets - 1) or buckets < 32:
         raise ValueError("buckets: a power of two, 32 or more")
     at = common.bound_batches(docs).select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
@@ -142,16 +147,16 @@ def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lon
             counter = _Counter(k, *maps.value, longest, buckets)
             for batch in batches:
                 if batch.num_rows:
-                    yield counter.batch(batch.column(0), batch.column(1))
+                    yield from counter.batch(batch.column(0), batch.column(1))
             yield counter.rest()
 
-        rows = common.written(at.mapInArrow(count, "lang string, phrase string, bucket long, n long"), f"phrases-{k}")
-        f = rows.where("phrase is not null").groupBy("lang", "phrase").agg(F.max("bucket").alias("bucket"), F.sum("n").alias("f"))
-        f = common.written(f if k == 1 else f.where(F.col("f") >= least), f"counts-{k}")
-        out.append(f.select("lang", "phrase", "f"))
+        # phrases, buckets and totals are added up together, and only those that have enough are written
+        rows = at.mapInArrow(count, "lang string, phrase string, bucket long, n long").groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n"))
+        rows = common.written(rows.where((F.col("n") >= least) | (F.col("bucket") < 0)), f"counts-{k}")
+        named = F.col("phrase").isNotNull()
+        out.append(rows.where(named | (F.col("bucket") < 0)).select("lang", "phrase", F.col("n").alias("f")))
         if k < longest:
-            full = rows.where("phrase is null").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-            maps = context.broadcast((_bitmap(f.where(F.col("f") >= least), buckets), _bitmap(full, buckets)))
+            maps = context.broadcast((_bitmap(rows.where(named), buckets), _bitmap(rows.where(~named & (F.col("bucket") >= 0)), buckets)))
     return out
 
 
@@ -220,8 +225,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     more frequent phrase comes first, then the first in order of UTF-8 bytes.
     """
     counts = counted(docs, text_col, lang_col, longest, least, buckets)
-    n = common.maybe_broadcast(common.written(counts[0].groupBy("lang").agg(F.sum("f").alias("n")), "words-by-lang"))
-    counts[0] = counts[0].where(F.col("f") >= least)
+    n = common.maybe_broadcast(common.written(counts[0].where("phrase is null").select("lang", F.col("f").alias("n")), "words-by-lang"))
+    counts[0] = counts[0].where("phrase is not null")
     gone = common.written(absorbed(counts, share), "absorbed")
     left = common.written(scored(counts).join(gone.hint("merge"), ["lang", "phrase"], "left_anti"), "scored")
     return _first(left, top).join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
