@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.functions.text import let
 from lodestack.llm import common
 
 #: Words that a line needs for an edit of one word to leave it 80 % alike; shorter ones must be equal.
@@ -32,11 +33,14 @@ def _placed(place: Column) -> tuple[Column, Column]:
     return ((place - line) / F.lit(_LINES).cast("decimal(10,0)")).cast("long"), line.cast("int")
 
 
-def _tidy_lines(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+def _tidy(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), GAPS, " ")
+
+
+def _tidy_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, line_no, s): every line, its words with single blanks between them."""
-    text = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), GAPS, " ")
-    at = docs.select(F.col(id_col).cast("long").alias("doc_id"), *more, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return at.where("doc_id is not null").select("doc_id", *more, "line_no", F.trim("line").alias("s"))
+    at = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(_tidy(F.col(text_col)), "\n")).alias("line_no", "line"))
+    return at.where("doc_id is not null").select("doc_id", "line_no", F.trim("line").alias("s"))
 
 
 def _hashes(s: Column) -> list[Column]:
@@ -102,8 +106,11 @@ def near_lines(texts: DataFrame) -> DataFrame:
     rows = common.written(rows, "shared-variants")
     first = common.written(rows.groupBy(*keys, "pos").agg(F.min("place").alias("first"), F.count("*").alias("n")), "first-variants")
     shared = first.groupBy(*keys).agg(F.min(F.when(F.col("pos") == 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("pos") > 0, F.col("first"))).alias("cut"))
-    same = first.where("pos > 0 and n > 1").select(*keys, "pos", F.col("first").alias("same"))
-    met = rows.join(shared, keys).join(same, [*keys, "pos"], "left")
+    same = F.when((F.col("pos") > 0) & (F.col("n") > 1), F.col("first")).alias("same")
+    # all lines of one template share a variant: rows of hot ones meet it where they are
+    per = common.written(first.select(*keys, "pos", "n", same).join(shared.hint("merge"), keys), "variant-partners")
+    total = per.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = common.hot_join(rows, per, [*keys, "pos"], "n", total)
     partners = F.when(F.col("pos") == 0, F.array("cut")).otherwise(F.array("whole", "same"))
     pairs = common.written(met.select("place", F.explode(partners).alias("of")).where("of < place").distinct(), "line-pairs")
     # of rows that repeat an id two lines may have one place: then each is compared
@@ -131,11 +138,12 @@ def _likely(docs: DataFrame, once: DataFrame, id_col: str, text_col: str) -> Dat
     likely = common.written(ends.join(repeated.hint("merge"), "end", "left_semi").select("h1").distinct(), "likely-hashes")
     wanted = once.select("h1", "place").join(likely.hint("merge"), "h1", "left_semi").select(doc.alias("doc_id"), F.struct(line.alias("line_no"), "h1").alias("x"))
     wanted = common.written(wanted.groupBy("doc_id").agg(F.collect_set("x").alias("wanted")), "likely-lines")
-    # whole texts move, as few rows
-    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(wanted.hint("merge"), "doc_id")
-    lines = _tidy_lines(whole, "doc_id", "text", "wanted").where("s <> ''")
-    lines = lines.select(_place(F.col("doc_id"), F.col("line_no")).alias("place"), *_hashes(F.col("s")), "s", "wanted", "line_no")
-    return lines.where(F.array_contains("wanted", F.struct("line_no", "h1"))).select("place", "h1", "h2", "s")
+    # whole texts move, as few rows; each wanted line is taken by its number
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), _tidy(F.col(text_col)).alias("text")).join(wanted.hint("merge"), "doc_id")
+    taken = let(F.split("text", "\n"), lambda lines: F.transform("wanted", lambda x: F.struct(x["line_no"].alias("line_no"), x["h1"].alias("wanted"), F.trim(F.get(lines, x["line_no"])).alias("s"))))
+    lines = whole.select("doc_id", F.explode(taken).alias("x")).select(_place(F.col("doc_id"), F.col("x.line_no")).alias("place"), *_hashes(F.col("x.s")), "x.s", "x.wanted")
+    # rows that repeat an id want each other's lines, too
+    return lines.where("s <> '' AND h1 = wanted").select("place", "h1", "h2", "s")
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,6 +192,5 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key, lines = common.fresh(docs, "line_dedup_id", "line_dedup_gone")
     gone = dropped(docs, id_col, text_col).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(lines))
     out = docs.join(gone, F.col(id_col).cast("long") == F.col(key), "left")
-    numbered = F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    left = F.array_join(F.transform(F.filter(numbered, lambda x: ~F.array_contains(lines, x["i"])), lambda x: x["x"]), "\n")
+    left = let(F.split(text_col, "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(lines)), lambda i: F.get(x, i)), "\n"))
     return out.withColumn(text_col, F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(left)).drop(key, lines)

@@ -200,6 +200,18 @@ def test_lines_of_hot_groups_repeated_ids_and_clashing_columns(spark, monkeypatc
     assert left.columns == odd.columns and sorted((r.line_dedup_id, r.text) for r in left.collect()) == [(5, "a"), (6, ""), (7, "a")]
 
 
+def test_one_template_and_one_long_document(spark):
+    each = 1000
+    rows = [(d, "\n".join(f"Page {d * each + i} of this report by us" for i in range(each))) for d in range(100)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.n_near) for r in line_dedup.verdicts(docs(spark, rows)).collect()}
+    assert got == {0: (each, each - 1, each - 1)} | {d: (each, each, each) for d in range(1, 100)}
+    log = [(1, "\n".join(f"{i // 2} records were read from {i} files" for i in range(60_000)))]
+    r = line_dedup.verdicts(docs(spark, log)).first()
+    assert (r.n_lines, r.n_dropped) == (60_000, 30_000) and r.dropped[:4] == [1, 3, 5, 7]
+    left = line_dedup.deduplicated(docs(spark, log)).first().text.split("\n")
+    assert len(left) == 30_000 and left[:2] == ["0 records were read from 0 files", "1 records were read from 2 files"]
+
+
 def test_one_edit(spark):
     words = [tuple(x) for n in range(0, 4) for x in itertools.product("ab", repeat=n)]
     both = spark.createDataFrame([(list(a), list(b)) for a in words for b in words], "a array<string>, b array<string>")
