@@ -89,8 +89,9 @@ def searched(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "qu
     return at.select(F.col("q").alias(query_id), F.col("i").alias(id_col), F.col("s").alias("score"), "rank")
 
 
-def searched_within(queries: DataFrame, vectors: DataFrame, k: int, per_block: tuple[int, int] = (512, 16_384)) -> DataFrame:
-    """(query_id, label, id, table_id, score): of each label the k nearest vectors of a query's group, one of each table.
+def searched_within(queries: DataFrame, vectors: DataFrame, k: int | None, per_block: tuple[int, int] = (512, 16_384)) -> DataFrame:
+    """(query_id, label, id, table_id, score): of each label the k nearest vectors of a query's group, one of each table; with k of
+    None the best of every table.
 
     ``queries`` are (query_id, grp, embedding), ``vectors`` (grp, label, id, table_id, embedding); the ids of both and of
     tables are strings, and rows without a table count each. Groups are dealt into blocks of about ``per_block`` rows;
@@ -99,7 +100,7 @@ def searched_within(queries: DataFrame, vectors: DataFrame, k: int, per_block: t
     count to nine decimals; of equal ones the smaller id. Vectors that are null, of length zero or of another size
     than the query's have no score.
     """
-    if k <= 0:
+    if k is not None and k <= 0:
         raise ValueError("k must be positive")
     usable = lambda df: df.where(F.col("embedding").isNotNull() & (norm(F.col("embedding")) > 0)).withColumn("d", F.size("embedding"))
     blocks = lambda df, n, name: df.groupBy("grp").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
@@ -123,9 +124,15 @@ def searched_within(queries: DataFrame, vectors: DataFrame, k: int, per_block: t
                 same = rows["t"].to_numpy()
                 edge = np.flatnonzero(np.r_[True, same[1:] != same[:-1]])
                 width = np.diff(np.r_[edge, len(same)])
+                number = np.repeat(np.arange(len(edge)), width)
                 scores = np.round(asked @ unit(rows["embedding"]).T, 9)
                 best = np.maximum.reduceat(scores, edge, axis=1)
                 for q, one, top in zip(a["query_id"], scores, best):
+                    if k is None:
+                        first = np.flatnonzero(one == np.repeat(top, width))
+                        first = first[np.unique(number[first], return_index=True)[1]]
+                        found.append(pd.DataFrame({"query_id": q, "label": label, "id": ids[first], "table_id": tables[first], "score": top}))
+                        continue
                     least = np.partition(top, len(top) - k)[len(top) - k] if len(top) > k else -np.inf
                     at = np.flatnonzero(top >= least)
                     first = np.array([edge[t] + int(np.argmax(one[edge[t] : edge[t] + width[t]])) for t in at])
@@ -139,4 +146,6 @@ def searched_within(queries: DataFrame, vectors: DataFrame, k: int, per_block: t
     order = [F.desc("score"), F.asc("id")]
     one = Window.partitionBy("query_id", "label", F.coalesce("table_id", "id")).orderBy(*order)
     at = best.withColumn("_r", F.row_number().over(one)).where("_r = 1")
+    if k is None:
+        return at.drop("_r")
     return at.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "label").orderBy(*order))).where(F.col("_r") <= k).drop("_r")
