@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -231,6 +232,7 @@ def issue_date(text: Column) -> Column:
 
 def document_code(text: Column) -> Column:
     """Number and symbol of an official document, joined by a slash."""
+    # fixed value
     pattern = r"(?iU)\bSố\s*:?\s*(\d{1,6})\s*/\s*([A-ZÀ-ỸĐ0-9][A-ZÀ-ỸĐ0-9&.\-–—/]*)"
     number, symbol = first_group(text, pattern, 1), first_group(text, pattern, 2)
     return F.when(number.isNotNull(), F.concat_ws("/", number, symbol))
@@ -241,6 +243,7 @@ def document_code(text: Column) -> Column:
 
 def section(line: Column) -> Column:
     """struct(symbol, level) of a heading in one of five grammars; null for other lines."""
+    # fixed values: the grammars of numbers
     tries = [
         (r"(?s)^\s*(\d+(?:\.\d+)+)\.?\s+.+$", lambda s: s, True), (r"(?s)^\s*(\d+)\.\s+.+$", lambda s: s, False), (r"(?is)^\s*([IVXLCDM]+)\.\s+.+$", F.upper, False),
         (r"(?isU)^\s*BƯỚC\s+(\d+)\s*[.：:\-–—]?\s*.*$", lambda s: F.concat(F.lit("Bước "), s), False), (r"(?isU)^\s*ĐIỀU\s+(\d+[A-ZĐ]?)\s*[.)：:]?\s*.*$", lambda s: F.concat(F.lit("Điều "), s), False),
@@ -331,25 +334,33 @@ def asks_list(question: Column) -> Column:
     return contains_any(folded(question), LIST_SIGNALS)
 
 
+# The rules that route a question, in order: a domain, and conditions that must all hold. A condition is a pattern, or
+# phrases of which one occurs.
+COURSE_IN_QUESTION = r"(?<![a-z0-9])[a-z]{2,4}\d{3}[a-z]?(?![a-z0-9])"
+PROGRAM_IN_QUESTION = ("nganh ", "chuong trinh dao tao", "ctdt")
+TIME_IN_QUESTION = r"\b(?:khi nao|ngay nao|thoi gian|han|dot|bat dau|ket thuc|lich)\b"
+ROUTES = (
+    ("SOCIAL", r"^$"),
+    ("SOCIAL", r"^(?:(?:xin )?(?:chao|hello|hi)(?: ban| chatbot| tro ly)?|(?:cam on|thanks|thank you)(?: ban)?|(?:ban la ai|ban co the lam gi|tro ly nay lam gi))[.!? ]*$"),
+    ("QCHV", r"\b(?:chuong|dieu|khoan|diem)\s+(?:[ivxlcdm]+|\d+|[a-z])\b"),
+    ("QCHV", r"^quy dinh |theo quy dinh"),
+    ("QCHV", r"\b(?:ke hoach hoc tap chuan toan khoa|hoc phan tien quyet|hoc phan song hanh|hoc ky)\b.*\bla gi\b"),
+    ("THONG_BAO", COURSE_IN_QUESTION, ("bi xoa", "xoa lop", "mo lop", "lich hoc", "dang ky khi nao")),
+    ("CTDT", COURSE_IN_QUESTION, ("bao nhieu tin chi", "tien quyet", "song hanh", "hoc phan truoc", "thuoc khoi", "hoc ky nao", "ten hoc phan")),
+    ("CTDT", PROGRAM_IN_QUESTION, ("bao nhieu tin chi", "gom nhung hoc phan", "gom cac hoc phan", "hoc nhung mon", "hoc mon gi", "chuan dau ra", "cau truc chuong trinh", "ke hoach hoc tap chuan")),
+    ("THONG_BAO", TIME_IN_QUESTION, ("dang ky hoc phan", "dang ky khht", "dang ky ke hoach hoc tap", "dieu chinh khht", "dieu chinh ke hoach hoc tap", "hoc ky", "nghi", "xoa lop", "chuyen nganh", "dong hoc phi")),
+    ("THONG_BAO", ("danh sach",), ("sinh vien", "chuyen nganh", "xoa lop", "lop hoc phan")),
+)
+
+
 def domain(question: Column) -> Column:
-    """The domain of a question, by the first rule that is sure; null if none is, for a model to decide."""
-    q = folded(question)
-    course = q.rlike(r"(?<![a-z0-9])[a-z]{2,4}\d{3}[a-z]?(?![a-z0-9])")
-    program = contains_any(q, ("nganh ", "chuong trinh dao tao", "ctdt"))
-    dated = q.rlike(r"\b(?:khi nao|ngay nao|thoi gian|han|dot|bat dau|ket thuc|lich)\b")
-    events = ("dang ky hoc phan", "dang ky khht", "dang ky ke hoach hoc tap", "dieu chinh khht", "dieu chinh ke hoach hoc tap", "hoc ky", "nghi", "xoa lop", "chuyen nganh", "dong hoc phi")
-    return (
-        F.when(q == "", "SOCIAL")
-        .when(q.rlike(r"^(?:(?:xin )?(?:chao|hello|hi)(?: ban| chatbot| tro ly)?|(?:cam on|thanks|thank you)(?: ban)?|(?:ban la ai|ban co the lam gi|tro ly nay lam gi))[.!? ]*$"), "SOCIAL")
-        .when(q.rlike(r"\b(?:chuong|dieu|khoan|diem)\s+(?:[ivxlcdm]+|\d+|[a-z])\b"), "QCHV")
-        .when(q.startswith("quy dinh ") | q.contains("theo quy dinh"), "QCHV")
-        .when(q.rlike(r"\b(?:ke hoach hoc tap chuan toan khoa|hoc phan tien quyet|hoc phan song hanh|hoc ky)\b.*\bla gi\b"), "QCHV")
-        .when(course & contains_any(q, ("bi xoa", "xoa lop", "mo lop", "lich hoc", "dang ky khi nao")), "THONG_BAO")
-        .when(course & contains_any(q, ("bao nhieu tin chi", "tien quyet", "song hanh", "hoc phan truoc", "thuoc khoi", "hoc ky nao", "ten hoc phan")), "CTDT")
-        .when(program & contains_any(q, ("bao nhieu tin chi", "gom nhung hoc phan", "gom cac hoc phan", "hoc nhung mon", "hoc mon gi", "chuan dau ra", "cau truc chuong trinh", "ke hoach hoc tap chuan")), "CTDT")
-        .when(dated & contains_any(q, events), "THONG_BAO")
-        .when(q.contains("danh sach") & contains_any(q, ("sinh vien", "chuyen nganh", "xoa lop", "lop hoc phan")), "THONG_BAO")
-    )
+    """The domain of a question, by the first rule of ``ROUTES`` that holds; null if none does, for a model to decide."""
+
+    def of(q: Column) -> Column:
+        holds = lambda condition: q.rlike(condition) if isinstance(condition, str) else contains_any(q, condition)
+        return F.coalesce(*(F.when(reduce(Column.__and__, map(holds, conditions)), name) for name, *conditions in ROUTES))
+
+    return let(folded(question), of)
 
 
 # Words that name a regulation, and those that ask for a relation of courses.

@@ -11,9 +11,9 @@ from lodestack.functions import text
 
 CODE = r"[A-Z]{2,3}\d{3}[A-Z]*"
 BLOCK = "BLOCK_HEADER:"
-#: What the columns of a course table are, by place.
+# What the columns of a course table are, by place.
 COLUMNS = ("marker", "code", "name", "credits", "required", "elective", "theory", "practice", "before", "beside")
-#: Names that relations have in stored curricula, and those that questions use.
+# Names that relations have in stored curricula, and those that questions use.
 RENAMED = {
     "CO_KHOI_KIEN_THUC": "GOM", "GOM_HOC_PHAN": "GOM", "CO_NHOM_THANH_PHAN": "DOI_VOI", "DUOC_BAN_HANH_THEO": "BAN_HANH_THEO", "DAO_TAO_TRINH_DO": "DAO_TAO", "CO_LOAI_VAN_BANG": "CAP",
     "DAO_TAO_THEO_HINH_THUC": "CO", "DAO_TAO_THEO_PHUONG_THUC": "CO", "CO_MUC_TIEU_DAO_TAO": "CO", "CO_CO_HOI_VIEC_LAM": "CO", "DAT_CHUAN_DAU_RA": "CO", "THAM_CHIEU": "THAM_KHAO", "TAO_NEN_TANG": "DAT_DUOC",

@@ -41,15 +41,15 @@ def type_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.questions(spark, sf_dir).select("conv_id", "turn", text.question_type(q).alias("kind"), F.size(text.question_types(q)).alias("n_kinds"), text.asks_list(q).alias("asks_list"))
 
 
-@query(f"""WITH {FQ}, c AS (SELECT *, regexp_matches(q, '(^|[^a-z0-9])[a-z]{{2,4}}\\d{{3}}[a-z]?([^a-z0-9]|$)') AS course FROM f)
-           SELECT conv_id, turn, CASE WHEN q = '' THEN 'SOCIAL' WHEN regexp_matches(q, '^((xin )?(chao|hello|hi)( ban| chatbot| tro ly)?|(cam on|thanks|thank you)( ban)?|(ban la ai|ban co the lam gi|tro ly nay lam gi))[.!? ]*$') THEN 'SOCIAL'
-             WHEN regexp_matches(q, '\\b(chuong|dieu|khoan|diem)\\s+([ivxlcdm]+|\\d+|[a-z])\\b') THEN 'QCHV' WHEN starts_with(q, 'quy dinh ') OR contains(q, 'theo quy dinh') THEN 'QCHV'
-             WHEN regexp_matches(q, '\\b(ke hoach hoc tap chuan toan khoa|hoc phan tien quyet|hoc phan song hanh|hoc ky)\\b.*\\bla gi\\b') THEN 'QCHV'
-             WHEN course AND {_any(("bi xoa", "xoa lop", "mo lop", "lich hoc", "dang ky khi nao"))} THEN 'THONG_BAO'
-             WHEN course AND {_any(("bao nhieu tin chi", "tien quyet", "song hanh", "hoc phan truoc", "thuoc khoi", "hoc ky nao", "ten hoc phan"))} THEN 'CTDT'
-             WHEN {_any(("nganh ", "chuong trinh dao tao", "ctdt"))} AND {_any(("bao nhieu tin chi", "gom nhung hoc phan", "gom cac hoc phan", "hoc nhung mon", "hoc mon gi", "chuan dau ra", "cau truc chuong trinh", "ke hoach hoc tap chuan"))} THEN 'CTDT'
-             WHEN regexp_matches(q, '\\b(khi nao|ngay nao|thoi gian|han|dot|bat dau|ket thuc|lich)\\b') AND {_any(("dang ky hoc phan", "dang ky khht", "dang ky ke hoach hoc tap", "dieu chinh khht", "dieu chinh ke hoach hoc tap", "hoc ky", "nghi", "xoa lop", "chuyen nganh", "dong hoc phi"))} THEN 'THONG_BAO'
-             WHEN contains(q, 'danh sach') AND {_any(("sinh vien", "chuyen nganh", "xoa lop", "lop hoc phan"))} THEN 'THONG_BAO' END AS domain FROM c""")
+def _holds(condition: str | tuple[str, ...]) -> str:
+    """A condition of a route in SQL, whose patterns look at no neighbours."""
+    if not isinstance(condition, str):
+        return _any(condition)
+    plain = condition.replace("(?<![a-z0-9])", "(?:^|[^a-z0-9])").replace("(?![a-z0-9])", "(?:[^a-z0-9]|$)")
+    return f"regexp_matches(q, '{plain}')"
+
+
+@query(f"""WITH {FQ} SELECT conv_id, turn, CASE {' '.join(f"WHEN {' AND '.join(map(_holds, conditions))} THEN '{name}'" for name, *conditions in text.ROUTES)} END AS domain FROM f""")
 def router_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.questions(spark, sf_dir).select("conv_id", "turn", text.domain(F.col("question")).alias("domain"))
 
