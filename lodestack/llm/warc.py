@@ -10,7 +10,8 @@ from __future__ import annotations
 import gzip
 import io
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -112,14 +113,16 @@ def _microseconds(when: str | None) -> int | None:
     return int((at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp() * 1_000_000)
 
 
-def parse(content: bytes) -> Iterator[tuple]:
-    """Records of a WARC file, plain or gzip, as (record_id, type, uri, captured, headers, payload).
+def parse(content: bytes | BinaryIO) -> Iterator[tuple]:
+    """Records of a WARC file or stream, plain or gzip, as (record_id, type, uri, captured, headers, payload).
 
     A date that is none gives a time of null. A record without a length in digits has no known end: it is
-    left out, and reading goes on at the next line that begins a record. What follows a damage of the
-    compression is lost; what came before it is not.
+    left out, and reading goes on at the next line that begins a record. A record that the file ends within is
+    left out, too. What follows a damage of the compression is lost; what came before it is not. No more than a
+    record is held at a time.
     """
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content))) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+    raw = io.BufferedReader(io.BytesIO(content) if isinstance(content, bytes) else content, 1 << 20)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if raw.peek(2)[:2] == b"\x1f\x8b" else raw
 
     def fields() -> dict[str, str]:
         out: dict[str, str] = {}
@@ -137,6 +140,8 @@ def parse(content: bytes) -> Iterator[tuple]:
             if not (length.isascii() and length.isdigit()):
                 continue
             body = stream.read(int(length))
+            if len(body) < int(length):
+                return
             head, gap, payload = body.partition(b"\r\n\r\n")
             http = {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])} if gap else {}
             yield warc.get("warc-record-id"), warc.get("warc-type"), warc.get("warc-target-uri"), _microseconds(warc.get("warc-date")), list(http.items()), payload if gap else body
@@ -144,11 +149,24 @@ def parse(content: bytes) -> Iterator[tuple]:
         return
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all WARC files under a path, one file a task at least and one file at a time.
+def opened(path: str) -> BinaryIO:
+    """A stream of the bytes of a file by its path or URI."""
+    from pyarrow import fs
 
-    Spark hands a file over as one value, of 2 GB at most; archives are customarily cut at 1 GB. Records
-    leave in batches of at most some 16 MB, or of one record.
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return open("/" + rest.lstrip("/") if colon else path, "rb")
+    host, _, inner = rest.removeprefix("//").partition("/")
+    system, base = fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{host}/")
+    return system.open_input_stream(f"{base.rstrip('/')}/{inner}")
+
+
+def read(spark: SparkSession, path: str, opener: Callable[[str], BinaryIO] = opened) -> DataFrame:
+    """Records of all WARC files under a path, a large file a task.
+
+    Spark lists the files and deals them out by their size; a task opens its files as streams by ``opener``, so that
+    a file, of whatever size, is never one value. Records leave in batches of at most some 16 MB, or of one record.
+    A file that is gone or may not be read fails the job; one without records gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,18 +177,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
         for batch in batches:
-            for content in batch.column(0):
+            for name in batch.column(0).to_pylist():
                 rows, size = [], 0
-                for row in parse(content.as_py()):
-                    rows.append(row)
-                    size += len(row[-1])
-                    if len(rows) == 256 or size > 16 << 20:
-                        yield table(rows)
-                        rows, size = [], 0
+                with opener(name) as stream:
+                    for row in parse(stream):
+                        rows.append(row)
+                        size += len(row[-1])
+                        if len(rows) == 256 or size > 16 << 20:
+                            yield table(rows)
+                            rows, size = [], 0
                 if rows:
                     yield table(rows)
 
-    return common.bound_batches(spark.read.format("binaryFile").load(path).select("content")).mapInArrow(run, RECORD)
+    # without the content: the source then lists files and reads none
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, RECORD)
 
 
 def crawl_log(pages: DataFrame) -> DataFrame:

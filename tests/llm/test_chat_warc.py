@@ -131,3 +131,36 @@ def test_files(spark, tmp_path):
     got = warc.read(spark, str(tmp_path)).collect()
     assert len(got) == 4 and [bytes(r.payload) for r in got if r.type == "response"] == [b"WARC/1.0 body\r\n\r\n"] * 2
     assert got[0].headers == {"etag": "1"} and got[0].captured == 1704164645000000
+
+
+def test_large_files_are_streams(spark, tmp_path):
+    """A file larger than what a task may hold as a value: many records, one after the other, in names with blanks."""
+    body = b"x" * 100_000
+    one = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <%d>\r\nContent-Length: 100000\r\n\r\n" + body + b"\r\n\r\n"
+    (tmp_path / "a b%20.warc").write_bytes(b"".join(one % i for i in range(300)))
+    (tmp_path / "c.warc.gz").write_bytes(b"".join(gzip.compress(one % i) for i in range(300, 330)) + gzip.compress(one % 400)[:-300])
+    (tmp_path / "empty.warc").write_bytes(b"")
+    seen = warc.read(spark, str(tmp_path))
+    assert "content" not in seen._jdf.queryExecution().executedPlan().toString()
+    got = seen.selectExpr("record_id", "length(payload) AS n").collect()
+    assert sorted(int(r.record_id[1:-1]) for r in got) == list(range(330)) and {r.n for r in got} == {100_000}
+
+
+def test_streams_are_read_record_by_record():
+    import io
+
+    class Counted(io.RawIOBase):
+        taken = 0
+
+        def readable(self):
+            return True
+
+        def readinto(self, into):
+            self.taken += len(into)
+            into[:] = (record * (len(into) // len(record) + 2))[(self.taken - len(into)) % len(record) :][: len(into)]
+            return len(into)
+
+    record = b"WARC/1.1\r\nContent-Length: 1000\r\n\r\n" + b"y" * 1000 + b"\r\n\r\n"
+    endless = Counted()
+    records = warc.parse(endless)
+    assert all(len(next(records)[5]) == 1000 for _ in range(5000)) and endless.taken < 5000 * len(record) + (2 << 20)
