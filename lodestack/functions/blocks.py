@@ -77,6 +77,24 @@ def ends_sentence(text: Column, strong: bool = False) -> Column:
     return F.coalesce(text, F.lit("")).rlike(r"(?U)[.!?]\s*$" if strong else r"(?U)[.!?;:]\s*$")
 
 
+def split_code(before: Column, after: Column) -> Column:
+    """Whether a document's number was cut at its hyphen: one line ends with its digits and first letters, the next begins with the hyphen."""
+    number = stripped(F.coalesce(before, F.lit(""))).rlike(r"(?iU)\b\d{1,6}/[A-ZĐ]{1,12}$")
+    return number & stripped(F.coalesce(after, F.lit(""))).rlike(r"(?iU)^-\s*[A-ZĐ]{2,12}\b")
+
+
+def continued(before: Column, after: Column) -> Column:
+    """Two lines as one: a cut number without a blank, a hyphen at the end of a cut word away, else a blank between.
+
+    A hyphen stays between digits, after a blank, and before a capital letter.
+    """
+    a, b = F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))
+    small = F.regexp_extract(b, "[A-Za-zÀ-ỹĐđ]", 0).rlike(r"\p{Ll}")
+    cut = a.rlike(r"[^ ]-$") & small & ~(a.rlike(r"\p{Nd}-$") & b.rlike(r"^\p{Nd}"))
+    code = F.concat(F.rtrim(a), F.regexp_replace(F.ltrim(b), r"^-\s*", "-"))
+    return F.when(split_code(a, b), code).when(cut, F.concat(F.left(a, F.length(a) - 1), b)).otherwise(F.trim(F.concat_ws(" ", a, b)))
+
+
 def comparison_key(text: Column) -> Column:
     """Small letters and digits, all else as single blanks; null counts as empty."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\wÀ-ỹĐđ]+", " "))

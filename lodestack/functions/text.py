@@ -117,13 +117,17 @@ def rewritten(text: Column, rules: dict[str, str], kept: frozenset | set = froze
     """Whole words and phrases replaced, longest first. Those in ``kept`` stay behind in brackets, in upper
     case, and are left alone where brackets are already there."""
     for key in sorted(rules, key=len, reverse=True):
-        if key in kept:
-            text = F.regexp_replace(text, rf"(?iU)(?<!\()(?<!\w){re.escape(key)}(?!\w)(?!\s*\()", f"{rules[key]} ({key.upper()})")
-        else:
-            text = F.regexp_replace(text, rf"(?iU)(?<!\w){re.escape(key)}(?!\w)", rules[key])
+        text = F.regexp_replace(text, *rule(key, rules[key], key in kept))
     return text
 
 
+def rule(key: str, target: str, kept: bool = False) -> tuple[str, str]:
+    """The pattern of a whole word or phrase and what stands for it; one that is kept stays behind in brackets."""
+    if kept:
+        return rf"(?iU)(?<!\()(?<!\w){re.escape(key)}(?!\w)(?!\s*\()", f"{target} ({key.upper()})"
+    return rf"(?iU)(?<!\w){re.escape(key)}(?!\w)", target
+
+
 def normalised_query(text: Column) -> Column:
     """A query with abbreviations, synonyms and typos rewritten; dates, codes and numbers of documents stay as they are.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.functions import render
+
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
@@ -18,6 +20,16 @@ def norm(a: Column) -> Column:
     return F.sqrt(_sum(F.transform(a, lambda x: x.cast("double") * x.cast("double"))))
 
 
+def candidate(target: Column, labels: Column, props: Column, score: Column, index: Column) -> Column:
+    """A hit of a vector index as a candidate: its label is the target if the node has that, or no labels at all, else its first label; its id
+    the node's, or its course's; vectors among the properties go, and a score of null is 0."""
+    named = F.coalesce(labels, F.array().cast("array<string>"))
+    label = F.when(F.array_contains(named, target) | (F.size(named) == 0), target).otherwise(F.get(named, F.lit(0)))
+    plain = render.without_vectors(F.coalesce(props, F.expr("cast(map() as map<string,string>)")))
+    node = F.trim(F.coalesce(F.nullif(plain["id"], F.lit("")), plain["ma_hoc_phan"], F.lit("")))
+    return F.struct(F.lit("vector").alias("origin"), target.alias("target"), label.alias("label"), node.alias("node_id"), index.alias("index_name"), F.coalesce(score, F.lit(0.0)).alias("score"), named.alias("labels"), plain.alias("props"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Null where a vector is null, of length zero, or of another size."""
     size = norm(a) * norm(b)

@@ -43,6 +43,21 @@ def document_warnings(documents: DataFrame, by: str = "id") -> DataFrame:
     return documents.select(by, F.array_compact(F.array(*(F.when(c, F.lit(w)) for w, c in lacks))).alias("warnings"))
 
 
+def extraction_warnings(documents: DataFrame, by: str = "id") -> DataFrame:
+    """(by, warnings) of documents (by, code, issued, title, pages): what was not read from them, in a fixed order; a date that is
+    only a year, or a year and a month, is a warning of its own. Null counts as empty and as no page."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    dated = F.when(blank("issued"), "không trích được ngày ban hành").when(F.col("issued").rlike(r"^\d{4}$"), "ngày ban hành chỉ có năm").when(F.col("issued").rlike(r"^\d{4}-\d{2}$"), "ngày ban hành chỉ có tháng và năm")
+    found = (F.when(blank("code"), "không trích được mã văn bản"), dated, F.when(blank("title"), "không trích được tiêu đề"), F.when(F.coalesce("pages", F.lit(0)) <= 0, "tài liệu không có trang"))
+    return documents.select(by, F.array_compact(F.array(*found)).alias("warnings"))
+
+
+def item_counts(items: DataFrame, by: str, kinds: tuple[str, ...] = ("text", "table"), kind_col: str = "item") -> DataFrame:
+    """(by, n of each kind, others): how many items of each kind a document has; a null kind is one of the others."""
+    known = F.coalesce(F.col(kind_col).isin(*kinds), F.lit(False))
+    return items.groupBy(by).agg(*(F.count_if(F.col(kind_col) == k).alias(f"n_{k}") for k in kinds), F.count_if(~known).alias("n_others"))
+
+
 def unembedded(nodes: DataFrame, stored: DataFrame, size: int, force: bool = False, by: str = "id") -> DataFrame:
     """Nodes (by, text) with a text that lack a vector of the wanted size in stored (by, embedding); all of them by force."""
     some = nodes.where(F.trim("text") != "")

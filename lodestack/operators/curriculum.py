@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.functions import text
+from lodestack.functions import render, text
 
 CODE = r"[A-Z]{2,3}\d{3}[A-Z]*"
 BLOCK = "BLOCK_HEADER:"
@@ -96,6 +96,7 @@ CONCEPTS = {
 RELATION_HINTS = ("BAN_HANH_THEO", "DAO_TAO", "THUOC_VE", "CAP", "CO", "THAM_KHAO", "DAT_DUOC", "YEU_CAU", "GOM", "DOI_VOI", "YEU_CAU_TIEN_QUYET", "CO_THE_SONG_HANH")
 ANCHOR_TYPES = ("ChuongTrinhDaoTao", "Nganh", "KhoiKienThuc", "HocPhan", "ChuanDauRa", "DieuKienTotNghiep", "VanBanPhapLy", "Khoa", "BoMon")
 QUERY_TYPES = ("attribute", "relation", "path", "aggregation", "description", "list")
+VECTOR_TARGETS = ("HocPhan", "DieuKienTotNghiep", "ChuanDauRa", "VanBanPhapLy")
 ANSWER_SHAPES = ("single", "list", "path", "summary")
 DEFAULT_COHORT, DEFAULT_MODE = 51, "đại trà"
 
@@ -169,6 +170,44 @@ def plan(anchors: Column, entity_types: Column, relations: Column, asked: Column
     )
 
 
+ANALYSIS = (
+    "rewrite string, rewritten_query string, query_type string, entities array<struct<type:string, value:string>>, relations array<string>, constraints struct<depth:string>, vector_targets array<string>, "
+    "ctdt_filters struct<khoa:string, he:string>, graph_plan struct<anchor_node_types:array<string>, focus_relations:array<string>, expansion_policy:struct<max_depth:string, max_paths:string, max_nodes:string>, answer_shape:string>"
+)
+
+
+def analysis(answer: Column, question: Column, targets: tuple[str, ...] = VECTOR_TARGETS) -> Column:
+    """What a model's answer says about a question, as a struct, made safe; an answer that holds no object, or nothing in a place, leaves
+    the defaults there: the question itself, no entities, relations, targets or filters, a description, the widest search.
+
+    Entities have a type or a value; relations are upper case and not blank; targets are known, at most two; the
+    cohort is the first number given; the plan is that of ``plan``, whose shape follows from the type of the query
+    where none is known, and whose depth from the constraints.
+    """
+    tidy = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    none = F.array().cast("array<string>")
+
+    def of(a: Column) -> Column:
+        entities = F.filter(
+            F.transform(F.coalesce(a["entities"], F.array().cast("array<struct<type:string, value:string>>")), lambda e: F.struct(tidy(e["type"]).alias("type"), tidy(e["value"]).alias("value"))),
+            lambda e: (e["type"] != "") | (e["value"] != ""),
+        )
+        relations = F.filter(F.transform(F.coalesce(a["relations"], none), lambda r: F.upper(tidy(r))), lambda r: r != "")
+        kind, p, grow = query_type(a["query_type"]), a["graph_plan"], a["graph_plan"]["expansion_policy"]
+        shape, by_kind = F.lower(tidy(p["answer_shape"])), F.when(kind == "path", "path").when(kind.isin("list", "relation"), "list").when(kind.isin("attribute", "aggregation"), "single").otherwise("summary")
+        made = plan(
+            p["anchor_node_types"], F.transform(entities, lambda e: e["type"]), p["focus_relations"], relations, F.coalesce(grow["max_depth"], a["constraints"]["depth"]), grow["max_paths"], grow["max_nodes"],
+            F.when(shape.isin(*ANSWER_SHAPES), shape).otherwise(by_kind), (2, 60, 70),
+        )
+        return F.struct(
+            F.coalesce(F.nullif(tidy(a["rewrite"]), F.lit("")), F.nullif(tidy(a["rewritten_query"]), F.lit("")), question).alias("rewrite"), entities.alias("entities"), relations.alias("relations"), kind.alias("query_type"),
+            F.regexp_extract(tidy(a["ctdt_filters"]["khoa"]), r"\d+", 0).try_cast("int").alias("cohort"), F.nullif(tidy(a["ctdt_filters"]["he"]), F.lit("")).alias("mode"),
+            F.slice(_known(a["vector_targets"], targets), 1, 2).alias("vector_targets"), made.alias("plan"),
+        )
+
+    return text.let(render.salvaged_json(answer, ANALYSIS), of)
+
+
 def query_type(value: Column) -> Column:
     v = F.lower(F.trim(F.coalesce(value, F.lit(""))))
     return F.when(v.isin(*QUERY_TYPES), v).otherwise("description")

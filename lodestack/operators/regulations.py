@@ -77,3 +77,28 @@ def sizes(tree: DataFrame, by: str = "doc_id") -> DataFrame:
     articles, clauses and points are nodes, each but the first with one edge to it."""
     below = F.count("*") + F.count_distinct("chapter")
     return tree.groupBy(by).agg((below + 1).alias("n_nodes"), below.alias("n_edges"), F.count_if(F.col("level") == "article").alias("n_articles"))
+
+
+def regulation_name(first_title: Column, default: str = "Văn bản quy chế") -> Column:
+    """What the first article of a decision says is issued with it, else its title; the default without one."""
+    named = F.regexp_extract(first_title, r"(?s)Ban hành kèm theo Quyết định này\s+\"?(.+?)\"?$", 1)
+    return F.coalesce(F.nullif(named, F.lit("")), first_title, F.lit(default))
+
+
+def plain_text(tree: DataFrame, by: str = "doc_id", order: str = "pos", most: int = 12_000) -> DataFrame:
+    """(by, n_chars, n_sections, preview) of each regulation's ``parts()``: its chapters' heads, the numbers of its articles and all texts in
+    order, joined by blanks; its length, its articles, and what comes first of it.
+
+    A part is put in its place by a running length, so that texts beyond the preview are never gathered.
+    """
+    doc = Window.partitionBy(by).orderBy(order)
+    opens = F.col("chapter").isNotNull() & ~F.col("chapter").eqNullSafe(F.lag("chapter").over(doc))
+    article = F.col("level") == "article"
+    said = [F.when(opens, F.nullif(F.trim("chapter"), F.lit(""))), F.when(article, F.concat(F.lit("Điều "), "article")), F.nullif(F.trim("text"), F.lit(""))]
+    at = tree.select(by, order, article.alias("is_article"), F.concat_ws(" ", *said).alias("said"))
+    room = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.when(F.col("said") != "", F.length("said") + 1).otherwise(0)
+    at = at.withColumn("size", size).withColumn("before", F.coalesce(F.sum("size").over(room), F.lit(0)))
+    shown = F.when((F.col("size") > 0) & (F.col("before") < most), F.struct(F.col(order).alias("o"), "said"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["said"]), " ")
+    return at.groupBy(by).agg(F.greatest(F.sum("size") - 1, F.lit(0)).alias("n_chars"), F.count_if("is_article").alias("n_sections"), F.left(text, F.lit(most)).alias("preview"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ITEM = "struct<loai:string, bbox:array<double>, noi_dung:string, du_lieu:array<array<string>>, dang:string, tieu_de_bang:string>"
@@ -67,6 +67,36 @@ def _fields(schema: str) -> list[str]:
     return [*out, now]
 
 
+def stage_name(path: Column, done: str, next_stage: str) -> Column:
+    """The name of a file that a stage writes for one of the stage before: its stem, without that stage's ending and the number that a
+    download added, with the ending of the next."""
+    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^./]*$", "")
+    return F.concat(F.regexp_replace(stem, rf"(?i)_{done}(?:\(\d+\))?$", ""), F.lit(f"_{next_stage}.json"))
+
+
+def without_metadata(items: Column) -> Column:
+    """A page's items (with dang, their form) less those that were read as the document's metadata."""
+    return F.filter(items, lambda i: ~i["dang"].eqNullSafe(F.lit("metadata")))
+
+
+def metadata(documents: DataFrame) -> DataFrame:
+    """The head that a document's tree carries: code, file, title and date, '' where they are missing."""
+    return documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("ma_van_ban", "ten_file", "tieu_de", "ngay_ban_hanh")))
+
+
+def migrated(rows: DataFrame, gone: tuple[str, ...], props_col: str | None = None) -> DataFrame:
+    """Rows without columns of an older schema, or without those keys of a map of properties; those that are not there are no fault."""
+    if props_col is None:
+        return rows.drop(*gone)
+    return rows.withColumn(props_col, F.map_filter(props_col, lambda k, v: ~k.isin(*gone)))
+
+
+def write_json(rows: DataFrame, path: str, by: str | None = None) -> None:
+    """One object a line in UTF-8, nulls kept; in a folder of its own for each value of ``by``. Earlier files under the path go."""
+    writer = rows.write.mode("overwrite").option("ignoreNullFields", False).option("encoding", "UTF-8")
+    (writer.partitionBy(by) if by else writer).json(path)
+
+
 def write_results(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 

@@ -4,13 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 PROGRESS = "batch long, status string, rows long, error string, at timestamp"
 
 
+# What may be uploaded.
+CATEGORIES = ("chuyen_nganh_dao_tao", "quy_che_hoc_vu", "huong_dan_thu_tuc", "thong_bao_ke_hoach")
+MOST_BYTES = 50 * 1024 * 1024
+
+
+def refused(name: Column, category: Column, size: Column, categories: tuple[str, ...] = CATEGORIES, most: int = MOST_BYTES) -> Column:
+    """Why a file may not be taken, the first reason that holds; null if it may."""
+    return (
+        F.when(F.coalesce(name, F.lit("")) == "", "name missing").when(~F.coalesce(category.isin(*categories), F.lit(False)), "unknown category")
+        .when(~F.lower(name).endswith(".pdf"), "no pdf").when(F.coalesce(size, F.lit(0)) > most, "too large")
+    )
+
+
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, name, size) of the files under a folder, whose contents are not read."""
+    at = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return at.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.col("length").alias("size"))
+
+
 def ingest(spark: SparkSession, folder: str, schema: str, handler: Callable[[DataFrame, int], DataFrame], out: str, progress: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
     """Starts a run over the files that are there: each micro-batch goes through ``handler`` and is written
     under its own number, so that a batch that runs again overwrites itself. What a handler raises is noted
