@@ -43,4 +43,5 @@ def audited(rows: DataFrame, text_col: str, out: str = "normalised", log: str =
     last = F.size("parts") - 1
     bare = F.transform("parts", lambda p, i: F.substring(p, F.when(i > 0, 3).otherwise(1), F.length(p) - F.when(i > 0, 2).otherwise(0) - F.when(i < last, 2).otherwise(0)))
     whole = F.array_join(F.flatten(F.zip_with(bare, F.col("values"), lambda p, v: F.array(p, F.coalesce(v, F.lit(""))))), "")
-    return at.select("row.*", text.spaced(whole).alias(out), F.col("log").alias(log))
+    # in two steps: a column of the caller's may have the name of one used here
+    return at.select("row", F.struct(text.spaced(whole).alias(out), F.col("log").alias(log)).alias("done")).select("row.*", "done.*")
