@@ -67,9 +67,14 @@ def number(text: Column, default: float = 0.0) -> Column:
     return F.coalesce(F.replace(F.trim(text), F.lit(","), F.lit(".")).try_cast("double"), F.lit(default))
 
 
+def fixed(value: Column, places: int) -> Column:
+    """A number with so many decimals, rounded by its exact binary value, halves to even, as C and Python do; Java's %f rounds its decimal text."""
+    return F.coalesce(F.call_function("format_number", value, F.lit("0." + "0" * places)), F.lit("null"))
+
+
 def percent(part: Column, whole: Column) -> Column:
     """n/N = p%, and N/A of nothing."""
-    return F.when(whole > 0, F.format_string("%d/%d = %.1f%%", part.cast("long"), whole.cast("long"), 100.0 * part / whole)).otherwise("N/A")
+    return F.when(whole > 0, F.format_string("%d/%d = %s%%", part.cast("long"), whole.cast("long"), fixed(100.0 * part / whole, 1))).otherwise("N/A")
 
 
 def clamped(value: Column, low: int, high: int, default: int) -> Column:
@@ -95,5 +100,5 @@ def vector_lines(target: Column, index: Column, hits: Column) -> Column:
     """The hits (score, labels, props) of a target in order as text: the target with its index, then a line for each; '' without hits.
     Properties that hold vectors are left out."""
     head = F.concat(F.lit("- "), target, F.when(F.coalesce(index, F.lit("")) != "", F.concat(F.lit(" ["), index, F.lit("]"))).otherwise(""))
-    one = lambda h, i: F.concat(F.format_string("  %d. score=%.6f labels=", i + 1, h["score"]), F.to_json(h["labels"]), F.lit(" node="), F.to_json(without_vectors(h["props"])))
+    one = lambda h, i: F.concat(F.format_string("  %d. score=%s labels=", i + 1, fixed(h["score"], 6)), F.to_json(h["labels"]), F.lit(" node="), F.to_json(without_vectors(h["props"])))
     return F.when(F.size(hits) > 0, F.concat_ws("\n", head, F.array_join(F.transform(hits, one), "\n"))).otherwise("")
