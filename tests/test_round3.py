@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestack.functions import render, vector
+from lodestack.operators import curriculum, graph, tables
 from lodestack.plans import notifications
 from lodestack.sources import shared
 
@@ -51,3 +52,37 @@ def test_exact_candidates_are_counted_without_being_made(spark):
     asked = [(1, "a", True, [1.0, 0.0]), (2, "a", True, [1.0, 0.0, 0.0]), (3, "a", True, [0.0, 0.0]), (4, "a", True, None), (5, "b", True, [1.0, 0.0]), (6, "c", True, [1.0, 0.0]), (7, "a", False, [1.0, 0.0])]
     q = spark.createDataFrame(asked, "query_id long, ask_id string, is_exact boolean, query_vector array<double>")
     assert {tuple(r) for r in notifications.exact_counts(q, at).collect()} == {(1, 3), (2, 2), (3, 1), (5, 1), (6, 0)}
+
+
+def test_a_join_with_large_results_is_dealt_out(spark):
+    left = spark.range(3000).select("id", (F.col("id") % 3).alias("k"))
+    right = spark.range(900).select((F.col("id") % 3).alias("k"), (F.col("id") * 10).alias("other")).unionByName(spark.createDataFrame([(None, 1), (7, 1)], "k long, other long"))
+    at = shared.dealt_join(left, right, ["k"], pairs=50_000)
+    assert at.columns == ["k", "id", "other"] and at.count() == 900_000 and at.distinct().count() == 900_000
+    assert at.exceptAll(left.join(right, "k").select(*at.columns)).isEmpty()
+    sizes = [r[0] for r in at.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) > 6 and max(sizes) < 300_000  # a key alone has 300,000
+    assert shared.dealt_join(left, right.where("k = 7"), ["k"]).isEmpty()
+
+
+def test_programs_in_scope_are_not_one_task(spark, monkeypatch):
+    join = shared.dealt_join
+    monkeypatch.setattr(curriculum, "dealt_join", lambda a, b, keys: join(a, b, keys, pairs=10_000))
+    asked = spark.createDataFrame([(i, "50", " CLC") for i in range(1000)], "query_id long, cohort string, mode string")
+    at = curriculum.of_programs(asked, spark.createDataFrame([(i, 50, "clc ") for i in range(200)], "id long, cohort int, mode string"))
+    assert at.count() == 200_000 and at.groupBy(F.spark_partition_id()).count().count() > 4
+
+
+def test_paths_do_not_meet_their_seeds_again(spark):
+    edges = spark.createDataFrame([("hub", f"n{i}", "A") for i in range(50)], "src string, dst string, type string")
+    seeds = spark.createDataFrame([("n1",), ("n2",), ("alone",)], "id string")
+    got = graph.expanded(edges, seeds, 2)
+    assert got.groupBy("seed", "depth").count().where("count > 0").collect() and {(r.seed, r.depth): r["count"] for r in got.groupBy("seed", "depth").count().collect()} == {("n1", 1): 1, ("n1", 2): 49, ("n2", 1): 1, ("n2", 2): 49, ("alone", 0): 1}
+    assert "LeftOuter" not in got._jdf.queryExecution().toString()
+
+
+def test_names_are_worked_out_once(spark):
+    at = spark.createDataFrame([([" a", None, "a", "b ", "a", ""],), ([],), (None,)], "n array<string>")
+    names = tables.unique_names(F.col("n"))
+    assert [r[0] for r in at.select(names).collect()] == [["a", "cot_2", "a_2", "b", "a_3", "cot_6"], [], None]
+    assert at.select(names)._jdf.queryExecution().analyzed().toString().count("cot_") <= 2  # once for each time the plan is said; it was thrice
