@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import render, text
+from lodestack.sources.shared import dealt_join
 
 CODE = r"[A-Z]{2,3}\d{3}[A-Z]*"
 BLOCK = "BLOCK_HEADER:"
@@ -222,7 +223,7 @@ def program_filter(cohort: Column, mode: Column) -> Column:
 def of_programs(asked: DataFrame, programs: DataFrame) -> DataFrame:
     """Questions (query_id, cohort, mode) with the programs (id, cohort, mode) of that cohort, as text, and mode, without case and blanks at the ends."""
     keys = (F.col("cohort").cast("string").alias("_c"), F.lower(F.trim(F.coalesce("mode", F.lit("")))).alias("_m"))
-    return asked.select("query_id", *keys).join(programs.select("id", *keys), ["_c", "_m"]).select("query_id", "id")
+    return dealt_join(asked.select("query_id", *keys), programs.select("id", *keys), ["_c", "_m"]).select("query_id", "id")
 
 
 def hybrid(graphs: DataFrame, candidates: DataFrame, edges: DataFrame, relations: tuple[str, ...], per_target: int = 3, per_origin: int = 4, most: int = 12) -> DataFrame:

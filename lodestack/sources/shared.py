@@ -36,6 +36,25 @@ def maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if few["n"] <= BROADCAST_ROWS and few["size"] <= BROADCAST_BYTES else df.hint("merge")
 
 
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], pairs: int = 2_000_000) -> DataFrame:
+    """An inner join by ``keys`` for results that are far larger than both sides: a key's pairs are counted, and its rows dealt into
+    blocks of about so many pairs, so that neither a key nor a small input puts a large result into one task."""
+    n = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    size = n(left, "_l").join(n(right, "_r"), keys).withColumn("_b", F.ceil(F.col("_l") * F.col("_r") / pairs).cast("int"))
+    size = size.withColumn("_bl", F.least("_l", "_b").cast("int")).withColumn("_br", F.ceil(F.col("_b") / F.col("_bl")).cast("int")).select(*keys, "_l", "_r", "_bl", "_br")
+    size = written(size, "pairs")
+    total = size.agg(F.coalesce(F.sum((F.col("_l") * F.col("_r")).cast("double")), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum(F.col("_l") * F.col("_br") + F.col("_r") * F.col("_bl")), F.lit(0)).alias("rows")).first()
+    # a number of its own: partitions of small sides would be made one
+    tasks = int(max(1, min(20_000, total["pairs"] // pairs + total["rows"] // 1_000_000 + 1)))
+    few = maybe_broadcast(size.select(*keys, "_bl", "_br"))
+    own = lambda df, k: F.pmod(F.xxhash64(*df.columns), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    a = left.join(few, keys).withColumn("_i", own(left, "_bl")).withColumn("_j", every("_br")).drop("_bl", "_br")
+    b = right.join(few, keys).withColumn("_j", own(right, "_br")).withColumn("_i", every("_bl")).drop("_bl", "_br")
+    by = [*keys, "_i", "_j"]
+    return a.repartition(tasks, *by).join(b.repartition(tasks, *by).hint("merge"), by).drop("_i", "_j")
+
+
 def discard(spark: SparkSession) -> None:
     """Removes what this application has written, once its results have been used."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
