@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.sources.shared import dealt_join, written
+
 
 def descent(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """Every path down from roots (id): root, id, depth, path; cycles end where a node would repeat."""
@@ -61,20 +63,26 @@ def expanded(edges: DataFrame, seeds: DataFrame, depth: int, hints: list[str] |
         if most is not None:
             # ranked by the key of the join that follows, so that it is one shuffle for both
             taken = step.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("b", "edge"))).where(F.col("_r") <= most + d).drop("_r")
-        level = level.join(taken, "a").where(~F.array_contains("edges", F.col("edge")))
+        # a hub meets all that has come to it: its pairs are dealt out
+        level = (level.join(taken, "a") if most is not None else dealt_join(level, taken, ["a"])).where(~F.array_contains("edges", F.col("edge")))
         level = level.select("seed", F.concat("nodes", F.array("b")).alias("nodes"), F.concat("edges", F.array("edge")).alias("edges"), F.concat("types", F.array("type")).alias("types"), F.col("b").alias("a"))
         if most is not None:
             first = Window.partitionBy("seed").orderBy(F.array_join("nodes", ">"), "edges")
             level = level.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most).drop("_r")
+        if most is None and d + 1 < depth:
+            level = written(level, "paths")
         levels.append(level)
     paths = reduce(DataFrame.unionByName, levels).drop("a")
+    # a path has its first step among the paths too, and need not meet its seed again
+    begun = levels[0].select("seed").distinct() if levels and not hints else None
     if hints:
         hinted = F.exists("types", lambda t: t.isin(*hints))
         any_hinted = F.broadcast(paths.agg(F.coalesce(F.bool_or(hinted), F.lit(False)).alias("_any")))  # one row
         paths = paths.join(any_hinted).where(~F.col("_any") | hinted).drop("_any")
-    return seeds.select(F.col("id").alias("seed")).join(paths.withColumn("depth", F.size("edges")), "seed", "left").withColumns(
-        {"nodes": F.coalesce("nodes", F.array("seed")), "edges": F.coalesce("edges", F.array().cast("array<string>")), "types": F.coalesce("types", F.array().cast("array<string>")), "depth": F.coalesce("depth", F.lit(0))}
-    )
+    begun = paths.select("seed").distinct() if begun is None else begun
+    none = F.array().cast("array<string>")
+    alone = seeds.select(F.col("id").alias("seed")).join(begun, "seed", "left_anti").select("seed", F.array("seed").alias("nodes"), none.alias("edges"), none.alias("types"), F.lit(0).alias("depth"))
+    return paths.select("seed", "nodes", "edges", "types", F.size("edges").alias("depth")).unionByName(alone)
 
 
 def capped(paths: DataFrame, order: list[Column], max_paths: int, max_nodes: int) -> DataFrame:
