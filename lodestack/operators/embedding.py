@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import spaced
+from lodestack.sources.shared import spread
 
 #: Takes a list of texts and returns an array of one row of numbers for each.
 Embedder = Callable[[list[str]], np.ndarray]
@@ -100,4 +101,5 @@ def notice_texts(sections: DataFrame, tables: DataFrame, rows: DataFrame, notice
     owned = tables.select(F.col("id").alias("table_id"), "section_id").join(own.select(F.col("id").alias("section_id"), "notice_id"), "section_id")
     below = rows.select("id", "table_id", "text").join(owned, "table_id")
     label = lambda df, name: df.select("notice_id", "id", F.lit(name).alias("label"), "text")
-    return label(own, "section").unionByName(label(below, "row")).where(spaced(F.col("text")) != "").distinct()
+    every = label(own, "section").unionByName(label(below, "row")).where(spaced(F.col("text")) != "")
+    return spread(every, ["notice_id", "id"], sections.count() + rows.count(), 250_000).distinct()

@@ -36,6 +36,13 @@ def maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if few["n"] <= BROADCAST_ROWS and few["size"] <= BROADCAST_BYTES else df.hint("merge")
 
 
+def spread(df: DataFrame, keys: list[str], rows: int, per_task: int = 500_000) -> DataFrame:
+    """``df`` dealt by ``keys`` into as many tasks as ``rows``, counted before, need at ``per_task`` each: a task's memory does not grow
+    with the input where the session's number of partitions is fixed."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(50_000, max(least, -(-rows // per_task))), *keys)
+
+
 def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], pairs: int = 2_000_000) -> DataFrame:
     """An inner join by ``keys`` for results that are far larger than both sides: a key's pairs are counted, and its rows dealt into
     blocks of about so many pairs, so that neither a key nor a small input puts a large result into one task."""

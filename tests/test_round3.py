@@ -86,3 +86,10 @@ def test_names_are_worked_out_once(spark):
     names = tables.unique_names(F.col("n"))
     assert [r[0] for r in at.select(names).collect()] == [["a", "cot_2", "a_2", "b", "a_3", "cot_6"], [], None]
     assert at.select(names)._jdf.queryExecution().analyzed().toString().count("cot_") <= 2  # once for each time the plan is said; it was thrice
+
+
+def test_tasks_grow_in_number_with_the_rows(spark):
+    at = spark.range(4000).select((F.col("id") % 500).alias("k"), "id")
+    got = shared.spread(at, ["k"], 4000, 200)
+    assert got.rdd.getNumPartitions() == 20 and got.count() == 4000 and got.select("k", F.spark_partition_id().alias("p")).distinct().count() == 500
+    assert shared.spread(at, ["k"], 10).rdd.getNumPartitions() == 4
