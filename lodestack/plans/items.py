@@ -10,6 +10,7 @@ from lodestack.operators import cleaning, curriculum, docs, regulations
 from lodestack.plans import building
 from lodestack.plans.registry import query
 from lodestack.plans.views import SQL, table
+from lodestack.sources.shared import spread
 
 REG = """reg AS (SELECT o_custkey AS doc_id, CAST(o_orderkey AS INT) AS pos, o_orderkey % 23 = 0 AS chap, o_orderkey % 23 > 0 AND o_orderkey % 4 = 0 AS art,
         o_orderkey % 23 > 0 AND o_orderkey % 4 = 1 AS cla, o_orderkey % 23 > 0 AND o_orderkey % 4 = 2 AS poi, o_orderkey FROM orders),
@@ -78,7 +79,8 @@ def course_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.concat(F.lit("CT"), F.lpad((F.col("l_partkey") % 1000).cast("string"), 3, "0"))
     row = F.array(line, code, F.lit("name"), F.lit("3"), required, elective)
     cells = F.when(k == 0, F.array(F.concat(F.lit("BLOCK_HEADER: Khối "), F.col("l_suppkey").cast("string")))).when(k == 1, F.array(F.lit("Cộng: 14 TC (Bắt buộc: 4 TC; Tự chọn: 10 TC)"))).otherwise(row)
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("program"), F.row_number().over(w).alias("pos"), cells.alias("cells"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return spread(li, ["l_orderkey"], li.count()).select(F.col("l_orderkey").alias("program"), F.row_number().over(w).alias("pos"), cells.alias("cells"))
 
 
 @query(f"""WITH {COURSE} SELECT l_orderkey AS program, CAST(pos AS INT) AS pos, block, requirement, grp_name AS "group", 'CT' || lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') AS code FROM g WHERE NOT header AND NOT summary""")
