@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import render, vector
 from lodestack.operators import graph, program_nodes, ruled
 from lodestack.plans.registry import query
 from lodestack.plans.views import table
+from lodestack.sources.shared import spread
+
+#: Line items of a task: a page's lines and words are ten times as many.
+ROWS_A_TASK = 100_000
 
 RULED = """li AS (SELECT l_orderkey AS page, l_linenumber AS line, min(l_partkey) AS part, min(l_suppkey) AS supp, min(l_quantity) AS q FROM lineitem GROUP BY ALL),
     rw AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY line) AS r FROM li),
@@ -19,9 +23,9 @@ RULED = """li AS (SELECT l_orderkey AS page, l_linenumber AS line, min(l_partkey
 def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders as pages with a ruled table of three columns: the lines, each in pieces and a little off, and the words. Third lines
     are one cell with the name of a block."""
-    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line")).agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"), F.min("l_quantity").alias("q"))
-    from pyspark.sql import Window
-
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_quantity").alias("q"))
+    # dealt by page once; what is made of a page stays where it is
+    li = spread(li, ["page"], li.count(), ROWS_A_TASK).groupBy("page", "line").agg(F.min("part").alias("part"), F.min("supp").alias("supp"), F.min("q").alias("q"))
     rows = li.withColumn("r", F.row_number().over(Window.partitionBy("page").orderBy("line")))
     some = rows.groupBy("page").agg(F.max("r").alias("n"))
     d = lambda c: c.cast("double")
