@@ -59,7 +59,7 @@ def course_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables of a customer's pages as one, with its header once."""
     lines, words = _pages(spark, sf_dir)
     of = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("page"))
-    rows = ruled.cells(words, lines, ["page"]).join(of, "page")
+    rows = spread(ruled.cells(words, lines, ["page"]).join(of.hint("merge"), "page"), ["file"], table(spark, sf_dir, "lineitem").count())
     return ruled.courses(rows, "file", ["page", "table_no", "r"]).select("file", F.col("row_no").cast("long").alias("row_no"), "kind", F.array_join("cells", "|").alias("cells"))
 
 
