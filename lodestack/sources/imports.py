@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.sources.shared import written
+from lodestack.sources.shared import maybe_broadcast, spread, written
 
 #: Names of a commit's own tables.
 GONE, REPORT = "_replaced", "_report"
+#: Hashes, of eight bytes each, that are broadcast at most.
+BROADCAST_HASHES = 1_000_000
 
 
 class Store:
@@ -44,13 +46,15 @@ class Store:
         at = self.spark.read.option("basePath", self.path).option("mergeSchema", "true").parquet(*paths)
         return at.withColumn("commit", F.col("commit").cast("long"))
 
-    def read(self, name: str) -> DataFrame | None:
-        """A table's rows, each key's from the last commit that wrote or deleted it; None before the first import."""
+    def read(self, name: str, narrowed=None) -> DataFrame | None:
+        """A table's rows, each key's from the last commit that wrote or deleted it; None before the first import. ``narrowed`` leaves
+        out, before that, rows that are not wanted."""
         rows, gone = self._all(name), self._all(GONE)
         if rows is None:
             return None
         last = gone.groupBy("key").agg(F.max("commit").alias("last"))
         key = self.tables[name]
+        rows = spread(rows, [key], rows.count()) if narrowed is None else narrowed(rows)
         at = rows.join(last, rows[key].cast("string") == last["key"], "left").where(F.col("last").isNull() | (F.col("commit") >= F.col("last")))
         return at.drop("key", "last", "commit")
 
@@ -106,6 +110,22 @@ def checked(files: DataFrame, ids: DataFrame, stored: DataFrame | None, replace:
     return at.select("file", "key", F.when(F.col("f").isNull(), "imported").otherwise("failed").alias("status"), F.concat(said, F.col("f.what")).alias("error"))
 
 
+def _hash() -> Column:
+    return F.xxhash64(F.col("id").cast("string"))
+
+
+def suspects(store: Store, ids: DataFrame) -> DataFrame:
+    """(h): hashes of ``ids (file, id)`` that come twice or that a commit has had. Only these ids can be at fault, so that only
+    hashes of all others are shuffled; ids that share a hash by chance are checked like any other."""
+    at = ids.select(_hash().alias("h"), F.lit(1).cast("long").alias("n"))
+    for name in store.tables:
+        old = store._all(name)
+        if old is not None:
+            at = at.unionByName(old.select(_hash().alias("h"), F.lit(None).cast("long").alias("n")))
+    found = at.groupBy("h").agg(F.count("n").alias("n"), F.count("*").alias("every"))
+    return written(found.where("n > 1 or (n = 1 and every > 1)").select("h"), "import-hashes")
+
+
 def imported(store: Store, parts: dict[str, DataFrame], files: DataFrame, replace: bool = False, number: int | None = None) -> DataFrame:
     """Imports the files that pass ``checked()`` as one commit and returns its report: (file, key, status, error, and the rows of each
     table). ``parts`` are the store's tables of all files, each with ``file`` and ``id``; ``files`` is (file, key).
@@ -116,19 +136,23 @@ def imported(store: Store, parts: dict[str, DataFrame], files: DataFrame, replac
     for df in parts.values():
         own = df.select("file", "id")
         ids = own if ids is None else ids.unionByName(own)
+    hashes = maybe_broadcast(suspects(store, ids), BROADCAST_HASHES)
+    narrowed = lambda df: df.join(hashes, _hash() == hashes["h"], "left_semi")
+    ids = written(narrowed(ids), "import-ids")
     stored = None
     for name, key in store.tables.items():
-        rows = store.read(name)
+        rows = store.read(name, narrowed)
         if rows is not None:
             rows = rows.select("id", F.col(key).cast("string").alias("key"))
             stored = rows if stored is None else stored.unionByName(rows)
     report = checked(files.withColumn("key", F.col("key").cast("string")), ids, stored, replace)
     report = written(report, "import-status")
     good = report.where("status = 'imported'").select("file")
-    kept = {name: df.join(good, "file", "left_semi") for name, df in parts.items()}
-    counts = report
-    for name, df in kept.items():
-        counts = counts.join(df.groupBy("file").agg(F.count("*").alias(name)), "file", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    kept, counts = {}, report
+    for name, df in parts.items():
+        n = df.groupBy("file").agg(F.count("*").alias(name))
+        counts = counts.join(n, "file", "left").withColumn(name, F.when(F.col("status") == "imported", F.coalesce(name, F.lit(0).cast("long"))).otherwise(0))
+        kept[name] = spread(df, ["file"], df.count()).join(good, "file", "left_semi")
     store.commit({name: df.drop("file") for name, df in kept.items()}, report.where("status = 'imported'").select("key"), counts, number)
     return counts
 

@@ -30,10 +30,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def maybe_broadcast(df: DataFrame) -> DataFrame:
+def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written table with a hint: broadcast if it has been counted to be small, else a sort-merge join."""
-    few = df.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("size")).first()
-    return F.broadcast(df) if few["n"] <= BROADCAST_ROWS and few["size"] <= BROADCAST_BYTES else df.hint("merge")
+    few = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if few["n"] <= rows and few["size"] <= BROADCAST_BYTES else df.hint("merge")
 
 
 def spread(df: DataFrame, keys: list[str], rows: int, per_task: int = 500_000) -> DataFrame:

@@ -90,3 +90,20 @@ def test_vectors_for_what_has_none(spark, tmp_path):
     for bad in (lambda t: np.zeros((len(t), 3)), lambda t: np.ones((len(t), 2)), lambda t: np.full((len(t), 3), np.nan)):
         with pytest.raises(Exception, match="embedder"):
             embedding.embedded(nodes.where("id = 'a'"), bad, 3).collect()
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_only_ids_that_may_be_at_fault_are_compared(spark, tmp_path, monkeypatch, most):
+    kept, write = {}, imports.written
+    monkeypatch.setattr(imports, "written", lambda df, label: kept.setdefault((label, len(kept)), write(df, label)))
+    monkeypatch.setattr(imports, "BROADCAST_HASHES", most)
+    compared = lambda: sorted(str(r.id) for (label, _), df in kept.items() if label == "import-ids" for r in df.collect())
+    store = imports.Store(spark, f"{tmp_path}/store", TABLES)
+    got = imports.imported(store, *batch(spark, {**{f"f{i}": (f"N{i}", [f"r{i}.{j}" for j in range(5)]) for i in range(20)}, "x": ("X", ["twice", "twice", None, None]), "y": ("Y", ["r3.1"])}))
+    status = {r.file: (r.error, r.notices, r.rows) for r in got.collect()}
+    assert status == {**{f"f{i}": (None, 1, 5) for i in range(20) if i != 3}, "f3": ("id in two files: r3.1", 0, 0), "y": ("id in two files: r3.1", 0, 0), "x": ("id twice in the file: twice", 0, 0)}
+    assert set(compared()) <= {"r3.1", "twice", "None"} and len(store.read("rows").collect()) == 95
+    kept.clear()
+    got = imports.imported(store, *batch(spark, {"f1": ("N1", ["r1.0", "new"]), "z": ("Z", ["r2.0", "fresh"]), "x": ("X", ["twice"])}), replace=True)
+    assert {r.file: r.error for r in got.collect()} == {"f1": None, "z": "id is stored: r2.0", "x": None} and compared() == ["N1", "r1.0", "r2.0"]
+    assert ids(store, "rows")[-3:] == ["r9.3", "r9.4", "twice"] and len(store.read("rows").collect()) == 93
