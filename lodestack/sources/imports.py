@@ -8,16 +8,21 @@ Reading takes for each key the rows of the last commit that wrote it.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.sources.shared import maybe_broadcast, spread, written
+from lodestack.sources.shared import BROADCAST_BYTES, spread, written
 
 #: Names of a commit's own tables.
 GONE, REPORT = "_replaced", "_report"
-#: Hashes, of eight bytes each, that are broadcast at most.
+#: Hashes of ids, or names of failed files, that are broadcast at most.
 BROADCAST_HASHES = 1_000_000
+#: Words of 64 buckets of hashes, which are broadcast whatever the input, and ids of an import up to which these tell most stored ids apart.
+WORDS, FEW_IDS = 1 << 20, 4_000_000
+#: Hashes that a task groups.
+HASHES_A_TASK = 2_000_000
 
 
 class Store:
@@ -114,30 +119,54 @@ def _hash() -> Column:
     return F.xxhash64(F.col("id").cast("string"))
 
 
+def _word(h: Column) -> tuple[Column, Column]:
+    """A hash's word and its bit there."""
+    return F.pmod(F.shiftright(h, 6), F.lit(WORDS)), h.bitwiseAND(63).cast("int")
+
+
+def words(hashes: DataFrame) -> DataFrame:
+    """(w, bits): the buckets that ``hashes (h)`` fall into, ``WORDS`` rows at most."""
+    w, bit = _word(F.col("h"))
+    at = hashes.select(w.alias("w"), bit.alias("bit")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    return written(at, "import-words")
+
+
+def _like(df: DataFrame, some: DataFrame, h: Column) -> DataFrame:
+    """Rows of ``df`` whose hash falls into a bucket of ``some``: all that are meant, and a share of others."""
+    w, bit = _word(h)
+    return df.join(F.broadcast(some), (w == some["w"]) & (F.getbit(some["bits"], bit) == 1), "left_semi")
+
+
 def suspects(store: Store, ids: DataFrame) -> DataFrame:
     """(h): hashes of ``ids (file, id)`` that come twice or that a commit has had. Only these ids can be at fault, so that only
-    hashes of all others are shuffled; ids that share a hash by chance are checked like any other."""
-    at = ids.select(_hash().alias("h"), F.lit(1).cast("long").alias("n"))
-    for name in store.tables:
-        old = store._all(name)
-        if old is not None:
-            at = at.unionByName(old.select(_hash().alias("h"), F.lit(None).cast("long").alias("n")))
-    found = at.groupBy("h").agg(F.count("n").alias("n"), F.count("*").alias("every"))
+    hashes of all others are shuffled; ids that share a hash by chance are checked like any other. Of a large store a small import
+    shuffles only the hashes that fall into its own buckets."""
+    at, rows = ids.select(_hash().alias("h"), F.lit(1).cast("long").alias("n")), ids.count()
+    stored = [(old.select(_hash().alias("h"), F.lit(None).cast("long").alias("n")), old.count()) for old in map(store._all, store.tables) if old is not None]
+    own = words(at) if stored and rows <= FEW_IDS else None
+    for old, n in stored:
+        # a sixteenth of the buckets at most are taken
+        at, rows = at.unionByName(old if own is None else _like(old, own, F.col("h"))), rows + (n if own is None else n // 16)
+    found = spread(at, ["h"], rows, HASHES_A_TASK).groupBy("h").agg(F.count("n").alias("n"), F.count("*").alias("every"))
     return written(found.where("n > 1 or (n = 1 and every > 1)").select("h"), "import-hashes")
 
 
+def _narrowing(hashes: DataFrame):
+    """Leaves of rows with an ``id`` those whose hash is one of the written ``hashes``; of many, their buckets first, so that few rows are shuffled."""
+    if hashes.count() <= BROADCAST_HASHES:
+        return lambda df: df.join(F.broadcast(hashes), _hash() == hashes["h"], "left_semi")
+    some = words(hashes)
+    return lambda df: _like(df, some, _hash()).join(hashes.hint("merge"), _hash() == hashes["h"], "left_semi")
+
+
 def imported(store: Store, parts: dict[str, DataFrame], files: DataFrame, replace: bool = False, number: int | None = None) -> DataFrame:
     """Imports the files that pass ``checked()`` as one commit and returns its report: (file, key, status, error, and the rows of each
     table). ``parts`` are the store's tables of all files, each with ``file`` and ``id``; ``files`` is (file, key).
 
     With ``replace`` a file's key is taken out and put in again at once. Nothing of a failed file gets in.
     """
-    ids = None
-    for df in parts.values():
-        own = df.select("file", "id")
-        ids = own if ids is None else ids.unionByName(own)
-    hashes = maybe_broadcast(suspects(store, ids), BROADCAST_HASHES)
-    narrowed = lambda df: df.join(hashes, _hash() == hashes["h"], "left_semi")
+    ids = reduce(DataFrame.unionByName, (df.select("file", "id") for df in parts.values()))
+    narrowed = _narrowing(suspects(store, ids))
     ids = written(narrowed(ids), "import-ids")
     stored = None
     for name, key in store.tables.items():
@@ -146,14 +175,22 @@ def imported(store: Store, parts: dict[str, DataFrame], files: DataFrame, replac
             rows = rows.select("id", F.col(key).cast("string").alias("key"))
             stored = rows if stored is None else stored.unionByName(rows)
     report = checked(files.withColumn("key", F.col("key").cast("string")), ids, stored, replace)
-    report = written(report, "import-status")
-    good = report.where("status = 'imported'").select("file")
-    kept, counts = {}, report
+    n = reduce(DataFrame.unionByName, (df.select("file", F.lit(name).alias("part")) for name, df in parts.items()))
+    n = n.groupBy("file").agg(*(F.count_if(F.col("part") == name).alias(name) for name in parts))
+    tallies = written(report.join(n, "file", "full"), "import-tallies")
+    # rows of a file that is not in ``files`` are not imported either
+    out = tallies.where("file is not null and (status is null or status <> 'imported')").select("file")
+    size = out.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.col("file").cast("string"))), F.lit(0)).alias("size")).first()
+    few = size["n"] <= BROADCAST_HASHES and size["size"] <= BROADCAST_BYTES
+    of = tallies.agg(*(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in parts)).first()
+    kept = {}
     for name, df in parts.items():
-        n = df.groupBy("file").agg(F.count("*").alias(name))
-        counts = counts.join(n, "file", "left").withColumn(name, F.when(F.col("status") == "imported", F.coalesce(name, F.lit(0).cast("long"))).otherwise(0))
-        kept[name] = spread(df, ["file"], df.count()).join(good, "file", "left_semi")
-    store.commit({name: df.drop("file") for name, df in kept.items()}, report.where("status = 'imported'").select("key"), counts, number)
+        # many names are dealt, not the rows: a semi- or anti-join is pushed below a repartition, which would then shuffle them again
+        gone = F.broadcast(out) if few else spread(out, ["file"], of[name]).hint("merge")
+        kept[name] = df.where("file is not null").join(gone, "file", "left_anti")
+    done = F.col("status") == "imported"
+    counts = tallies.where("status is not null").select("file", "key", "status", "error", *(F.when(done, F.coalesce(name, F.lit(0).cast("long"))).otherwise(0).alias(name) for name in parts))
+    store.commit({name: df.drop("file") for name, df in kept.items()}, counts.where(done).select("key"), counts, number)
     return counts
 
 

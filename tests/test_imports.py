@@ -107,3 +107,32 @@ def test_only_ids_that_may_be_at_fault_are_compared(spark, tmp_path, monkeypatch
     got = imports.imported(store, *batch(spark, {"f1": ("N1", ["r1.0", "new"]), "z": ("Z", ["r2.0", "fresh"]), "x": ("X", ["twice"])}), replace=True)
     assert {r.file: r.error for r in got.collect()} == {"f1": None, "z": "id is stored: r2.0", "x": None} and compared() == ["N1", "r1.0", "r2.0"]
     assert ids(store, "rows")[-3:] == ["r9.3", "r9.4", "twice"] and len(store.read("rows").collect()) == 93
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_rows_are_shuffled_once_at_most(spark, tmp_path, monkeypatch, most):
+    plans, spread, session = [], imports.spread, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(imports, "BROADCAST_HASHES", most)
+    monkeypatch.setattr(imports, "spread", lambda df, keys, rows, *_: spread(df, keys, rows, 2))  # as for more rows than the session's partitions take
+    commit = imports.Store.commit
+
+    def planned(self, parts, *a):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for more files than are broadcast
+        plans.append(parts["rows"].select("*")._jdf.queryExecution().executedPlan().toString())
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", session)
+        return commit(self, parts, *a)
+
+    monkeypatch.setattr(imports.Store, "commit", planned)
+    store = imports.Store(spark, f"{tmp_path}/store", TABLES)
+    first, files = batch(spark, {**{f"f{i}": (f"N{i}", [f"r{i}.{j}" for j in range(5)]) for i in range(40)}, "x": ("X", ["r3.1"])})
+    of_files = [(f"f{i}", f"r{i}.{j}", f"N{i}") for i in range(40) for j in range(5)]
+    first["rows"] = spark.createDataFrame([*of_files, ("x", "r3.1", "X"), ("unknown", "u1", "U"), (None, "u2", "U")], "file string, id string, notice_id string")
+    got = imports.imported(store, first, files)
+    assert {r.file: r.rows for r in got.collect()} == {**{f"f{i}": 5 for i in range(40) if i != 3}, "f3": 0, "x": 0}
+    assert ids(store, "rows") == sorted(f"r{i}.{j}" for i in range(40) for j in range(5) if i != 3)
+    monkeypatch.setattr(imports, "FEW_IDS", most, raising=False)
+    got = imports.imported(store, *batch(spark, {"g": ("G", ["g1", "r7.2"]), "h": ("H", ["h1", "r3.1"]), "f9": ("N9", ["r9.0"])}), replace=True)
+    assert {r.file: (r.error, r.rows) for r in got.collect()} == {"g": ("id is stored: r7.2", 0), "h": (None, 2), "f9": (None, 1)}
+    assert ids(store, "rows") == sorted([*(f"r{i}.{j}" for i in range(40) for j in range(5) if i not in (3, 9)), "h1", "r3.1", "r9.0"])
+    of_rows = [p.count("Exchange hashpartitioning(file") for p in plans]
+    assert of_rows == ([0, 0] if most else [2, 2])  # two: that of the failed files' names and that of the rows
