@@ -6,6 +6,8 @@ open), a running count (which section), or the last of each level (the stack of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,19 +21,20 @@ NOTE_KIND, HEADING_KIND = "ghi_chu", "heading"
 DEEPEST = 16
 
 
-def lexed(items: DataFrame, by: str, order: str = "pos") -> DataFrame:
+def lexed(items: DataFrame, by: str, order: str = "pos", overlap: Callable[[Column, Column], Column] = blocks.titles_overlap, strip: Callable[[Column], Column] = blocks.stripped, starts: Callable[[Column, Column], Column] = blocks.document_start, heading: Column | None = None) -> DataFrame:
     """Items (by, order, item text or table, kind, text, title) with ``doc_no``, ``symbol`` and ``level`` of headings, and ``said``, the
     text that each adds.
 
     Blank texts go. A note that begins with one of ``NOTE_STARTS`` goes on until a heading by kind or a new document; numbered
     lines within it are text. A text that looks like a document's start begins a new one unless it is the file's first
     item; so does a table whose title does, if the title has not just been said as text, nor as the document's or an
-    earlier such table's title.
+    earlier such table's title. ``overlap`` tells whether one title says another, null for no; ``strip`` takes
+    blanks off the ends of texts; ``starts`` tells whether a text of a kind begins a document; ``heading`` is a text's struct(symbol, level) where that is known already, null for none.
     """
-    text, kind, title = blocks.stripped(F.coalesce("text", F.lit(""))), F.lower(F.trim(F.coalesce("kind", F.lit("")))), blocks.stripped(F.coalesce("title", F.lit("")))
+    text, kind, title = strip(F.coalesce("text", F.lit(""))), F.lower(F.trim(F.coalesce("kind", F.lit("")))), strip(F.coalesce("title", F.lit("")))
     table = F.col("item") == "table"
     at = items.select("*", text.alias("_text"), kind.alias("_kind"), title.alias("_title")).where(table | (F.col("_text") != ""))
-    at = at.withColumn("_s", F.when(~table, section(F.col("_text")))).withColumn("_begins", ~table & blocks.document_start(F.col("_text"), F.col("_kind")))
+    at = at.withColumn("_s", F.when(~table, section(F.col("_text")) if heading is None else heading)).withColumn("_begins", ~table & starts(F.col("_text"), F.col("_kind")))
     w = Window.partitionBy(by).orderBy(order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     note = ~table & (F.col("_kind") == NOTE_KIND) & F.lower("_text").rlike("^(?:" + "|".join(NOTE_STARTS) + ")")
@@ -39,12 +42,12 @@ def lexed(items: DataFrame, by: str, order: str = "pos") -> DataFrame:
     at = at.withColumn("_first", F.row_number().over(w) == 1).withColumn("_note", note)
     at = at.withColumn("_noted", F.col("_note") | F.coalesce(F.last(F.when(F.col("_note"), True).when(closes, False), ignorenulls=True).over(before), F.lit(False)))
     at = at.withColumn("_head", F.col("_s").isNotNull() & (~F.col("_noted") | (F.col("_kind") == HEADING_KIND))).withColumn("_begins", F.col("_begins") & ~F.col("_head"))
-    listed = table & ~F.col("_first") & blocks.document_start(F.col("_title"), F.lit(""))
+    listed = table & ~F.col("_first") & starts(F.col("_title"), F.lit(""))
     at = at.withColumn("_listed", listed)
     spoken = F.last(F.when(F.col("_listed"), F.col("_title")).when(~table, F.col("_text")), ignorenulls=True).over(before)
     named = F.last(F.when(F.col("_listed"), F.col("_title")).when(F.col("_begins"), F.col("_text")), ignorenulls=True).over(before)
     at = at.withColumns({"_spoken": spoken, "_named": named})
-    opens = F.col("_listed") & ~blocks.titles_overlap(F.col("_spoken"), F.col("_title")) & ~blocks.titles_overlap(F.col("_named"), F.col("_title"))
+    opens = F.col("_listed") & ~F.coalesce(overlap(F.col("_spoken"), F.col("_title")), F.lit(False)) & ~F.coalesce(overlap(F.col("_named"), F.col("_title")), F.lit(False))
     at = at.withColumn("_opens", opens).withColumn("doc_no", 1 + F.sum((F.col("_opens") | (F.col("_begins") & ~F.col("_first"))).cast("int")).over(w))
     said = F.when(F.col("_opens"), F.col("_title")).when(~table, F.col("_text"))
     return at.select(*items.columns, "doc_no", F.when(F.col("_head"), F.col("_s.symbol")).alias("symbol"), F.when(F.col("_head"), F.col("_s.level")).alias("level"), said.alias("said"))

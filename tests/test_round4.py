@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.functions import vector
-from lodestack.plans import answers
+from lodestack.plans import ORACLES, QUERIES, answers
 from lodestack.sources import shared
 
 ROWS = "grp string, label string, id string, table_id string, v long"
@@ -83,3 +83,19 @@ def test_vectors_are_neither_copied_to_rows_nor_broadcast(spark):
             assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
+@pytest.mark.parametrize("name", ["lexed_items", "document_sections"])
+def test_documents_of_short_and_blank_lines_agree_with_sql(spark, tmp_path, name):
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    words = ["An.", "sac", "LISTE", "CH 1", "", "", "...", "—", "an", "D", "XI.", "9", "the", "- ", "straße", "\xa0", "a\r", " x", " \x85"]
+    lines = lambda n: "\n".join(" ".join(rng.choice(words, rng.integers(0, 4))) + " " * int(rng.integers(0, 3)) for _ in range(n))
+    docs = spark.createDataFrame([(i, lines(int(rng.choice([1, 12, 90, 160])))) for i in range(120)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(ORACLES[name])
+    names = [c[0] for c in cur.description]
+    assert sorted(map(str, cur.fetchall())) == sorted(str(tuple(r)) for r in QUERIES[name](spark, str(tmp_path)).select(*names).collect())
